@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import binary_records, byte_bpe, sharding, url_filters
+from corpusloom.llm import (
+    binary_records,
+    byte_bpe,
+    decontamination,
+    language_id,
+    lm_scoring,
+    near_dedup,
+    quality_rules,
+    sharding,
+    toxicity,
+    url_filters,
+)
 from corpusloom.llm.common import read
 
 
@@ -17,6 +28,14 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scores(read(spark, sf_dir, "documents"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return binary_records.token_records(docs, tokenizer_file("word_bpe_49k.json"), end_id=2)
@@ -39,14 +58,47 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(read(spark, sf_dir, "pages"), url_filters.fit(url_filters.labelled_urls()))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predictions(read(spark, sf_dir, "documents"))
+
+
 def op7_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return sharding.shard_documents(docs, 8)
+    return sharding.shard_documents(read(spark, sf_dir, "documents"), 8)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.clusters(read(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+QUERIES = (
+    op1_stupid_backoff,
+    op2_quality_rules,
+    op3_token_records,
+    op4_byte_bpe,
+    op5_url_filters,
+    op6_language_id,
+    op7_hash_tree_shards,
+    op8_toxicity,
+    op9_decontamination,
+    op10_minhash_dedup,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_records, op4_byte_bpe, op5_url_filters, op7_hash_tree_shards)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filters": url_filters.oracle(url_filters.fit(url_filters.labelled_urls()))}
+    return {
+        "op1_stupid_backoff": lm_scoring.ORACLE,
+        "op5_url_filters": url_filters.oracle(url_filters.fit(url_filters.labelled_urls())),
+        "op9_decontamination": decontamination.ORACLE,
+    }
