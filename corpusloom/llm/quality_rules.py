@@ -1,8 +1,8 @@
 """Quality rules: rule statistics of a text, then an isolation forest on them.
 
 Each tree of the forest splits a bounded subsample at random values of random statistics; texts that few splits
-set apart have short paths and are anomalous.  The cut on the anomaly score is calibrated on labelled rows: of the
-cuts that reject at most ``false_rejects`` of the rows labelled good, the one that rejects most labelled bad.
+set apart have short paths and are anomalous.  The cut on the anomaly score is calibrated on labelled rows: at most
+``false_rejects`` of the rows labelled good may be rejected, and within that as many labelled bad as can be.
 
 Defined cases: null text has no words, so the base rule rejects it, as it does empty text; with no labelled rows, or
 none of either label, the forest rejects nothing; rows with a null label teach nothing; labels that disagree for an
@@ -94,9 +94,12 @@ class Forest:
     value: np.ndarray
     length: np.ndarray
     constant: float
+    middle: np.ndarray
+    scale: np.ndarray
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Anomaly scores in (0, 1); higher is more anomalous."""
+        x = np.arcsinh((x - self.middle) / self.scale)
         total = np.zeros(len(x))
         rows = np.arange(len(x))
         for feature, value, length in zip(self.feature, self.value, self.length):
@@ -112,28 +115,38 @@ class Forest:
         return 2.0 ** (-total / len(self.feature) / max(self.constant, 1e-9))
 
 
-def grow(x: np.ndarray, trees: int, sample: int, seed: int) -> Forest:
+def grow(x: np.ndarray, good: np.ndarray, trees: int, sample: int, seed: int) -> Forest:
+    """Isolates among rows labelled good; split values are drawn from the range of all rows.
+
+    So a region that only bad rows reach is empty and its paths are short.  Statistics are measured in spreads of
+    the good rows, on a scale that is logarithmic far out.
+    """
     rng = np.random.default_rng(seed)
-    sample = min(sample, len(x))
+    own = x[good] if good.any() else x
+    middle = np.median(own, axis=0)
+    low, high = np.quantile(own, [0.005, 0.995], axis=0)
+    scale = np.maximum(high - low, 0.01) / 2
+    x, own = np.arcsinh((x - middle) / scale), np.arcsinh((own - middle) / scale)
+    sample = min(sample, len(own))
     depth = max(1, math.ceil(math.log2(max(2, sample))))
     size = 2 ** (depth + 1) - 1
     feature, value, length = np.full((trees, size), -1), np.zeros((trees, size)), np.zeros((trees, size))
     for t in range(trees):
-        work = [(0, 0, x[rng.choice(len(x), sample, replace=False)])]
+        work = [(0, 0, own[rng.choice(len(own), sample, replace=False)], x.min(axis=0), x.max(axis=0))]
         while work:
-            node, level, rows = work.pop()
-            low, high = rows.min(axis=0), rows.max(axis=0)
+            node, level, rows, low, high = work.pop()
             wide = np.flatnonzero(high > low)
             if level == depth or len(rows) < 2 or not len(wide):
                 length[t, node] = level + path_constant(len(rows))
                 continue
             f = int(rng.choice(wide))
             v = rng.uniform(low[f], high[f])
-            v = np.nextafter(v, high[f]) if v <= low[f] else v
             feature[t, node], value[t, node] = f, v
             below = rows[:, f] < v
-            work += [(2 * node + 1, level + 1, rows[below]), (2 * node + 2, level + 1, rows[~below])]
-    return Forest(feature, value, length, path_constant(sample))
+            under, over = high.copy(), low.copy()
+            under[f] = over[f] = v
+            work += [(2 * node + 1, level + 1, rows[below], low, under), (2 * node + 2, level + 1, rows[~below], over, high)]
+    return Forest(feature, value, length, path_constant(sample), middle, scale)
 
 
 def statistics(docs: DataFrame, forest: Forest | None = None, keep_text: bool = False) -> DataFrame:
@@ -166,7 +179,7 @@ class Model:
     cut: float
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, trees: int = 100, sample: int = 256, false_rejects: float = 0.004, seed: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, trees: int = 100, sample: int = 512, false_rejects: float = 0.004, seed: int = 3) -> Model:
     """Grows the forest on, and calibrates the cut by, a bounded sample of labelled rows.
 
     The sampled labels (at most ``max_rows``) are broadcast, so no text is shuffled.
@@ -179,16 +192,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, trees: int =
         return Model(None, 2.0)
     table = np.array([r[2:] for r in found], np.int64)
     good = np.array([r[1] for r in found]) > 0
-    forest = grow(ratios(table), trees, sample, seed)
+    forest = grow(ratios(table), good, trees, sample, seed)
     score = forest.score(ratios(table))
     if good.all() or not good.any():
         return Model(forest, 2.0)
-    ordered = np.sort(score[good])[::-1]
-    allowed = int(len(ordered) * false_rejects)
-    # the lowest cut within what is allowed rejects most of the bad; a margin to the good row below it is shared
-    bound = ordered[allowed]
-    bad_above = np.sort(score[~good & (score > bound)])
-    return Model(forest, float((bound + bad_above[0]) / 2) if len(bad_above) else 2.0)
+    bound = np.sort(score[good])[::-1][int(good.sum() * false_rejects)]
+    bad = np.sort(score[~good & (score > bound)])
+    # what the bound rejects of the bad, but for a two-hundredth, is rejected with as few good rows as can be
+    return Model(forest, float(bad[len(bad) // 200]) if len(bad) else 2.0)
 
 
 def judge(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
