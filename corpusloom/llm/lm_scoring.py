@@ -34,8 +34,10 @@ from corpusloom.llm.common import LOWER, Staged, WordHashes, chunks, hash_words,
 ALPHA = 0.4
 #: Hot words are at most so many.
 HOT = 1 << 17
+#: Words that a worker remembers, bytes of text that it packs at once, and document sums that it holds.
+MEMO, PACK_BYTES, SUMS = 400_000, 4_000_000, 1_000_000
 #: Pairs that a bucket should hold.
-BUCKET_PAIRS = 1_200_000
+BUCKET_PAIRS = 500_000
 COLD = np.uint64(1 << 63)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 NO_ID = -(2**63)
@@ -57,20 +59,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """h, c: the count of each word in the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, h, c = WordHashes(), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        memo, h, c = WordHashes(MEMO), np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
 
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for a, b in chunks(texts, 8_000_000):
+            for a, b in chunks(texts, PACK_BYTES):
                 new = np.concatenate([text_hashes(memo, t) for t in texts[a:b]])
                 every, at, n = np.unique(np.concatenate((h, new)), return_inverse=True, return_counts=True)
                 held = np.bincount(at[: len(h)], weights=c, minlength=len(every)).astype(np.int64)
                 c = held + n - np.bincount(at[: len(h)], minlength=len(every))
                 h = every
-                if len(h) > 2_000_000:
+                if len(h) > 1_000_000:
                     yield out()
                     h, c = h[:0], c[:0]
         if len(h):
@@ -189,11 +191,11 @@ def scores(docs: DataFrame, hot: int = HOT) -> DataFrame:
     buckets = max(8, math.ceil(total / BUCKET_PAIRS))
 
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, hot_hashes = WordHashes(), held.value[0]
+        memo, hot_hashes = WordHashes(MEMO), held.value[0]
         for batch in batches:
             ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts, 8_000_000):
+            for a, b in chunks(texts, PACK_BYTES):
                 out = list(pair_blocks(ids[a:b], [text_hashes(memo, t) for t in texts[a:b]], hot_hashes, buckets))
                 if out:
                     bucket, data = zip(*out)
@@ -208,7 +210,7 @@ def scores(docs: DataFrame, hot: int = HOT) -> DataFrame:
         def asked(found) -> pa.RecordBatch:
             doc, micro, n, back, h, ask_doc, ask_n, own = found
             sums.append(np.stack((doc, micro, n, back)))
-            if sum(x.shape[1] for x in sums) > 3_000_000:
+            if sum(x.shape[1] for x in sums) > SUMS:
                 fold()
             none = np.zeros(len(h), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (ask_doc, none, ask_n, none, h.view(np.int64), own)], names=names)
