@@ -35,4 +35,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from corpusloom.plans import documents  # noqa: F401
+    from corpusloom.plans import documents, others  # noqa: F401
