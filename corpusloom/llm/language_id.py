@@ -97,7 +97,7 @@ def training_rows(docs: DataFrame, buckets: int, max_rows: int) -> list[tuple[st
     return [(r.lang, np.frombuffer(r.ids, "<i4"), np.frombuffer(r.n, "<i4")) for r in found]
 
 
-def fit(docs: DataFrame, max_rows: int = 4000, buckets: int = 1 << 15, dim: int = 8, epochs: int = 5, rate: float = 0.5, reject: float = 0.001, seed: int = 7) -> Model:
+def fit(docs: DataFrame, max_rows: int = 4000, buckets: int = 1 << 15, dim: int = 8, steps: int = 15_000, rate: float = 0.5, reject: float = 0.001, seed: int = 7) -> Model:
     """``docs`` has text and lang; rows with either null teach nothing."""
     rows = training_rows(docs, buckets, max_rows)
     langs = sorted({r[0] for r in rows})
@@ -110,6 +110,7 @@ def fit(docs: DataFrame, max_rows: int = 4000, buckets: int = 1 << 15, dim: int
     number = {x: i for i, x in enumerate(langs)}
     emb = rng.normal(0, 0.1, (buckets, dim)).astype(np.float32)
     top, bias = np.zeros((dim, len(langs)), np.float32), np.zeros(len(langs), np.float32)
+    epochs = min(100, -(-steps // len(used)))
     step, steps = 0, epochs * len(used)
     for _ in range(epochs):
         for i in rng.permutation(len(used)):
