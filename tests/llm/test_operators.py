@@ -1,0 +1,454 @@
+"""The ten operators against brute force, exact round trips and held-out labels, and on odd rows."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom.llm import (
+    binary_records,
+    byte_bpe,
+    decontamination,
+    language_id,
+    lm_scoring,
+    near_dedup,
+    quality_rules,
+    sharding,
+    toxicity,
+    url_filters,
+)
+from corpusloom.llm.common import WordHashes, bounded_sample
+from corpusloom.llm.queries import tokenizer_file
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa la mu nu xi pi rho sigma tau".split()
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in each column, empty and long texts, repeated rows and ids, no words, a very long word."""
+    rng = random.Random(1)
+    long = prose(rng, 30_000)
+    rows = [
+        (0, None, "en", "s", 1), (1, "", None, None, None), (2, "   \n\t ", "en", "s", 3), (3, "one", "en", "s", 3), (3, "one", "en", "s", 3),
+        (4, "12 34 !!", "de", "s", 8), (None, "no id here at all", "en", "s", 5), (5, long, "en", "s", len(long)), (6, "x" * 5000, "de", "s", 5000),
+        (7, prose(rng, 80), None, "s", 1), (8, prose(rng, 80), "de", None, 1), (9, "ünï çödé 漢字 🙂", "fr", "s", 1), (9, "another text of nine", "fr", "s", 1),
+    ]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# -- 1 ---------------------------------------------------------------------------------------------------------------
+def test_stupid_backoff_matches_counting(spark):
+    rng = random.Random(2)
+    texts = {i: prose(rng, rng.randint(0, 40)) + rng.choice(["", " Rare%d" % i, " only twice"]) for i in range(60)}
+    words = {i: t.lower().split() for i, t in texts.items()}
+    from collections import Counter
+
+    one, two = Counter(), Counter()
+    for w in words.values():
+        one.update(w)
+        two.update(zip(w, w[1:]))
+    total = sum(one.values())
+    log = lambda x: round(1e6 * np.log(x))
+    expected = {}
+    for i, w in words.items():
+        own1, own2 = Counter(w), Counter(zip(w, w[1:]))
+        s = back = 0
+        for k, x in enumerate(w):
+            pair = two[(w[k - 1], x)] - own2[(w[k - 1], x)] if k else 0
+            if pair:
+                s += log(pair) - log(one[w[k - 1]] - own1[w[k - 1]])
+                continue
+            rest = one[x] - own1[x]
+            s += (log(rest) if rest else lm_scoring.A) + (lm_scoring.A if k else 0) - log(total - len(w))
+            back += 1
+        expected[i] = (len(w), back, s)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for hot in (1 << 17, 8):  # all words hot, and few
+        got = {r.doc_id: (r.n_words, r.n_backoff, r.score_micro) for r in lm_scoring.scores(docs, hot).collect()}
+        assert got == expected
+
+
+def test_stupid_backoff_odd_rows(odd, empty):
+    got = {r.doc_id: r for r in lm_scoring.scores(odd).collect()}
+    assert len(got) == odd.select("doc_id").distinct().count()
+    assert got[0].n_words == 0 and got[0].mean is None and got[5].n_words == 30_000 and got[None].n_words == 5
+    assert lm_scoring.scores(empty).collect() == []
+
+
+def test_pack_round_trip():
+    rng = np.random.default_rng(3)
+    w = np.sort(rng.integers(0, 2**64, 50, dtype=np.uint64))
+    cols = [rng.integers(0, 2**64, 50, dtype=np.uint64), rng.integers(-(2**40), 2**40, 50), *[rng.integers(1, 9, 50).astype(np.uint64) for _ in range(3)]]
+    back = lm_scoring.unpack(lm_scoring.pack(w, *cols))
+    assert all((a == b).all() for a, b in zip([w, *cols], back))
+
+
+# -- 2 ---------------------------------------------------------------------------------------------------------------
+def slow_counts(t):
+    from collections import Counter
+
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    g = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    covered = {i + k for i in range(len(w) - 2) if g[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(covered)
+
+
+def test_rule_counts():
+    rng, memo = random.Random(4), WordHashes()
+    alphabet = ["a", "b", "c d", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "#", "é", "|"]
+    for _ in range(300):
+        t = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60)))
+        assert quality_rules.count_text(memo, t)[:5] == slow_counts(t), repr(t)
+
+
+def test_isolation_forest_separates(spark, odd, empty):
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 8 == 0
+        ws = [prose(rng, 1) + str(rng.randint(0, 400)) for _ in range(80)]
+        rows.append((i, " ".join(w + " |" if bad else w for w in ws)))
+        labels.append((i, int(not bad), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in quality_rules.verdicts(docs, table).collect()}
+    good = [got[i] for i in range(400) if i % 8]
+    assert sum(good) >= len(good) - 3 and not any(got[i] for i in range(0, 400, 8))
+    assert quality_rules.verdicts(odd, table).count() == odd.count()
+    assert quality_rules.verdicts(empty, table).collect() == []
+    unlabelled = quality_rules.verdicts(docs, table.limit(0))
+    assert all(r.kept == (not r.base_failed) for r in unlabelled.collect())
+
+
+# -- 3 ---------------------------------------------------------------------------------------------------------------
+def test_records_round_trip(spark, odd, empty):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    got = binary_records.token_records(odd, path, 2).orderBy("start").collect()
+    rows = sorted(odd.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
+    at = 0
+    for r, g in zip(rows, got, strict=True):
+        ids = tok.encode(r.text or "", add_special_tokens=False).ids + [2]
+        crc = zlib.crc32(np.array(ids, "<u4").tobytes())
+        assert (g.doc_id, g.start, g.n_tokens, g.ids_crc32) == (r.doc_id, at, len(ids), crc)
+        at += len(ids)
+    assert binary_records.token_records(empty, path, 2).collect() == []
+
+
+def test_frames_find_damage():
+    data = b"".join(binary_records.frame(binary_records.pack(k, np.array(v, np.uint32))) + b"\n" for k, v in ((1, [1, 10, 70_000]), (None, []), (3, [5])))
+    assert [binary_records.unpack(p)[0] for _, _, p in binary_records.frames(data)] == [1, None, 3]
+    assert binary_records.unpack(next(binary_records.frames(data))[2])[1].tolist() == [1, 10, 70_000]
+    for i in range(len(data)):
+        hurt = data[:i] + bytes([data[i] ^ 1]) + data[i + 1 :]
+        with pytest.raises(ValueError):
+            list(binary_records.frames(hurt))
+
+
+def test_shuffled_read(spark, odd):
+    from corpusloom.llm.common import scratch
+
+    records, index = scratch(spark, "t"), scratch(spark, "ti")
+    binary_records.write_records(odd, records, tokenizer_file("word_bpe_49k.json"), 2)
+    binary_records.write_index(spark, records, index)
+    rows = binary_records.read_index(spark, index)
+    got = {r.key: zlib.crc32(r.ids) for r in binary_records.read_at(rows, rows.where("key in (3, 7, 8)")).collect()}
+    assert got == {r.key: r.ids_crc32 for r in rows.where("key in (3, 7, 8)").collect()}
+
+
+def test_word_encoder_is_the_librarys():
+    from tokenizers import Tokenizer
+
+    tok, own = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json")), binary_records.WordEncoder(tokenizer_file("word_bpe_49k.json"))
+    rng, alphabet = random.Random(6), "ab cdE\n\t .,'’éßΣσİ漢🙂01  s't\x1c\x85\xa0é"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(500)] + ["İ. İ,", "<|endoftext|> x"]
+    for t, ids in zip(texts, own.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+# -- 4 ---------------------------------------------------------------------------------------------------------------
+@pytest.fixture(scope="module")
+def reference_encoding():
+    import tiktoken
+
+    lines = open(tokenizer_file("byte_bpe_50k.tiktoken"), "rb").read().splitlines()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_is_tiktokens(reference_encoding):
+    enc = byte_bpe.Encoder(tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng, alphabet = random.Random(7), "ab cdE\n\t .,'’éß漢字🙂0129  s't\x1c\x85\xa0 "
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 5, 30, 300]))) for _ in range(400)]
+    texts += ["a" * 3000, "abc" * 500, " ", "  ", "\n", " a", " \n a", "x" * 129, "The end. ", "<|endoftext|>"]
+    for _ in range(2):  # the second time from the memo
+        for t, ids in zip(texts, enc.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == reference_encoding.encode_ordinary(t), repr(t)
+            assert enc.decode(ids) == t.encode()
+
+
+def test_bpe_frames(odd, empty, reference_encoding):
+    path = tokenizer_file("byte_bpe_50k.tiktoken")
+    got = byte_bpe.encode(odd, path, public_tokenizers.PATTERN, keep_text=True)
+    assert got.columns == [*odd.columns, "ids"]
+    for r in byte_bpe.decode(got, path).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == reference_encoding.encode_ordinary(r.text or "")
+        assert bytes(r.decoded) == (r.text or "").encode()
+    assert byte_bpe.encode(empty, path, public_tokenizers.PATTERN).collect() == []
+
+
+# -- 5 ---------------------------------------------------------------------------------------------------------------
+def slow_verdict(url, model):
+    host, path = url_filters.split_url(url)
+    fits = [(h + p, a) for a, h, p in url_filters.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    if fits:
+        rule, action = max(fits, key=lambda x: len(x[0]))
+        return host, path, rule, action
+    z = model.bias + sum(model.weights[i] for i in url_filters.features(url, model.dim, model.n))
+    return host, path, None, "block" if z > 0 else "allow"
+
+
+def test_url_filters(spark):
+    model = url_filters.fit(url_filters.labelled_urls())
+    urls = [None, "", "no scheme", "http://", "http://ORG/", "http://a.Example.org/es/1?x#y", "https://example.org/en/12", "http://x.com/fr/", "http://x.com/de/9#t",
+            "http://notorg/", "https://cheap-pills.example.net/x", "https://ÀB.example.net/é?q", "http://a?b/c", "http://a#/b", "x://y/" + "z" * 20_000, "https://thther.example.net/en/4"]
+    pages = spark.createDataFrame([(i, u, "h", "clash") for i, u in enumerate(urls)], "page_id long, url string, html string, host string")
+    for r in url_filters.judge(pages, model).collect():
+        assert (r.host, r.path, r.rule, r.verdict) == slow_verdict(urls[r.page_id], model), urls[r.page_id]
+    right = [slow_verdict(u, model)[3] == ("block" if y else "allow") for u, y in url_filters.labelled_urls() if slow_verdict(u, model)[2] is None]
+    assert sum(right) > 0.97 * len(right)
+    assert url_filters.judge(pages.limit(0), model).collect() == []
+    plan = url_filters.judge(pages, model)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+# -- 6 ---------------------------------------------------------------------------------------------------------------
+def test_language_id(spark, odd, empty):
+    rng = random.Random(8)
+    parts = {"aa": "kla mor tin sel".split(), "bb": "ouè éau ment tré".split(), "cc": "schü keit ung zer".split()}
+    rows = []
+    for i in range(300):
+        lang = rng.choice(sorted(parts))
+        text = " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 3))) for _ in range(30))
+        rows.append((i, text, lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.predictions(docs).collect()}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1 for i, r in got.items())
+    held = [(got[i].lang_pred == lang) for i, _, lang in rows if got[i].held_out]
+    assert np.mean(held) > 0.95
+    model = language_id.fit(docs)
+    seen = language_id.identify(odd, model).collect()
+    assert len(seen) == odd.count() and all((r.lang_pred == "und") == (not re.search(r"[^\W\d_]", r.text or "")) for r in seen)
+    assert language_id.predictions(empty).collect() == []
+    nothing = language_id.predictions(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert {r.lang_pred for r in nothing.collect()} == {"und"}
+
+
+# -- 7 ---------------------------------------------------------------------------------------------------------------
+def test_hash_tree(spark, odd, empty):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 7).cast("string")).alias("text"))
+    rows = sharding.shard_documents(docs).collect()
+    for s in range(8):
+        own = [r for r in rows if r.shard == s]
+        assert 400 < len(own) < 600 and sorted(r.slot for r in own) == list(range(len(own)))
+    moved = [r for r in rows if r.grown_shard != r.shard]
+    assert 300 < len(moved) < 600 and {r.grown_shard for r in moved} == {8}
+    for n in range(8, 14):  # one more shard takes rows only into itself
+        a, b = (sharding.assign(docs, k, layout=sharding.Layout(8)).collect() for k in (n, n + 1))
+        assert {y.shard for x, y in zip(a, b) if x.shard != y.shard} <= {n}
+    assert len(sharding.shard_documents(odd).collect()) == odd.count()
+    assert {(r.size, r.text_crc32) for r in sharding.shard_documents(odd).where("doc_id = 0").collect()} == {(1, 0)}
+    assert sharding.shard_documents(empty).collect() == []
+
+
+def test_weight_moves_stay_in_the_subtree(spark):
+    docs = spark.range(3000).withColumnRenamed("id", "doc_id")
+    a = sharding.assign(docs, 8, layout=sharding.Layout(8)).collect()
+    b = sharding.assign(docs, 8, layout=sharding.Layout(8, weights={5: 3.0})).collect()
+    moved = [(x.shard, y.shard) for x, y in zip(a, b) if x.shard != y.shard]
+    assert moved and all(y in (4, 5, 6, 7) for _, y in moved) and sum(y == 5 for _, y in moved) > len(moved) / 2
+
+
+# -- 8 ---------------------------------------------------------------------------------------------------------------
+@pytest.fixture(scope="module")
+def toxic(spark):
+    rng, bad = random.Random(9), ["blorgon", "snarfel", "grimpat"]
+    rows, labels = [], []
+    for i in range(1500):
+        ws = [rng.choice(WORDS) for _ in range(40)]
+        y = i % 6 == 0
+        if y:
+            for _ in range(2):
+                ws[rng.randrange(40)] = rng.choice(bad)
+        rows.append((i, " ".join(ws)))
+        labels.append((i, 1, int(y)))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity(toxic, odd, empty):
+    docs, labels = toxic
+    model = toxicity.fit(docs.where(~toxicity.held_out()), labels.where(~toxicity.held_out()))
+    got = {r.doc_id: r for r in toxicity.scores(docs, labels).collect()}
+    held = [(r.predicted, int(i % 6 == 0)) for i, r in got.items() if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for i, r in got.items())
+    assert np.mean([a == b for a, b in held]) > 0.97
+    reader = toxicity.Restorer(model.lm)
+    for w in ("bl0rgon", "b.l.o.r.g.o.n", "snarrrfel", "sn@rfel", "gr1mp4t", "GRIMPAT!!".lower()):
+        assert model.of_word(reader.read(w)) > 0, (w, reader.read(w))
+    assert reader.read("kappa") == "kappa" and reader.read("108.51.216.133") == "108.51.216.133"
+    scorer = toxicity.Scorer(model)
+    assert scorer.score(["alpha beta g r i m p a t gamma"])[0] >= 0.5 > scorer.score(["alpha beta gamma", "", None]).max()
+    assert toxicity.restore_text("a BL0RGON b", model.lm) == "a blorgon b"
+    assert toxicity.score(odd, model).count() == odd.count()
+    assert toxicity.scores(empty, labels).collect() == [] and toxicity.scores(docs, labels.limit(0)).where("predicted = 1").count() == 0
+
+
+# -- 9 ---------------------------------------------------------------------------------------------------------------
+def slow_contamination(docs, items):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    low = lambda t: word.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    windows = [(i, tuple(w[k : k + min(13, len(w))])) for i, t in items if (w := low(t)) for k in range(len(w) - min(13, len(w)) + 1)]
+    out = {}
+    for d, t in docs:
+        w, hit, found = low(t), set(), set()
+        for i, g in windows:
+            for k in range(len(w) - len(g) + 1):
+                if tuple(w[k : k + len(g)]) == g:
+                    hit.update(range(k, k + len(g)))
+                    found.add(str(i))
+        out[d] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
+    return out
+
+
+def test_decontamination(spark, odd, empty):
+    rng = random.Random(10)
+    items = [(i, prose(rng, rng.choice([3, 13, 14, 40]))) for i in range(12)] + [(12, None), (13, " .,; "), (14, items_text := prose(rng, 20)), (15, items_text)]
+    docs = []
+    for i in range(80):
+        t = prose(rng, rng.randint(0, 60))
+        if i % 3 == 0:
+            t += ", " + (items[rng.randrange(12)][1] or "").upper() + ". " + prose(rng, rng.randint(0, 300))
+        if i % 7 == 0:
+            t = items_text.replace(" ", "--") + t
+        docs.append((i, t))
+    docs += [(80, None), (81, ""), (82, "é ñ " * 20)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    expected = slow_contamination(docs, items)
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontamination.report(d, b).collect()}
+    assert got == expected
+    blocked = decontamination.scan(d, b, block_bytes=400, shard_words=50)  # many passes, many shards
+    assert {r.doc_id: (r.n_words, r.n_hit, len(r.items)) for r in blocked.collect()} == {k: v[:3] for k, v in expected.items()}
+    left = decontamination.decontaminate(d.withColumn("n_hit", F.lit(1)), b)
+    assert left.columns == ["doc_id", "text", "n_hit"] and {r.doc_id for r in left.collect()} == {k for k, v in expected.items() if not v[4]}
+    assert decontamination.report(odd, b).count() == odd.count()
+    assert decontamination.report(empty, b).collect() == []
+    assert all(r.n_hit == 0 for r in decontamination.report(d, b.limit(0)).collect())
+
+
+def test_suffix_array_orders_all_suffixes():
+    rng = np.random.default_rng(11)
+    words = np.append(rng.integers(1, 4, 300).astype(np.uint64), np.uint64(0))
+    order = decontamination.suffix_array(words, 512)
+    assert [tuple(words[i:]) for i in order] == sorted(tuple(words[i:]) for i in range(len(words)))
+
+
+def test_longest_matches(spark):
+    d = spark.createDataFrame([(1, "x a b c d y"), (2, "b c d e f g")], "doc_id long, text string")
+    b = spark.createDataFrame([(7, "a b c d e")], "item_id long, text string")
+    got = {r["at"]: (r.longest, r.doc_id, r.word) for r in decontamination.longest_matches(d, b).collect()}
+    assert got[0] == (4, 1, 1) and got[1] == (4, 2, 0) and got[4] == (1, 2, 3)
+
+
+# -- 10 --------------------------------------------------------------------------------------------------------------
+def slow_clusters(rows, n, percent):
+    sets = {}
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets[d] = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+    up = {d: d for d in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for i in ids:
+        for j in ids:
+            if j < i and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    return {d: (len(sets[d]), root(d), root(d) == d) for d in sets}
+
+
+def test_near_dedup_matches_brute_force(spark, odd, empty):
+    rng = random.Random(12)
+    rows = []
+    for g in range(25):
+        base = [rng.choice(WORDS) + str(rng.randint(0, 50)) for _ in range(rng.randint(3, 200))]
+        for _ in range(rng.choice([1, 2, 3, 12])):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 40))):
+                w[rng.randrange(len(w))] = "new%d" % rng.randint(0, 999)
+            rows.append((len(rows), " ".join(w)))
+    rows += [(len(rows) + i, t) for i, t in enumerate([None, "", "a b", "A  B\n", rows[0][1].upper(), rows[5][1]])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = slow_clusters(rows, 4, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.clusters(docs).collect()}
+    assert got == expected
+    left = {r.doc_id for r in near_dedup.deduplicate(docs, words=4).collect()}
+    assert left == {d for d, v in expected.items() if v[2]}
+    assert near_dedup.clusters(odd).count() == odd.count()
+    assert near_dedup.clusters(empty).collect() == []
+
+
+def test_tiles_find_what_one_block_finds(spark, monkeypatch):
+    rng = random.Random(13)
+    base = ["w%d" % rng.randint(0, 200) for _ in range(120)]
+    rows = []
+    for i in range(60):
+        w = base[: rng.randint(80, 120)]
+        w[rng.randrange(len(w))] = "n%d" % i
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(near_dedup, "TILE_DOCS", 8)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.clusters(docs).collect()}
+    assert got == slow_clusters(rows, 4, 80)
+
+
+def test_components_of_a_chain(spark):
+    links = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(101, 100), (102, 101)], "u long, v long")
+    got = {r.u: r.v for r in near_dedup.components(links).collect()}
+    assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100}
+
+
+# -- shared ----------------------------------------------------------------------------------------------------------
+def test_bounded_sample(spark):
+    df = spark.range(1000).withColumnRenamed("id", "doc_id")
+    assert bounded_sample(df, 50).count() == 50 and bounded_sample(df.limit(0), 5).count() == 0
+    assert {r[0] for r in bounded_sample(df, 50).collect()} == {r[0] for r in bounded_sample(df.repartition(7), 50).collect()}
