@@ -151,7 +151,7 @@ def list_score(c: Column) -> Column:
 
 def max_line_repeat(c: Column) -> Column:
     """How often the commonest non-blank line stands: sorted once, then runs are counted in one fold."""
-    rows = F.array_sort(F.filter(F.transform(lines(c), F.trim), lambda x: x != ""))
+    rows = F.array_sort(F.filter(F.transform(lines(c), lambda x: F.trim(x)), lambda x: x != ""))
     start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(acc: Column, x: Column) -> Column:

@@ -28,7 +28,7 @@ def line_docs(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def blank_separated(spark: SparkSession, path: str, keep_lines: bool = False) -> DataFrame:
     """Documents parted by blank lines; their lines joined by a space, or kept."""
     df = spark.read.text(path, lineSep="\n\n").select(_name().alias("source"), F.col("value").alias("v"))
-    rows = F.filter(F.transform(F.split("v", "\n"), F.trim), lambda x: x != "")
+    rows = F.filter(F.transform(F.split("v", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     text = F.trim(F.col("v"), F.lit("\n")) if keep_lines else F.array_join(rows, " ")
     return numbered(df.select("source", text.alias("text")).where(F.trim("text") != ""))
 
