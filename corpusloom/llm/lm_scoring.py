@@ -82,12 +82,21 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def planes(x: np.ndarray) -> bytes:
-    """64-bit numbers byte plane by byte plane: high planes of small numbers are zeros, which compression removes."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """64-bit numbers byte plane by byte plane, behind a byte that says which planes are kept: those of zeros aren't."""
+    rows = x.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    kept = [i for i in range(8) if rows[i].any()]
+    return bytes([sum(1 << i for i in kept)]) + rows[kept].tobytes()
 
 
-def unplanes(data: memoryview, n: int) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).reshape(8, n).T.copy().view("<u8").ravel()
+def unplanes(data: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    """The numbers whose planes begin at ``at``, and where they end."""
+    out = np.zeros((n, 8), np.uint8)
+    mask, at = data[at], at + 1
+    for i in range(8):
+        if mask >> i & 1:
+            out[:, i] = np.frombuffer(data, np.uint8, n, at)
+            at += n
+    return out.view("<u8").ravel(), at
 
 
 #: The columns of a packed block.
@@ -103,9 +112,10 @@ def pack(w, prev, doc, tf, own_w, own_prev) -> bytes:
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
-    n, base = int.from_bytes(data[:8], "little"), int.from_bytes(data[8:16], "little", signed=True)
-    view = memoryview(data)
-    out = [unplanes(view[16 + 8 * n * i : 16 + 8 * n * (i + 1)], n) for i in range(PACKED)]
+    n, base, at, out = int.from_bytes(data[:8], "little"), int.from_bytes(data[8:16], "little", signed=True), 16, []
+    for _ in range(PACKED):
+        x, at = unplanes(data, at, n)
+        out.append(x)
     with np.errstate(over="ignore"):
         out[0] = np.cumsum(out[0], dtype=np.uint64)
     out[2] = out[2].view(np.int64) + base
