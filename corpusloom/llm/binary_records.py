@@ -33,6 +33,8 @@ MASK, HEAD, WIDE, NULL_ID = 0xA282EAD8, struct.Struct("<QI"), 1, 2
 ENTRY = struct.Struct("<Bq")
 #: Words that a worker remembers; longer ones than the second figure are never kept.
 MEMO, MEMO_LEN = 700_000, 64
+#: Signs whose run behind letters the splitter sets apart as one; the apostrophe has rules of its own.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def masked(data: bytes) -> int:
@@ -81,8 +83,8 @@ class WordEncoder:
     """The tokenizers library behind a bounded memo.
 
     The vocabulary's splitter drops white space, so the ids of a text are those of its parts between spaces.
-    Where lower-casing is the library's own (Latin-1 texts) parts are remembered in lower case and without
-    a closing comma or full stop, which the splitter sets apart from letters.
+    Where lower-casing is the library's own (Latin-1 texts) parts are remembered in lower case; letters and the signs
+    behind them are remembered apart.
     """
 
     def __init__(self, path: str):
@@ -99,8 +101,9 @@ class WordEncoder:
     def learn(self, missing: set[str]) -> None:
         memo, base = self.memo, {}
         for p in missing:
-            if len(p) > 1 and p[-1] in ",." and p[:-1].isalpha() and p[:-1].lower().isalpha():
-                base[p] = (p[:-1], p[-1])
+            word = p.rstrip(SIGNS)
+            if 0 < len(word) < len(p) and word.isalpha() and word.lower().isalpha():
+                base[p] = (word, p[len(word) :])
         new = list({q for p in missing for q in base.get(p, (p,)) if q not in memo})
         memo.update(zip(new, self.ids_of(new)))
         memo.update((p, memo[a] + memo[b]) for p, (a, b) in base.items())
