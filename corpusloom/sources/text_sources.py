@@ -97,6 +97,7 @@ def messages(record: DataFrame) -> DataFrame:
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
     """path, bytes and lines of the files below a path; contents are read once, as lines."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"))
-    rows = spark.read.option("recursiveFileLookup", "true").text(path).groupBy(F.input_file_name().alias("path")).agg(F.count(F.lit(1)).alias("lines"))
+    at = F.col("_metadata.file_path").alias("path")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(at, F.col("length").alias("bytes"))
+    rows = spark.read.option("recursiveFileLookup", "true").text(path).select(at).groupBy("path").agg(F.count(F.lit(1)).alias("lines"))
     return files.join(rows, "path", "left").select("path", "bytes", F.coalesce("lines", F.lit(0)).alias("lines"))
