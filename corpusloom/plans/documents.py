@@ -64,7 +64,8 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-TEXT = F.col("text")
+#: The column by name: a Column would need a session when the module is imported.
+TEXT = "text"
 
 
 # -- features --------------------------------------------------------------------------------------------------------
