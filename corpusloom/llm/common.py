@@ -70,15 +70,17 @@ def crc_of_id(col: str = "doc_id"):
 
 
 def bounded_sample(df: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
-    """At most about ``limit`` rows, chosen by a hash of the id: a documented bound for fitting a classifier.
+    """About ``limit`` rows, at most twice as many, chosen by a hash of the id: a documented bound for fitting a classifier.
 
-    Only ids travel to find the cut, so the rows themselves never meet in one task.  All rows of an id at
-    the cut are taken or none, so repeated rows can't exceed the limit by more than one id's rows are many;
-    the final limit() holds the bound for those as well.
+    Only ids travel to find the cut, and the rows stay where they are.  Where repeated ids make the choice more than
+    twice as many rows, a limit holds the bound.
     """
     h = F.xxhash64(F.col(key))
     cut = df.select(h.alias("h")).orderBy("h").limit(limit).agg(F.max("h")).first()[0]
-    return df.where(F.lit(False)) if cut is None else df.where(h <= F.lit(cut)).limit(limit)
+    if cut is None:
+        return df.where(F.lit(False))
+    chosen = df.where(h <= F.lit(cut))
+    return chosen if chosen.count() <= 2 * limit else chosen.limit(limit)
 
 
 class WordHashes(dict):

@@ -84,21 +84,23 @@ def training_rows(docs: DataFrame, buckets: int, max_rows: int) -> list[tuple[st
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, lang in zip(batch.column(0), batch.column(1)):
+            for key, text, lang in zip(batch.column(0), batch.column(1), batch.column(2)):
                 words = words_of(text.as_py())
                 if words:
                     ids, n = np.unique(subwords(words, buckets)[0], return_counts=True)
-                    out.append((lang.as_py(), ids.astype("<i4").tobytes(), n.astype("<i4").tobytes()))
-            columns = list(zip(*out)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["lang", "ids", "n"])
+                    out.append((key.as_py(), lang.as_py(), ids.astype("<u2").tobytes(), np.minimum(n, 65535).astype("<u2").tobytes()))
+            columns = list(zip(*out)) or [[], [], [], []]
+            kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "lang", "ids", "n"])
 
-    found = rows.select("text", "lang").mapInArrow(count, "lang string, ids binary, n binary").collect()
-    found.sort(key=lambda r: (bytes(r.ids[:64]), r.lang, bytes(r.ids), bytes(r.n)))
-    return [(r.lang, np.frombuffer(r.ids, "<i4"), np.frombuffer(r.n, "<i4")) for r in found]
+    rows = rows.select(F.col("doc_id").cast("long"), "text", "lang")
+    found = rows.mapInArrow(count, "doc_id long, lang string, ids binary, n binary").collect()
+    found.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang, len(r.ids)))
+    return [(r.lang, np.frombuffer(r.ids, "<u2"), np.frombuffer(r.n, "<u2")) for r in found]
 
 
-def fit(docs: DataFrame, max_rows: int = 4000, buckets: int = 1 << 15, dim: int = 8, steps: int = 15_000, rate: float = 0.5, reject: float = 0.001, seed: int = 7) -> Model:
-    """``docs`` has text and lang; rows with either null teach nothing."""
+def fit(docs: DataFrame, max_rows: int = 3000, buckets: int = 1 << 15, dim: int = 8, steps: int = 15_000, rate: float = 0.5, reject: float = 0.001, seed: int = 7) -> Model:
+    """``docs`` has text and lang; rows with either null teach nothing.  ``buckets`` are at most 65,536."""
     rows = training_rows(docs, buckets, max_rows)
     langs = sorted({r[0] for r in rows})
     if not langs:
