@@ -31,7 +31,7 @@ INF = np.int64(2**62)
 #: Padded lengths above this are merged one by one.
 SIDE_BY_SIDE = 128
 #: Units that a worker remembers; longer ones than the second figure are never kept.
-MEMO, MEMO_LEN = 700_000, 64
+MEMO, MEMO_LEN = 350_000, 64
 
 
 class PairRanks:

@@ -86,7 +86,7 @@ def bounded_sample(df: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
 class WordHashes(dict):
     """Memo from a word's bytes to a 64-bit hash; forgets everything when it is full."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 400_000):
         super().__init__()
         self.most = most
 
