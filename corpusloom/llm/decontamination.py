@@ -233,7 +233,10 @@ def contaminated(n_hit="n_hit", n_words="n_words"):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """``docs`` without the documents of which a twentieth of the words or more is hit; columns unchanged."""
-    judged = scan(docs.withColumn("__all", F.struct(*docs.columns)), benchmark, **how)
+    if not {o.name for o in OUT} & set(docs.columns):
+        return scan(docs, benchmark, **how).where(~contaminated()).select(*docs.columns)
+    # columns of the outputs' names go along inside a struct
+    judged = scan(docs.select("text", F.struct(*docs.columns).alias("__all")), benchmark, **how)
     return judged.where(~contaminated()).select("__all.*")
 
 
