@@ -26,7 +26,7 @@ def test_stages_in_order(spark):
             model = language_id.fit(at.where(~language_id.held_out()))
             assert set(rows) == {r.doc_id for r in language_id.identify(at, model).where("accepted").collect()} and len(rows) > 0.9 * len(before)
         elif name == "near-dedup":
-            from test_operators import slow_clusters
+            from test_llm_operators import slow_clusters
 
             assert set(rows) == {d for d, v in slow_clusters([(d, r.text) for d, r in before.items()], 5, 80).items() if v[2]}
             assert near_dedup.clusters(out, 5).where("not kept").count() == 0
