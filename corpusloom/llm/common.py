@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import os
 import tempfile
 import uuid
 import zlib
@@ -138,6 +137,3 @@ def chunks(texts: list, most_bytes: int = 4_000_000) -> Iterator[tuple[int, int]
 def crc(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 
-
-def single_thread() -> None:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -14,7 +14,6 @@ documents are judged each; other columns pass through ``scan`` unless they carry
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
