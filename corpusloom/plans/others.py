@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import textfn as X
-from corpusloom.operators import dedup, joins, ordering, series
+from corpusloom.operators import dedup, joins, series
 from corpusloom.plans.documents import FLAT, S
 from corpusloom.plans.registry import query
 
