@@ -327,6 +327,22 @@ def test_toxicity(toxic, odd, empty):
     assert toxicity.scores(empty, labels).collect() == [] and toxicity.scores(docs, labels.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_spelled_words_among_others(toxic):
+    docs, labels = toxic
+    model = toxicity.fit(docs, labels)
+    scorer = toxicity.Scorer(model)
+    apart = lambda *words, by=" ": by.join("".join(words))
+    for text in (
+        "alpha a " + apart("blorgon"), apart("beta", "snarfel"), apart("alpha", "grimpat", "gamma"), "nu y " + apart("grimpat") + " kappa",
+        apart("blorgon", by="  "), apart("snarfel", by="\t"), apart("beta", "grimpat", by="\n"), " ".join(["a", "b"] * 100 + list("blorgon")),
+    ):
+        assert scorer.score([text])[0] >= 0.5, text
+    assert scorer.score([apart("alpha", "beta"), "a b c", "1 2 3", "- - - -", "a - ; : b"]).max() < 0.5
+    assert toxicity.restore_text("Nu " + apart("beta", "blorgon", by="  ") + " xi", model.lm) == "nu beta blorgon xi"
+    one, two = (scorer.model.beyond(scorer.reader.read(toxicity.APART + w)) for w in ("blorgon", "blorgonsnarfel"))
+    assert one == 0 < two
+
+
 # -- 9 ---------------------------------------------------------------------------------------------------------------
 def slow_contamination(docs, items):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
