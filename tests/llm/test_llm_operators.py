@@ -343,6 +343,19 @@ def test_spelled_words_among_others(toxic):
     assert one == 0 < two
 
 
+def test_long_tokens_and_few_gaps(toxic):
+    docs, labels = toxic
+    model = toxicity.fit(docs, labels)
+    scorer = toxicity.Scorer(model)
+    for token in (
+        "bl" + "o" * 90 + "rgon", "snarfe" + "l" * 70, ".".join("blorgon") + "." * 60 + "x", "*".join("grimpat" * 10), "blorgon" + "/alpha" * 20,
+        "blor.gon", "s~narfel", "grim/pat", "g,rimpat", "alpha.blorgon", "alpha,beta/snar.fel",
+    ):
+        assert scorer.score(["alpha " + token + " beta"])[0] >= 0.5, (token, scorer.reader.read(token))
+    assert scorer.score(["alpha/beta", "alpha,gamma.kappa", "al.pha", "a" * 100, ("alpha.beta," * 20)]).max() < 0.5
+    assert scorer.reader.read("alpha.beta") == "alpha beta" and scorer.reader.read("al,pha") == "alpha"
+
+
 # -- 9 ---------------------------------------------------------------------------------------------------------------
 def slow_contamination(docs, items):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
