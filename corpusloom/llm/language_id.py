@@ -3,7 +3,9 @@
 A text is the mean of the embeddings of its words' subwords (runs of 2 to 5 UTF-8 bytes of ``<word>``, hashed
 into ``buckets``).  Embeddings and softmax are fitted together by stochastic gradient descent in numpy, on a
 bounded sample (``max_rows``) of the rows given for fitting; every fourth of these is set aside to fit the
-temperature and the rejection cut: the score below which ``reject`` of the rightly recognised set-aside rows lie.
+temperature.  The rejection cut is the score below which ``reject`` of the rightly recognised rows lie, of all rows
+with a language that taught nothing; their scores are counted where the texts lie.  Fewer than 1 / ``reject`` such
+rows can't tell that share: the cut is then the lowest of their scores.
 As embedding and softmax are linear, a word's share of the logits is a row that each worker remembers.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0 and rejected; with nothing to learn
@@ -32,6 +34,8 @@ LETTER = re.compile(r"[^\W\d_]")
 SIZES = (2, 3, 4, 5)
 #: Words that a worker remembers, and the longest of them in bytes.
 MEMO, MEMO_LEN = 500_000, 64
+#: Scores are counted by the logarithm of their odds, in steps of 1 / ODDS.
+ODDS = 100
 OUT = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())]
 
 
@@ -76,8 +80,8 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def training_rows(docs: DataFrame, buckets: int, max_rows: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(language, buckets, counts) of a bounded sample; the texts are counted where they lie."""
+def training_rows(docs: DataFrame, buckets: int, max_rows: int) -> list[tuple[str, np.ndarray, np.ndarray, int | None]]:
+    """(language, buckets, counts, id) of a bounded sample; the texts are counted where they lie."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     rows = bounded_sample(rows, max_rows)
 
@@ -96,7 +100,25 @@ def training_rows(docs: DataFrame, buckets: int, max_rows: int) -> list[tuple[st
     rows = rows.select(F.col("doc_id").cast("long"), "text", "lang")
     found = rows.mapInArrow(count, "doc_id long, lang string, ids binary, n binary").collect()
     found.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang, len(r.ids)))
-    return [(r.lang, np.frombuffer(r.ids, "<u2"), np.frombuffer(r.n, "<u2")) for r in found]
+    return [(r.lang, np.frombuffer(r.ids, "<u2"), np.frombuffer(r.n, "<u2"), r.doc_id) for r in found]
+
+
+def rejection_cut(docs: DataFrame, model: Model, taught: set[int | None], reject: float) -> float:
+    """The score below which ``reject`` of the rightly recognised rows lie; rows whose ids ``taught`` are left out."""
+    spark = docs.sparkSession
+    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    # at most twice max_rows ids
+    ids = F.broadcast(spark.createDataFrame([(i,) for i in taught], "id long"))
+    rows = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
+    right = identify(rows.select("text", "lang"), model).where(F.col("lang_pred") == F.col("lang"))
+    odds = F.log(F.col("score") / F.greatest(1 - F.col("score"), F.lit(1e-15)))
+    steps = sorted((r[0], r[1]) for r in right.groupBy(F.floor(odds * ODDS).alias("b")).count().collect())
+    left = int(sum(n for _, n in steps) * reject)
+    for b, n in steps:
+        if n > left:
+            return float(1 / (1 + np.exp(-b / ODDS)))
+        left -= n
+    return 0.0
 
 
 def fit(docs: DataFrame, max_rows: int = 3000, buckets: int = 1 << 15, dim: int = 8, steps: int = 15_000, rate: float = 0.5, reject: float = 0.001, seed: int = 7) -> Model:
@@ -116,7 +138,7 @@ def fit(docs: DataFrame, max_rows: int = 3000, buckets: int = 1 << 15, dim: int
     step, steps = 0, epochs * len(used)
     for _ in range(epochs):
         for i in rng.permutation(len(used)):
-            lang, ids, n = used[i]
+            lang, ids, n, _ = used[i]
             share = (n / n.sum()).astype(np.float32)
             x = share @ emb[ids]
             g = softmax(x @ top + bias)
@@ -129,15 +151,14 @@ def fit(docs: DataFrame, max_rows: int = 3000, buckets: int = 1 << 15, dim: int
             emb[ids] -= (lr * 20 * share)[:, None] * back
             step += 1
     logits = emb @ top
-    z = np.array([(n / n.sum()) @ logits[ids] + bias for _, ids, n in aside])
+    z = np.array([(n / n.sum()) @ logits[ids] + bias for _, ids, n, _ in aside])
     y = np.array([number[r[0]] for r in aside])
     grid = np.geomspace(0.05, 5, 41)
     loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
     t = float(grid[int(np.argmin(loss))])
-    p = softmax(z / t)
-    right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y])
-    cut = float(min(0.5, right[int(len(right) * reject)])) if len(right) else 0.0
-    return Model(langs, logits.astype(np.float32), bias.astype(np.float64), t, cut)
+    model = Model(langs, logits.astype(np.float32), bias.astype(np.float64), t)
+    model.cut = rejection_cut(docs, model, {r[3] for r in used} if aside is not rows else set(), reject)
+    return model
 
 
 class Predictor:

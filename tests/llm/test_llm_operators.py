@@ -268,6 +268,26 @@ def test_language_id(spark, odd, empty):
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
 
 
+def test_unlearned_languages_are_rejected(spark):
+    rng = random.Random(18)
+    parts = {"aa": "kla mor tin sel".split(), "bb": "ouè éau ment tré".split(), "cc": "schü keit ung zer".split()}
+    foreign = {"dd": "wub pyq zog vax".split(), "ee": "моло дца рек лес".split(), "ff": "kib ret dom nus".split()}
+    write = lambda p: " ".join("".join(rng.choice(p) for _ in range(rng.randint(1, 3))) for _ in range(30))
+    rows = [(i, write(parts[lang]), lang) for i, lang in enumerate(sorted(parts) * 800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language_id.fit(docs, max_rows=600)
+    others = spark.createDataFrame([(write(p), lang) for lang, p in foreign.items() for _ in range(100)], "text string, lang string")
+    kept = {r.lang: r.n for r in language_id.identify(others, model).groupBy("lang").agg(F.sum(F.col("accepted").cast("int")).alias("n")).collect()}
+    assert max(kept.values()) <= 5, kept
+    assert language_id.identify(docs, model).where("accepted").count() >= 0.995 * len(rows)
+    # where scores differ, the share rejected is the one asked for
+    mixed = [(i, " ".join(rng.choice(parts[lang] if rng.random() < 0.6 else parts[rng.choice("abc") * 2]) for _ in range(9)), lang) for i, _, lang in rows]
+    table = spark.createDataFrame(mixed, "doc_id long, text string, lang string").repartition(4)
+    model = language_id.fit(table, max_rows=600, reject=0.2)
+    right = language_id.identify(table, model).where("lang_pred = lang")
+    assert 0.75 < right.where("accepted").count() / right.count() < 0.85
+
+
 # -- 7 ---------------------------------------------------------------------------------------------------------------
 def test_hash_tree(spark, odd, empty):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 7).cast("string")).alias("text"))
