@@ -239,56 +239,99 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     return judged.where(~contaminated()).select("__all.*")
 
 
-def longest_matches(docs: DataFrame, benchmark: DataFrame, depth: int = 64) -> DataFrame:
+class Suffixes:
+    """All suffixes of a block of items, as starts in one row of words; stands in for a Probe and its words."""
+
+    def __init__(self, items: list[tuple[str, str | None]]):
+        memo = WordHashes()
+        codes = [word_codes(memo, text) for _, text in items]
+        sizes = np.array([len(c) for c in codes], np.int64)
+        self.flat = np.concatenate([np.zeros(0, np.uint64), *codes])
+        self.names = [name for name, _ in items]
+        self.item = np.repeat(np.arange(len(items)), sizes)
+        end = np.repeat(np.cumsum(sizes), sizes)
+        self.length = end - np.arange(len(self.flat))
+        self.at = np.repeat(sizes, sizes) - self.length
+        self.shape = (len(self.flat), int(sizes.max(initial=0)))
+
+    @property
+    def words(self) -> Suffixes:
+        return self
+
+    def __getitem__(self, place: tuple[np.ndarray, int]) -> np.ndarray:
+        return self.flat[place[0] + place[1]]
+
+
+def common_words(words: np.ndarray, at: np.ndarray, asked: Suffixes) -> np.ndarray:
+    """How many words each suffix shares with the one of ``words`` that begins at ``at``."""
+    out = np.zeros(len(at), np.int64)
+    open_ = np.arange(len(at))
+    for d in range(asked.shape[1]):
+        open_ = open_[asked.length[open_] > d]
+        open_ = open_[words[at[open_] + d] == asked[open_, d]]
+        if not len(open_):
+            break
+        out[open_] = d + 1
+    return out
+
+
+def longest_matches(docs: DataFrame, benchmark: DataFrame, shard_words: int = 1_000_000, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """item_id, at, longest, doc_id, word: for every suffix of every item, its longest verbatim match in the documents.
 
     A suffix's longest match stands beside its place in the suffix array, so each shard yields one row a
-    suffix, and the largest over shards is kept.  Matches are followed for ``depth`` words.
+    suffix, and the largest over shards is kept.  Matches are followed to their full length; the benchmark
+    travels in blocks, a pass each.  It stands beside op9, which searches windows and doesn't call it.
     """
-    spark = docs.sparkSession
-    memo, names, starts, flat = WordHashes(), [], [], []
-    for items in blocks(benchmark, BLOCK_BYTES):
-        for name, text in items:
-            h = word_codes(memo, text)
-            for s in range(len(h)):
-                names.append(name)
-                starts.append(s)
-                flat.append(np.pad(h[s : s + depth], (0, depth - len(h[s : s + depth]))))
-    held = spark.sparkContext.broadcast((names, starts, np.array(flat, np.uint64).reshape(len(flat), depth)))
+    spark, schema = docs.sparkSession, "item_id string, at long, longest long, doc_id long, word long"
+    texts, found = docs.select(F.col("doc_id").cast("long"), "text"), None
+    for items in blocks(benchmark, block_bytes):
+        part = texts.mapInArrow(matcher(spark.sparkContext.broadcast(Suffixes(items)), shard_words), schema)
+        found = part if found is None else found.unionByName(part)
+    best = found.groupBy("item_id", "at").agg(F.max(F.struct("longest", -F.col("doc_id"), -F.col("word"))).alias("m"))
+    return best.select("item_id", "at", F.col("m.longest").alias("longest"), (-F.col("m.col2")).alias("doc_id"), (-F.col("m.col3")).alias("word"))
+
+
+def matcher(held, shard_words: int):
+    """One pass of ``longest_matches``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
-        names, starts, asked = held.value
-        for batch in batches:
-            docs = [word_codes(memo, t) for t in batch.column(1).to_pylist()]
-            if not docs or not len(asked):
-                continue
-            ids = batch.column(0).to_pylist()
+        memo, asked = WordHashes(), held.value
+        depth = asked.shape[1]
+
+        def done(ids: list, docs: list[np.ndarray]) -> pa.RecordBatch:
             words = np.concatenate([*[np.append(d, np.uint64(0)) for d in docs], np.zeros(depth, np.uint64)])
             ends = np.cumsum([len(d) + 1 for d in docs])
             order = suffix_array(words[: len(words) - depth], depth)
-            whole = Probe(asked, (asked > 0).sum(axis=1), [])
-            lo, _ = intervals(words, order, whole)
-            best, where = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
+            lo, _ = intervals(words, order, asked)
+            best, where = np.zeros(len(lo), np.int64), np.zeros(len(lo), np.int64)
             for side in (lo - 1, lo):
                 at = order[np.clip(side, 0, len(order) - 1)]
-                same = np.stack([words[at + d] == asked[:, d] for d in range(depth)], 1) & (asked > 0)
-                got = np.where(same.all(axis=1), depth, np.argmin(same, axis=1))
+                got = common_words(words, at, asked)
                 best, where = np.where(got > best, got, best), np.where(got > best, at, where)
             rows = np.flatnonzero(best > 0)
             doc = np.searchsorted(ends, where[rows], "right")
             first = np.concatenate(([0], ends[:-1]))
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([names[r] for r in rows], pa.string()), pa.array([starts[r] for r in rows], pa.int64()),
+                    pa.array([asked.names[i] for i in asked.item[rows]], pa.string()), pa.array(asked.at[rows], pa.int64()),
                     pa.array(best[rows], pa.int64()), pa.array([ids[d] for d in doc], pa.int64()), pa.array(where[rows] - first[doc], pa.int64()),
                 ],
                 names=["item_id", "at", "longest", "doc_id", "word"],
             )
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "item_id string, at long, longest long, doc_id long, word long")
-    best = found.groupBy("item_id", "at").agg(F.max(F.struct("longest", -F.col("doc_id"), -F.col("word"))).alias("m"))
-    return best.select("item_id", "at", F.col("m.longest").alias("longest"), (-F.col("m.col2")).alias("doc_id"), (-F.col("m.col3")).alias("word"))
+        for batch in batches:
+            ids, docs, size = [], [], 0
+            for i in range(batch.num_rows if depth else 0):
+                ids.append(batch.column(0)[i].as_py())
+                docs.append(word_codes(memo, batch.column(1)[i].as_py()))
+                size += len(docs[-1]) + 1
+                if size >= shard_words:
+                    yield done(ids, docs)
+                    ids, docs, size = [], [], 0
+            if docs:
+                yield done(ids, docs)
+
+    return run
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -433,6 +433,19 @@ def test_longest_matches(spark):
     assert got[0] == (4, 1, 1) and got[1] == (4, 2, 0) and got[4] == (1, 2, 3)
 
 
+def test_longest_matches_past_64_words(spark):
+    rng = random.Random(21)
+    passage = [f"w{rng.randrange(40)}" for _ in range(150)]
+    docs = [(1, " ".join(passage[:80])), (2, prose(rng, 30) + " " + " ".join(passage[:140])), (3, " ".join(passage[20:]))]
+    d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    b = spark.createDataFrame([(7, " ".join(passage)), (8, prose(rng, 9)), (9, None)], "item_id long, text string")
+    got = {(r.item_id, r.at): (r.longest, r.doc_id, r.word) for r in decontamination.longest_matches(d, b).collect()}
+    assert got["7", 0] == (140, 2, 30) and got["7", 20] == (130, 3, 0)
+    small = decontamination.longest_matches(d, b, shard_words=40, block_bytes=60).collect()  # many shards, many passes
+    assert {(r.item_id, r.at): r.longest for r in small} == {k: v[0] for k, v in got.items()}
+    assert decontamination.longest_matches(d, b.limit(0)).collect() == []
+
+
 # -- 10 --------------------------------------------------------------------------------------------------------------
 def slow_clusters(rows, n, percent):
     sets = {}
