@@ -7,15 +7,17 @@ its id (signed 64-bit), then token ids of two or four bytes.
 
 Files are written by Spark's text sink, whose line end is the closing newline, so any store that Spark can
 write will do, the commit protocol covers lost executors, and no task touches a local folder.  Rows are dealt
-by range of the id and sorted, so the files, ordered by their first id, hold the ids in ascending order.
+by range of the id and sorted, so the files, in the order of their numbers, hold the ids in ascending order.
 The index is a Parquet table (file, offset, length, id, tokens): a shuffled reader needs only its rows.
 
 Defined cases: null text is encoded as empty (the end id alone); null ids come first; repeated ids stand
-beside each other, ordered by text; an empty table gives no records; other columns are not written.
+beside each other, ordered by the text's first 64 characters, then its hash; an empty table gives no records; other columns are not written; a very
+long text is one record, whose size a file's number of records allows for.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 from collections.abc import Iterator
@@ -26,13 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import chunks, crc, scratch
+from corpusloom.llm.common import crc, scratch, slices
 
 #: Fixed values of the framing.
 MASK, HEAD, WIDE, NULL_ID = 0xA282EAD8, struct.Struct("<QI"), 1, 2
 ENTRY = struct.Struct("<Bq")
+#: Records that a file has at most, and bytes that it never exceeds unless a single record does (Spark reads 2 GB at once).
+RECORDS, FILE_BYTES = 8192, 2_000_000_000
 #: Words that a worker remembers; longer ones than the second figure are never kept.
 MEMO, MEMO_LEN = 700_000, 64
+#: Fixed value: the splitter that drops white space.
+SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Signs whose run behind letters the splitter sets apart as one; the apostrophe has rules of its own.
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -82,9 +88,10 @@ def unpack(payload) -> tuple[int | None, np.ndarray]:
 class WordEncoder:
     """The tokenizers library behind a bounded memo.
 
-    The vocabulary's splitter drops white space, so the ids of a text are those of its parts between spaces.
-    Where lower-casing is the library's own (Latin-1 texts) parts are remembered in lower case; letters and the signs
-    behind them are remembered apart.
+    Where the file says that its splitter drops white space and sets signs apart, the ids of a text are those of its
+    parts between spaces, which are remembered; any other file's tokenizer gets whole texts.  Where lower-casing is the
+    library's own (Latin-1 texts) parts are remembered in lower case; letters and the signs behind them are remembered
+    apart.
     """
 
     def __init__(self, path: str):
@@ -93,6 +100,12 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        normal, split = said.get("normalizer") or {}, said.get("pre_tokenizer") or {}
+        steps = [n["type"] for n in normal.get("normalizers", [])]
+        cuts = [(p.get("pattern"), p.get("behavior"), p.get("invert")) for p in split.get("pretokenizers", [])]
+        self.by_parts = steps == ["NFC", "Replace", "Lowercase"] and cuts[:1] == [({"Regex": SPLITTER}, "Removed", True)]
 
     def ids_of(self, parts: list[str]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
@@ -109,6 +122,8 @@ class WordEncoder:
         memo.update((p, memo[a] + memo[b]) for p, (a, b) in base.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_parts:
+            return self.ids_of(texts)
         if len(self.memo) > MEMO:
             self.memo.clear()
         parts = []
@@ -135,23 +150,49 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def records_a_file(sizes: DataFrame, most_bytes: int = FILE_BYTES) -> int:
+    """How many records a file may have so that no choice of as many exceeds ``most_bytes``; sizes: b (power of two), n.
+
+    A record has at most four bytes for each byte of its text, and its end id, head and frame.
+    """
+    found, room = 0, most_bytes
+    for b, n in sorted(((r["b"], r["n"]) for r in sizes.collect()), reverse=True):
+        each = 4 * 2 ** (b + 1) + 64
+        fits = min(n, room // each)
+        found, room = found + fits, room - fits * each
+        if fits < n:
+            break
+    return max(1, found)
+
+
 def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
-    """Encodes every text, closes it with ``end_id`` and writes record files in ascending order of ``key``."""
+    """Encodes every text, closes it with ``end_id`` and writes record files in ascending order of ``key``.
+
+    Ranges are of the key, then of the text's beginning and hash, then of chance, so rows that share a key, or are repeated whole,
+    needn't share a task.  A file has at most RECORDS records, and fewer where their texts are so long that these could
+    exceed FILE_BYTES; a single longer record is a file by itself.
+    """
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = rows.repartitionByRange("k").sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
+    size = F.octet_length("t")
+    bits = F.when(size > 0, F.floor(F.log2(size.cast("double")))).otherwise(0).cast("int")
+    sizes = rows.groupBy(bits.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    most = min(RECORDS, records_a_file(sizes))
+    ties = F.struct(F.substring("t", 1, 64), F.xxhash64("t")).alias("h")
+    rows = rows.select("k", "t", ties).repartitionByRange("k", "h", F.rand(5)).sortWithinPartitions(F.col("k").asc_nulls_first(), "h")
     end = np.uint32(end_id).astype("<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = word_encoder(tokenizer_path)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in chunks(texts, 8_000_000):
-                coded = enc.encode(texts[a:b])
-                out = [frame(pack(k, np.frombuffer(c + end, "<u4"))) for k, c in zip(keys[a:b], coded)]
+            keys, a = batch.column(0).to_pylist(), 0
+            for part in slices(batch.column(1), 8_000_000):
+                coded = enc.encode(part.to_pylist())
+                out = [frame(pack(k, np.frombuffer(c + end, "<u4"))) for k, c in zip(keys[a : a + len(part)], coded)]
+                a += len(part)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    framed = rows.mapInArrow(run, "value binary")
-    framed.select(F.col("value").cast("string")).write.text(path, lineSep="\n")
+    framed = rows.select("k", "t").mapInArrow(run, "value binary")
+    framed.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", most).text(path, lineSep="\n")
 
 
 def scan_records(spark: SparkSession, path: str) -> DataFrame:
@@ -193,19 +234,25 @@ def write_index(spark: SparkSession, records: str, index: str) -> None:
 
 
 def read_index(spark: SparkSession, index: str) -> DataFrame:
-    """The index with ``start``: the tokens before a record over all files, which are ordered by their first key.
+    """The index with ``start``: the tokens before a record over all files, in the order in which they were written.
 
     Only one row a file meets in the running sum.
     """
     rows = spark.read.parquet(index)
-    files = rows.groupBy("file").agg(F.min("key").alias("first"), F.sum("n_tokens").alias("n"), F.max(F.col("key").isNull()).alias("nulls"))
-    order = Window.orderBy(F.col("nulls").desc(), F.col("first"), F.col("file")).rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
+    # the writer's names hold the number of the range, and of the file in it
+    number = lambda p: F.regexp_extract("file", p, 1).cast("long")
+    order = Window.orderBy(number("part-([0-9]+)"), number("-c([0-9]+)[^/]*$"), "file").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("file", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("at"))
     return rows.join(starts, "file").withColumn("start", (F.col("at") + F.col("before")).cast("long")).drop("at", "before")
 
 
 def read_at(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Shuffled read: the ids of the wanted index rows, each file opened once by Spark and cut at its offsets."""
+    """Shuffled read: the ids of the wanted index rows; only files that hold some are opened, once each, and cut at the offsets.
+
+    A file is the unit that a store hands out, so files are small (RECORDS); the wanted places of a file are at most its
+    records, and one name a wanted file travels to the driver.
+    """
     spark = index.sparkSession
     places = wanted.groupBy("file").agg(F.collect_list(F.struct("offset", "length")).alias("at"))
     names = [r[0] for r in places.select("file").collect()]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import chunks
+from corpusloom.llm.common import slices
 
 INF = np.int64(2**62)
 #: Padded lengths above this are merged one by one.
@@ -206,6 +206,10 @@ class Encoder:
         self.table, self.pieces = load_ranks(ranks_path), regex.compile(pattern).findall
         self.units = regex.compile(r"\s*\S+|\s+").findall
         self.twice = regex.compile(r"\s\s").search
+        # what parts a text into units, and what makes letters one piece, holds for this pattern and isn't taken for granted of others
+        import public_tokenizers
+
+        self.by_units = pattern == public_tokenizers.PATTERN
         #: By unit; those of ``spaced`` stand after one space that isn't in their key.
         self.bare: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
@@ -224,6 +228,10 @@ class Encoder:
             memo[u] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_units:
+            pieces = [[p.encode("utf-8", "surrogatepass") for p in self.pieces(t)] for t in texts]
+            known = merge_pieces({p for ps in pieces for p in ps}, self.table)
+            return [b"".join([known[p] for p in ps]) for ps in pieces]
         plain: list[list[str] | None] = []
         whole: list[list[str]] = []
         for t in texts:
@@ -277,10 +285,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path, pattern)
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(names)).to_pylist()]
-            for a, b in chunks(texts, 8_000_000):
-                coded = enc.encode(texts[a:b])
-                columns = [batch.column(i).slice(a, b - a) for i in range(len(names))] + [pa.array(coded, pa.binary())]
+            a = 0
+            for part in slices(batch.column(len(names))):
+                coded = enc.encode([t or "" for t in part.to_pylist()])
+                columns = [batch.column(i).slice(a, len(part)) for i in range(len(names))] + [pa.array(coded, pa.binary())]
+                a += len(part)
                 if decoded:
                     columns.append(pa.array([enc.decode(x) for x in coded], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *[f.name for f in added]])

@@ -7,11 +7,14 @@ import contextlib
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Maps bytes to themselves, A-Z to a-z.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -26,29 +29,48 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; an own one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; an own one only where that is unset.
+
+    An own one is a local folder, which executors on other machines can't see, so only a local master gets it.
+    """
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_dir:
         return set_dir.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get().rstrip("/")
 
 
+#: Paths of this driver that are still there, in the order in which they were made.
+LIVE: dict[str, None] = {}
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path below the shared folder; removed when the driver ends, or earlier by discard()."""
     path = f"{shared_dir(spark)}/corpusloom/{what}-{uuid.uuid4().hex}"
+    LIVE[path] = None
     atexit.register(discard, spark, path)
     return path
 
 
 def discard(spark: SparkSession, path: str) -> None:
+    if path not in LIVE:
+        return
     with contextlib.suppress(Exception):
         jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
+        del LIVE[path]
+
+
+def discard_since(spark: SparkSession, before: set[str], but: str) -> None:
+    """Removes what was written since ``before`` was the set of live paths, but for one path."""
+    for path in [p for p in LIVE if p not in before and p != but]:
+        discard(spark, path)
 
 
 class Staged:
@@ -72,14 +94,61 @@ def bounded_sample(df: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
     """About ``limit`` rows, at most twice as many, chosen by a hash of the id: a documented bound for fitting a classifier.
 
     Only ids travel to find the cut, and the rows stay where they are.  Where repeated ids make the choice more than
-    twice as many rows, a limit holds the bound.
+    twice as many rows, rows are chosen by a hash of all their columns; of those that share the last hash, which are
+    equal, as many as the bound leaves room for.
     """
+
+    def cut_at(h: Column) -> int | None:
+        return df.select(h.alias("h")).orderBy("h").limit(limit).agg(F.max("h")).first()[0]
+
     h = F.xxhash64(F.col(key))
-    cut = df.select(h.alias("h")).orderBy("h").limit(limit).agg(F.max("h")).first()[0]
+    cut = cut_at(h)
     if cut is None:
         return df.where(F.lit(False))
     chosen = df.where(h <= F.lit(cut))
-    return chosen if chosen.count() <= 2 * limit else chosen.limit(limit)
+    if chosen.count() <= 2 * limit:
+        return chosen
+    h = F.xxhash64(*df.columns)
+    cut = cut_at(h)
+    return df.where(h < F.lit(cut)).unionByName(df.where(h == F.lit(cut)).limit(limit))
+
+
+def slices(texts: pa.Array, most_bytes: int = 4_000_000) -> Iterator[pa.Array]:
+    """Consecutive parts whose texts sum to about ``most_bytes``: bounds what a worker turns into strings at once."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    start = 0
+    while start < len(texts):
+        done = size[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(size, done + most_bytes, "right")))
+        yield texts.slice(start, end - start)
+        start = end
+
+
+def of_text(kind: T.StructType, begin: Callable[[], Callable[[list[str | None]], list]]) -> Callable[[Column], Column]:
+    """A column of structs made from a column of texts.
+
+    Only the texts travel to Python and only the structs come back; the other columns stay in the JVM.  ``begin`` is
+    called once a task and gives a function from texts to the struct's columns.  It is marked nondeterministic so that
+    a filter and a projection of its result share one evaluation.
+    """
+    names = kind.names
+    kinds = [_arrow_type(f.dataType) for f in kind.fields]
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        judge = begin()
+        for batch in batches:
+            parts = [judge(part.to_pylist()) for part in slices(batch)]
+            columns = [pa.chunked_array([pa.array(p[i], k) for p in parts], k).combine_chunks() for i, k in enumerate(kinds)]
+            yield pa.StructArray.from_arrays(columns, names=names)
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, kind).asNondeterministic()
+
+
+def _arrow_type(kind: T.DataType) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)
 
 
 class WordHashes(dict):

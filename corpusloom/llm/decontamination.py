@@ -1,22 +1,27 @@
 """Benchmark decontamination by suffix arrays over the training documents.
 
-Each task cuts its documents into shards of about ``shard_words`` words (a document is never split), sorts every
-suffix of a shard by its first 16 words or more (prefix doubling) and binary-searches every window of every
-benchmark item in it.  The suffixes that begin with a window form one interval of the array: all verbatim
-occurrences, with their places.  Nothing is shuffled; the benchmark travels in blocks of at most ``BLOCK_BYTES``,
-as many passes as it takes, so a large benchmark costs passes and never a task's memory.
+Each task cuts its documents into shards of about ``shard_words`` words (a document is never split) and sorts every
+suffix of a shard, by prefix doubling, as far as the longest benchmark item reaches.  Every suffix of every benchmark
+item is binary-searched in it; its longest verbatim match stands beside the place where it would be inserted.  Suffixes
+that match for a window (13 words, or the whole of a shorter item) have all their occurrences read off the interval of
+suffixes that begin with the window, each followed to its full length.
+
+Nothing is shuffled.  The benchmark is broadcast in blocks of at most ``BLOCK_BYTES`` of text, as arrays of word
+hashes; a shard is searched for one block after the other and a worker holds one block at a time, so a large benchmark
+costs time and never a task's memory.
 
 Words are compared by 64-bit hashes.  Defined cases: null text has no words; empty tables give no rows, an empty
 benchmark no hits; an item shorter than a window is one window of its own length, one without words none;
 a null item id is named by the empty string; equal windows of several items count for each of them; repeated
-documents are judged each; other columns pass through ``scan`` unless they carry the name of an output.
+documents are judged each; of equally long matches the one of the smallest document, then the first, is named; a very
+long text is a shard by itself, in memory in proportion to its words; other columns pass through ``scan`` unless they
+carry the name of an output, and through ``decontaminate`` in any case.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import ITEM_WORDS, WordHashes, hash_words
+from corpusloom.llm.common import ITEM_WORDS, WordHashes, hash_words, of_text
 
 WINDOW = 13
-#: Bytes of benchmark text that one pass searches.
-BLOCK_BYTES = 32_000_000
+#: Bytes of benchmark text that one block holds, words that a shard has, and occurrences that are followed at once.
+BLOCK_BYTES, SHARD_WORDS, AT_ONCE = 8_000_000, 1_000_000, 1_000_000
 OUT = [
     T.StructField("n_words", T.LongType()),
     T.StructField("n_hit", T.LongType()),
     T.StructField("items", T.ArrayType(T.StringType())),
     T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),
+    T.StructField("longest", T.LongType()),
 ]
 
 
@@ -46,30 +52,29 @@ def word_codes(memo: WordHashes, text: str | None) -> np.ndarray:
     return np.maximum(hash_words(memo, item_words(text)), np.uint64(1))
 
 
-@dataclass
-class Probe:
-    """The distinct windows of a block of benchmark items."""
+class Items:
+    """A block of benchmark items as word hashes; only these, the items' sizes and their names travel."""
+
+    def __init__(self, items: list[tuple[str, str | None]]):
+        memo = WordHashes(100_000)
+        codes = [word_codes(memo, text) for _, text in items]
+        self.names = [name for name, _ in items]
+        self.sizes = np.array([len(c) for c in codes], np.int64)
+        self.words = np.concatenate([np.zeros(0, np.uint64), *codes])
+
+    @property
+    def depth(self) -> int:
+        return int(self.sizes.max(initial=0))
 
-    words: np.ndarray
-    length: np.ndarray
-    items: list[list[str]] = field(default_factory=list)
 
+class Suffixes:
+    """All suffixes of a block: each word's item, place in it, and words up to the item's end."""
 
-def probe(items: list[tuple[str, str | None]], window: int = WINDOW) -> Probe:
-    memo, at, rows, lengths, names = WordHashes(), {}, [], [], []
-    for name, text in items:
-        h = word_codes(memo, text)
-        w = min(window, len(h))
-        for s in range(len(h) - w + 1 if w else 0):
-            key = h[s : s + w].tobytes()
-            if key not in at:
-                at[key] = len(rows)
-                rows.append(np.pad(h[s : s + w], (0, window - w)))
-                lengths.append(w)
-                names.append(set())
-            names[at[key]].add(name)
-    words = np.array(rows, np.uint64).reshape(len(rows), window)
-    return Probe(words, np.array(lengths, np.int64), [sorted(x) for x in names])
+    def __init__(self, items: Items):
+        self.items, self.words = items, items.words
+        self.item = np.repeat(np.arange(len(items.sizes), dtype=np.int32), items.sizes)
+        self.left = np.repeat(np.cumsum(items.sizes), items.sizes) - np.arange(len(items.words))
+        self.at = items.sizes[self.item] - self.left
 
 
 def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
@@ -104,63 +109,88 @@ def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def compare(words: np.ndarray, at: np.ndarray, asked: Probe, q: np.ndarray) -> np.ndarray:
-    """-1, 0, 1: the suffix at ``at`` begins before, with, after window ``q``. ``words`` is padded by a window of zeros."""
-    out = np.zeros(len(at), np.int8)
+def common_words(words: np.ndarray, at: np.ndarray, asked: Suffixes, q: np.ndarray, most: np.ndarray, known: int = 0) -> np.ndarray:
+    """How many words the suffix of the shard at ``at`` shares with suffix ``q``, up to ``most``; ``known`` of them surely."""
+    out = np.full(len(at), known, np.int64)
     open_ = np.arange(len(at))
-    for d in range(asked.words.shape[1]):
-        open_ = open_[asked.length[q[open_]] > d]
+    d = known
+    while True:
+        open_ = open_[most[open_] > d]
+        open_ = open_[words[at[open_] + d] == asked.words[q[open_] + d]]
         if not len(open_):
-            break
-        a, b = words[at[open_] + d], asked.words[q[open_], d]
-        out[open_] = (a > b).astype(np.int8) - (a < b)
-        open_ = open_[a == b]
-    return out
-
-
-def intervals(words: np.ndarray, order: np.ndarray, asked: Probe) -> tuple[np.ndarray, np.ndarray]:
-    """For each window, the part of the suffix array that begins with it: two binary searches."""
-    q = np.arange(len(asked.length))
-    ends = []
-    for past in (0, 1):
-        lo, hi = np.zeros(len(q), np.int64), np.full(len(q), len(order), np.int64)
-        while True:
-            open_ = np.flatnonzero(lo < hi)
-            if not len(open_):
-                break
-            mid = (lo[open_] + hi[open_]) // 2
-            right = compare(words, order[mid], asked, q[open_]) < past
-            lo[open_[right]] = mid[right] + 1
-            hi[open_[~right]] = mid[~right]
-        ends.append(lo)
-    return ends[0], ends[1]
-
-
-def search_shard(docs: list[np.ndarray], asked: Probe) -> tuple[list[np.ndarray], list[set[str]]]:
-    """For each document: which of its words are hit, and the items whose windows occur in it."""
-    window = asked.words.shape[1]
-    sizes = np.array([len(d) for d in docs], np.int64)
-    starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1])).astype(np.int64)
-    n = int((sizes + 1).sum())
-    words = np.zeros(n + window, np.uint64)
-    for s, d in zip(starts, docs):
-        words[s : s + len(d)] = d
-    order = suffix_array(words[:n], window)
-    lo, hi = intervals(words, order, asked)
-    found: list[set[str]] = [set() for _ in docs]
-    q = np.flatnonzero(hi > lo)
-    if not len(q):
-        return [np.zeros(k, bool) for k in sizes], found
-    times = (hi - lo)[q]
-    inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    at = order[np.repeat(lo[q], times) + inside]
-    which = np.repeat(q, times)
-    edge = np.bincount(at, minlength=n + window) - np.bincount(at + asked.length[which], minlength=n + window)
-    hit = np.cumsum(edge) > 0
-    owner = np.searchsorted(starts, at, "right") - 1
-    for pair in np.unique(owner * len(asked.length) + which).tolist():
-        found[pair // len(asked.length)].update(asked.items[pair % len(asked.length)])
-    return [hit[s : s + k] for s, k in zip(starts, sizes)], found
+            return out
+        d += 1
+        out[open_] = d
+
+
+def bound(words: np.ndarray, order: np.ndarray, asked: Suffixes, q: np.ndarray, most: np.ndarray, past: bool = False) -> np.ndarray:
+    """For suffixes ``q`` cut at ``most`` words, the first place in ``order`` that isn't before them, or is past all that begin so."""
+    lo, hi = np.zeros(len(q), np.int64), np.full(len(q), len(order), np.int64)
+    while True:
+        open_ = np.flatnonzero(lo < hi)
+        if not len(open_):
+            return lo
+        mid = (lo[open_] + hi[open_]) // 2
+        at, ask, upto = order[mid], q[open_], most[open_]
+        same = common_words(words, at, asked, ask, upto)
+        whole = same == upto
+        differ = np.minimum(same, upto - 1)
+        right = np.where(whole, past, words[at + differ] < asked.words[ask + differ])
+        lo[open_[right]] = mid[right] + 1
+        hi[open_[~right]] = mid[~right]
+
+
+class Shard:
+    """Documents in a row, a zero behind each, and the order of all their suffixes."""
+
+    def __init__(self, docs: list[np.ndarray], depth: int):
+        self.sizes = np.array([len(d) for d in docs], np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes + 1)[:-1])).astype(np.int64)
+        self.n = int((self.sizes + 1).sum())
+        self.words = np.zeros(self.n + depth + 1, np.uint64)
+        for s, d in zip(self.starts, docs):
+            self.words[s : s + len(d)] = d
+        self.order = suffix_array(self.words[: self.n], depth)
+
+    def owner(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, at, "right") - 1
+
+    def longest(self, asked: Suffixes) -> tuple[np.ndarray, np.ndarray]:
+        """The longest verbatim match of every suffix, and where in the shard it begins (0 words match nowhere)."""
+        q = np.arange(len(asked.words))
+        lo = bound(self.words, self.order, asked, q, asked.left)
+        best, where = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+        for side in (lo - 1, lo):
+            at = self.order[np.clip(side, 0, self.n - 1)]
+            got = common_words(self.words, at, asked, q, asked.left)
+            better = (got > best) | ((got == best) & (at < where))
+            best, where = np.where(better, got, best), np.where(better, at, where)
+        return best, where
+
+    def search(self, asked: Suffixes, window: int, hit: np.ndarray, found: list[set[str]], longest: np.ndarray) -> None:
+        """Marks hit words, adds the items of each document, and raises its longest match."""
+        size = np.minimum(asked.items.sizes, window)[asked.item]
+        best, _ = self.longest(asked)
+        q = np.flatnonzero((best >= size) & (asked.left >= size))
+        lo = bound(self.words, self.order, asked, q, size[q])
+        times = bound(self.words, self.order, asked, q, size[q], past=True) - lo
+        ends = np.cumsum(times)
+        start = 0
+        while start < len(q):
+            done = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, done + AT_ONCE, "right")))
+            t = times[start:end]
+            inside = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
+            at = self.order[np.repeat(lo[start:end], t) + inside]
+            which = np.repeat(q[start:end], t)
+            edge = np.bincount(at, minlength=len(hit) + 1) - np.bincount(at + size[which], minlength=len(hit) + 1)
+            hit |= np.cumsum(edge)[: len(hit)] > 0
+            owner = self.owner(at)
+            np.maximum.at(longest, owner, common_words(self.words, at, asked, which, asked.left[which], int(size[which].min())))
+            n = len(asked.items.names)
+            for pair in np.unique(owner * n + asked.item[which]).tolist():
+                found[pair // n].add(asked.items.names[pair % n])
+            start = end
 
 
 def stretches(hit: np.ndarray) -> list[list[int]]:
@@ -179,159 +209,109 @@ def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, s
         yield [(r[0], r[1]) for r in part.collect()]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = 1_000_000, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All columns of ``docs`` with n_words, n_hit, items (sorted ids) and spans ([start, end) of hit words)."""
-    spark = docs.sparkSession
-    kept = [f for f in docs.schema.fields if f.name not in {o.name for o in OUT}]
-    names = [f.name for f in kept]
-    schema = T.StructType([*kept, *OUT])
-    df = docs.select(*names)
-    for part, items in enumerate(blocks(benchmark, block_bytes)):
-        held = spark.sparkContext.broadcast(probe(items, window))
-        df = df.mapInArrow(searcher(names, held, shard_words, part > 0), schema)
-    return df
+class Benchmark:
+    """The blocks as broadcasts."""
 
+    def __init__(self, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
+        context = benchmark.sparkSession.sparkContext
+        made = map(Items, blocks(benchmark, block_bytes))
+        held = [(x.depth, context.broadcast(x)) for x in made]
+        self.held, self.depth = [b for _, b in held], max(d for d, _ in held)
 
-def searcher(names: list[str], held, shard_words: int, later: bool):
-    """One pass; a later pass adds to what the earlier ones found."""
-    text_at, n_kept = names.index("text"), len(names)
-    columns = [*names, *[o.name for o in OUT]]
-    kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())))
+    def __iter__(self) -> Iterator[Suffixes]:
+        """One block after the other; of several none is kept by the worker."""
+        for b in self.held:
+            yield Suffixes(b.value)
+            if len(self.held) > 1:
+                b.__dict__.pop("_value", None)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, asked = WordHashes(), held.value
-
-        def done(batch: pa.RecordBatch, docs: list[np.ndarray]) -> pa.RecordBatch:
-            hits, found = search_shard(docs, asked)
-            if later:
-                for i in range(batch.num_rows):
-                    found[i].update(batch.column(n_kept + 2)[i].as_py())
-                    for a, b in batch.column(n_kept + 3)[i].as_py():
-                        hits[i] = hits[i].copy()
-                        hits[i][a:b] = True
-            out = ([len(d) for d in docs], [int(h.sum()) for h in hits], [sorted(f) for f in found], [stretches(h) for h in hits])
-            return pa.RecordBatch.from_arrays([*batch.columns[:n_kept], *[pa.array(o, k) for o, k in zip(out, kinds)]], names=columns)
 
-        for batch in batches:
-            texts, start, docs, size = batch.column(text_at), 0, [], 0
-            for i in range(batch.num_rows):
-                docs.append(word_codes(memo, texts[i].as_py()))
-                size += len(docs[-1]) + 1
-                if size >= shard_words:
-                    yield done(batch.slice(start, i + 1 - start), docs)
-                    start, docs, size = i + 1, [], 0
-            if docs:
-                yield done(batch.slice(start, batch.num_rows - start), docs)
+def shards(texts: list[str | None], memo: WordHashes, shard_words: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first row, word codes of consecutive rows) of about ``shard_words`` words."""
+    start, docs, size = 0, [], 0
+    for i, text in enumerate(texts):
+        docs.append(word_codes(memo, text))
+        size += len(docs[-1]) + 1
+        if size >= shard_words:
+            yield start, docs
+            start, docs, size = i + 1, [], 0
+    if docs:
+        yield start, docs
 
-    return run
 
+def searched(benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES):
+    """The column function from a text to what of it is in the benchmark."""
+    asked = Benchmark(benchmark, block_bytes)
 
-def contaminated(n_hit="n_hit", n_words="n_words"):
-    return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
+    def begin():
+        memo = WordHashes()
 
+        def judge(texts: list[str | None]) -> list:
+            out = [[], [], [], [], []]
+            for _, docs in shards(texts, memo, shard_words):
+                shard = Shard(docs, max(window, asked.depth))
+                hit, found, longest = np.zeros(shard.n, bool), [set() for _ in docs], np.zeros(len(docs), np.int64)
+                for part in asked:
+                    shard.search(part, window, hit, found, longest)
+                hits = [hit[s : s + k] for s, k in zip(shard.starts, shard.sizes)]
+                rows = (shard.sizes.tolist(), [int(h.sum()) for h in hits], [sorted(f) for f in found], [stretches(h) for h in hits], longest.tolist())
+                for column, more in zip(out, rows):
+                    column += more
+            return out
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """``docs`` without the documents of which a twentieth of the words or more is hit; columns unchanged."""
-    if not {o.name for o in OUT} & set(docs.columns):
-        return scan(docs, benchmark, **how).where(~contaminated()).select(*docs.columns)
-    # columns of the outputs' names go along inside a struct
-    judged = scan(docs.select("text", F.struct(*docs.columns).alias("__all")), benchmark, **how)
-    return judged.where(~contaminated()).select("__all.*")
+        return judge
 
+    return of_text(T.StructType(OUT), begin)
 
-class Suffixes:
-    """All suffixes of a block of items, as starts in one row of words; stands in for a Probe and its words."""
 
-    def __init__(self, items: list[tuple[str, str | None]]):
-        memo = WordHashes()
-        codes = [word_codes(memo, text) for _, text in items]
-        sizes = np.array([len(c) for c in codes], np.int64)
-        self.flat = np.concatenate([np.zeros(0, np.uint64), *codes])
-        self.names = [name for name, _ in items]
-        self.item = np.repeat(np.arange(len(items)), sizes)
-        end = np.repeat(np.cumsum(sizes), sizes)
-        self.length = end - np.arange(len(self.flat))
-        self.at = np.repeat(sizes, sizes) - self.length
-        self.shape = (len(self.flat), int(sizes.max(initial=0)))
+def scan(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+    """All columns of ``docs`` with n_words, n_hit, items (sorted ids), spans ([start, end) of hit words) and longest (words of
+    the longest verbatim match that has a window)."""
+    new = [o.name for o in OUT]
+    kept = [c for c in docs.columns if c not in new]
+    found = docs.select(*kept, searched(benchmark, **how)("text").alias("__searched"))
+    return found.select(*kept, *[F.col("__searched")[c].alias(c) for c in new])
 
-    @property
-    def words(self) -> Suffixes:
-        return self
 
-    def __getitem__(self, place: tuple[np.ndarray, int]) -> np.ndarray:
-        return self.flat[place[0] + place[1]]
+def contaminated(n_hit="n_hit", n_words="n_words"):
+    return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
 
 
-def common_words(words: np.ndarray, at: np.ndarray, asked: Suffixes) -> np.ndarray:
-    """How many words each suffix shares with the one of ``words`` that begins at ``at``."""
-    out = np.zeros(len(at), np.int64)
-    open_ = np.arange(len(at))
-    for d in range(asked.shape[1]):
-        open_ = open_[asked.length[open_] > d]
-        open_ = open_[words[at[open_] + d] == asked[open_, d]]
-        if not len(open_):
-            break
-        out[open_] = d + 1
-    return out
+def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+    """``docs`` without the documents of which a twentieth of the words or more is hit; columns unchanged."""
+    found = docs.withColumn("__searched", searched(benchmark, **how)("text"))
+    return found.where(~contaminated("__searched.n_hit", "__searched.n_words")).drop("__searched")
 
 
-def longest_matches(docs: DataFrame, benchmark: DataFrame, shard_words: int = 1_000_000, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def longest_matches(docs: DataFrame, benchmark: DataFrame, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """item_id, at, longest, doc_id, word: for every suffix of every item, its longest verbatim match in the documents.
 
-    A suffix's longest match stands beside its place in the suffix array, so each shard yields one row a
-    suffix, and the largest over shards is kept.  Matches are followed to their full length; the benchmark
-    travels in blocks, a pass each.  It stands beside op9, which searches windows and doesn't call it.
+    Each shard yields one row a suffix that it matches, and the largest over shards is kept.
     """
-    spark, schema = docs.sparkSession, "item_id string, at long, longest long, doc_id long, word long"
-    texts, found = docs.select(F.col("doc_id").cast("long"), "text"), None
-    for items in blocks(benchmark, block_bytes):
-        part = texts.mapInArrow(matcher(spark.sparkContext.broadcast(Suffixes(items)), shard_words), schema)
-        found = part if found is None else found.unionByName(part)
-    best = found.groupBy("item_id", "at").agg(F.max(F.struct("longest", -F.col("doc_id"), -F.col("word"))).alias("m"))
-    return best.select("item_id", "at", F.col("m.longest").alias("longest"), (-F.col("m.col2")).alias("doc_id"), (-F.col("m.col3")).alias("word"))
-
-
-def matcher(held, shard_words: int):
-    """One pass of ``longest_matches``."""
+    asked = Benchmark(benchmark, block_bytes)
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    names = ["item_id", "at", "longest", "doc_id", "word"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, asked = WordHashes(), held.value
-        depth = asked.shape[1]
-
-        def done(ids: list, docs: list[np.ndarray]) -> pa.RecordBatch:
-            words = np.concatenate([*[np.append(d, np.uint64(0)) for d in docs], np.zeros(depth, np.uint64)])
-            ends = np.cumsum([len(d) + 1 for d in docs])
-            order = suffix_array(words[: len(words) - depth], depth)
-            lo, _ = intervals(words, order, asked)
-            best, where = np.zeros(len(lo), np.int64), np.zeros(len(lo), np.int64)
-            for side in (lo - 1, lo):
-                at = order[np.clip(side, 0, len(order) - 1)]
-                got = common_words(words, at, asked)
-                best, where = np.where(got > best, got, best), np.where(got > best, at, where)
-            rows = np.flatnonzero(best > 0)
-            doc = np.searchsorted(ends, where[rows], "right")
-            first = np.concatenate(([0], ends[:-1]))
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([asked.names[i] for i in asked.item[rows]], pa.string()), pa.array(asked.at[rows], pa.int64()),
-                    pa.array(best[rows], pa.int64()), pa.array([ids[d] for d in doc], pa.int64()), pa.array(where[rows] - first[doc], pa.int64()),
-                ],
-                names=["item_id", "at", "longest", "doc_id", "word"],
-            )
-
+        memo = WordHashes()
         for batch in batches:
-            ids, docs, size = [], [], 0
-            for i in range(batch.num_rows if depth else 0):
-                ids.append(batch.column(0)[i].as_py())
-                docs.append(word_codes(memo, batch.column(1)[i].as_py()))
-                size += len(docs[-1]) + 1
-                if size >= shard_words:
-                    yield done(ids, docs)
-                    ids, docs, size = [], [], 0
-            if docs:
-                yield done(ids, docs)
-
-    return run
+            ids = batch.column(0).to_pylist()
+            for start, docs in shards(batch.column(1).to_pylist(), memo, shard_words):
+                shard = Shard(docs, max(1, asked.depth))
+                for part in asked:
+                    best, where = shard.longest(part)
+                    rows = np.flatnonzero(best > 0)
+                    doc = shard.owner(where[rows])
+                    columns = (
+                        [part.items.names[i] for i in part.item[rows]], part.at[rows], best[rows],
+                        [ids[start + d] for d in doc.tolist()], where[rows] - shard.starts[doc],
+                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    found = texts.mapInArrow(run, "item_id string, at long, longest long, doc_id long, word long")
+    best = found.groupBy("item_id", "at").agg(F.max(F.struct("longest", -F.col("doc_id"), -F.col("word"))).alias("m"))
+    return best.select("item_id", "at", F.col("m.longest").alias("longest"), (-F.col("m.col2")).alias("doc_id"), (-F.col("m.col3")).alias("word"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import bounded_sample, chunks, crc_of_id
+from corpusloom.llm.common import bounded_sample, crc_of_id, of_text
 
 UND = "und"
 #: ASCII letters in lower case and all other bytes of UTF-8; the rest of ASCII parts words.
@@ -164,66 +164,76 @@ def fit(docs: DataFrame, max_rows: int = 3000, buckets: int = 1 << 15, dim: int
 class Predictor:
     def __init__(self, model: Model):
         self.model = model
-        #: A word's place in ``rows``: sums of its subwords' logits, then how many they are.
+        #: A word's place in ``rows``: sums of its subwords' logits, then how many they are.  Only words of at most
+        #: MEMO_LEN bytes have one.
         self.place: dict[bytes, int] = {}
         self.rows = np.zeros((0, len(model.langs) + 1))
 
-    def learn(self, words: set[bytes]) -> None:
-        new = list(words)
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            ids, starts = subwords(part, len(self.model.logits))
-            sums = np.add.reduceat(self.model.logits[ids], starts, axis=0, dtype=np.float64)
-            n = np.diff(np.append(starts, len(ids)))
-            self.place.update(zip(part, range(len(self.rows), len(self.rows) + len(part))))
-            self.rows = np.concatenate((self.rows, np.column_stack((sums, n))))
-
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+    def sums(self, words: list[bytes]) -> np.ndarray:
+        out = [np.zeros((0, self.rows.shape[1]))]
+        start = size = 0
+        for i, w in enumerate([*words, None]):
+            # some 400,000 bytes of words at once; a longer word is a part by itself
+            if w is None or (size and size + len(w) > 400_000):
+                part = words[start:i]
+                if part:
+                    ids, starts = subwords(part, len(self.model.logits))
+                    total = np.add.reduceat(self.model.logits[ids], starts, axis=0, dtype=np.float64)
+                    out.append(np.column_stack((total, np.diff(np.append(starts, len(ids))))))
+                start, size = i, 0
+            size += len(w or b"")
+        return np.concatenate(out)
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         m = self.model
         if not m.langs:
-            return [(UND, 0.0, False)] * len(texts)
+            return [UND] * len(texts), [0.0] * len(texts), [False] * len(texts)
         if len(self.place) > MEMO:
-            self.place, self.rows = {}, self.rows[:0]
+            self.place, self.rows = {}, self.rows[:0].copy()
         words = [words_of(t) if t and LETTER.search(t) else [] for t in texts]
         missing: set[bytes] = set()
         for w in words:
             missing.update(set(w).difference(self.place))
         if missing:
-            self.learn(missing)
-        out = []
+            new = sorted(missing, key=len)
+            n_short = sum(len(w) <= MEMO_LEN for w in new)
+            n_held = len(self.rows)
+            rows = np.concatenate((self.rows, self.sums(new)))
+            place = self.place | {w: n_held + i for i, w in enumerate(new)} if n_short < len(new) else self.place
+            self.place.update((w, n_held + i) for i, w in enumerate(new[:n_short]))
+            self.rows = rows[: n_held + n_short]
+        else:
+            rows, place = self.rows, self.place
+        langs, scores, accepted = [], [], []
         for w in words:
             if not w:
-                out.append((UND, 0.0, False))
+                langs.append(UND), scores.append(0.0), accepted.append(False)
                 continue
-            total = self.rows[np.fromiter(map(self.place.__getitem__, w), np.int64, len(w))].sum(axis=0)
+            total = rows[np.fromiter(map(place.__getitem__, w), np.int64, len(w))].sum(axis=0)
             p = softmax((total[:-1] / total[-1] + m.bias) / m.temperature)
             best = int(p.argmax())
-            out.append((m.langs[best], float(min(1.0, p[best])), bool(p[best] >= m.cut)))
-        for w in missing:
-            if len(w) > MEMO_LEN:
-                del self.place[w]
-        return out
+            langs.append(m.langs[best]), scores.append(float(min(1.0, p[best]))), accepted.append(bool(p[best] >= m.cut))
+        return langs, scores, accepted
+
+
+def recognised(docs: DataFrame, model: Model):
+    """The column function from a text to lang_pred, score and accepted."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return of_text(T.StructType(OUT), lambda: Predictor(held.value).predict)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Appends lang_pred, score and accepted; only ``text`` is read."""
-    kept = [f for f in docs.schema.fields if f.name not in {o.name for o in OUT}]
-    names = [f.name for f in kept]
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    text_at = names.index("text")
+    new = [o.name for o in OUT]
+    kept = [c for c in docs.columns if c not in new]
+    found = docs.select(*kept, recognised(docs, model)("text").alias("__recognised"))
+    return found.select(*kept, *[F.col("__recognised")[c].alias(c) for c in new])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictor = Predictor(held.value)
-        for batch in batches:
-            texts = batch.column(text_at).to_pylist()
-            for a, b in chunks(texts, 8_000_000):
-                lang, score, ok = zip(*predictor.predict(texts[a:b]))
-                yield pa.RecordBatch.from_arrays(
-                    [*[c.slice(a, b - a) for c in batch.columns], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ok, pa.bool_())],
-                    names=[*names, *[o.name for o in OUT]],
-                )
-
-    return docs.select(*names).mapInArrow(run, T.StructType([*kept, *OUT]))
+
+def accept(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` whose language is recognised, with the columns they came with whatever their names."""
+    found = docs.withColumn("__recognised", recognised(docs, model)("text"))
+    return found.where(F.col("__recognised")["accepted"]).drop("__recognised")
 
 
 def held_out():

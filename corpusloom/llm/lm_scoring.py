@@ -1,39 +1,47 @@
 """Stupid-backoff scores of every document under the n-gram counts of all other documents.
 
-The score of a word after its predecessor is ``C(prev word) / C(prev)`` if the pair occurs in another document, else
-``alpha * C(word) / N``, else (a word of no other document) ``alpha * alpha / N``; a first word begins at the second.
-All counts are leave-one-out: the corpus count less the document's own.  Logarithms are rounded to millionths,
-``L(x) = round(1e6 ln x)``, so that a document's score is a sum of integers, the same in any order.
+The score of a word after its predecessor is ``C(prev word) / C(prev)`` if the pair occurs in another row, else
+``alpha * C(word) / N``, else (a word of no other row) ``alpha * alpha / N``; a first word begins at the second.
+Counts are leave-one-out: the corpus count less the row's own; ``N`` is the number of all words.  Logarithms are rounded
+to millionths, ``L(x) = round(1e6 ln x)``, so that a document's score is a sum of integers, the same in any order.
 
 1. Word counts: partial counts of each task, summed by hash and staged.  Words with at least ``N / hot`` occurrences
-   are hot; there can be no more than ``hot`` of them, so their counts are broadcast.
-2. Pairs: each task packs its documents' pairs (previous word, word, id, times, own counts) by bucket, a hash of the
-   pair for hot words and of the word for others.  A bucket holds all rows of its pairs, so it counts and
-   scores them at once.  No bucket is tied to a hot word; a hot pair has one row a document and task.
+   are hot; there can be no more than ``hot`` of them, so their counts are broadcast.  Each task also reports pairs that
+   are frequent in it; those that may have ``2 N / 2^17`` occurrences or more are counted exactly by another scan and
+   broadcast too (at most ``2^18``).
+2. Pairs: each task packs its rows' pairs (previous word, word, id, times, own counts) by bucket, a hash of the
+   pair for hot words and of the word for others; hot pairs, whose counts are known, are dealt over all buckets.  A
+   bucket holds all rows of its other pairs, so it counts and scores them at once, and no key can fill it.
 3. A pair that occurs elsewhere is divided by its first word's count, which a bucket knows for hot words only; the
    other words are joined with the count table.  Sums by document finish the score.
 
+``relational`` is the plain form, for any order, with a row an n-gram; it gives the same scores for order 2.
+
 Words are runs of other than ASCII white space with A-Z lower-cased, compared by 63-bit hashes.  Defined cases: null
-text has no words; a document without words has score 0 and a null mean; rows that share an id (or have none) give one row, their sum, in which a
-pair's own count is the id's and a single word's is the row's; an empty table gives no rows; other columns are not
-read.
+text has no words; a document without words has score 0 and a null mean; rows that share an id (or have none) are left
+out one by one and give one row, their sum; rows repeated whole see each other; a very long text is packed by itself,
+in memory in proportion to its words; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import LOWER, Staged, WordHashes, chunks, hash_words, mix
+from corpusloom.llm.common import LOWER, Staged, WordHashes, hash_words, mix, slices
 
 ALPHA = 0.4
-#: Hot words are at most so many.
-HOT = 1 << 17
+#: Hot words are at most so many, or as many as there are buckets, up to the second figure; hot pairs at most twice the first.
+HOT, MOST_HOT = 1 << 17, 1 << 20
+#: A pair with fewer occurrences needn't be spread.
+HOT_PAIR = 20_000
 #: Words that a worker remembers, bytes of text that it packs at once, and document sums that it holds.
 MEMO, PACK_BYTES, SUMS = 400_000, 4_000_000, 1_000_000
 #: Pairs that a bucket should hold.
@@ -55,28 +63,68 @@ def text_hashes(memo: WordHashes, text: str | None) -> np.ndarray:
     return hash_words(memo, (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()) | COLD
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """h, c: the count of each word in the corpus."""
+def doc_words(memo: WordHashes, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of all texts in a row, the row of each, and whether it is its text's first."""
+    words = [text_hashes(memo, t) for t in texts]
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    w = np.concatenate([np.zeros(0, np.uint64), *words])
+    first = np.zeros(len(w), bool)
+    first[(np.cumsum(size) - size)[size > 0]] = True
+    return w, np.repeat(np.arange(len(words)), size), first
+
+
+def pair_hashes(w: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """63-bit hashes of the pairs (predecessor, word) of words that aren't first."""
+    at = np.flatnonzero(~first)
+    with np.errstate(over="ignore"):
+        return mix(mix(w[at]) * GOLD + w[at - 1]) >> np.uint64(1)
+
+
+def word_counts(docs: DataFrame, hot: int) -> DataFrame:
+    """h, c, pair: the count of each word in the corpus, and of pairs that are frequent somewhere a lower bound of theirs.
+
+    A part of n pairs reports those that occur more than n / ``hot`` times and more than once in it, so what goes
+    unreported of a pair is at most a share of 1 / ``hot`` of all pairs, and one a part.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, h, c = WordHashes(MEMO), np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
+        def out(h: np.ndarray, c: np.ndarray, pair: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c), pa.array(np.full(len(h), pair))], names=["h", "c", "pair"])
 
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in chunks(texts, PACK_BYTES):
-                new = np.concatenate([text_hashes(memo, t) for t in texts[a:b]])
+            for part in slices(batch.column(0), PACK_BYTES):
+                new, _, first = doc_words(memo, part.to_pylist())
                 every, at, n = np.unique(np.concatenate((h, new)), return_inverse=True, return_counts=True)
                 held = np.bincount(at[: len(h)], weights=c, minlength=len(every)).astype(np.int64)
                 c = held + n - np.bincount(at[: len(h)], minlength=len(every))
                 h = every
+                pairs, times = np.unique(pair_hashes(new, first), return_counts=True)
+                often = times > max(1, times.sum() / hot)
+                if often.any():
+                    yield out(pairs[often], times[often], True)
                 if len(h) > 1_000_000:
-                    yield out()
+                    yield out(h, c, False)
                     h, c = h[:0], c[:0]
         if len(h):
-            yield out()
+            yield out(h, c, False)
+
+    return docs.select("text").mapInArrow(run, "h long, c long, pair boolean").groupBy("pair", "h").agg(F.sum("c").alias("c"))
+
+
+def pair_counts(docs: DataFrame, asked) -> DataFrame:
+    """h, c: the counts of the pairs whose hashes are broadcast, in ascending order, as ``asked``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, wanted = WordHashes(MEMO), asked.value
+        total = np.zeros(len(wanted) + 1, np.int64)
+        for batch in batches:
+            for part in slices(batch.column(0), PACK_BYTES):
+                w, _, first = doc_words(memo, part.to_pylist())
+                total += np.bincount(places(pair_hashes(w, first), wanted), minlength=len(total))
+        found = np.flatnonzero(total[1:])
+        yield pa.RecordBatch.from_arrays([pa.array(wanted[found].view(np.int64)), pa.array(total[1:][found])], names=["h", "c"])
 
     return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
@@ -122,67 +170,102 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def places(h: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """1 + place in ``ordered``, 0 for what isn't there."""
+    if not len(ordered):
+        return np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)
+    return np.where(ordered[at] == h, at + 1, 0)
+
+
 def codes(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """1 + place in ``hot`` for hot words, the hash (top bit set) for others."""
-    if not len(hot):
-        return h
-    at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-    return np.where(hot[at] == h, at.astype(np.uint64) + np.uint64(1), h)
+    at = places(h, hot).astype(np.uint64)
+    return np.where(at > 0, at, h)
 
 
-def pair_blocks(ids: np.ndarray, words: list[np.ndarray], hot: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    if not size.sum():
+@dataclass
+class Frequent:
+    """Hashes, ascending, and counts of hot words and hot pairs; there is a bounded number of either."""
+
+    words: np.ndarray
+    word_counts: np.ndarray
+    pairs: np.ndarray
+    pair_counts: np.ndarray
+
+
+def pair_blocks(ids: np.ndarray, texts: tuple[np.ndarray, np.ndarray, np.ndarray], hot: Frequent, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """The distinct pairs of each row, by bucket; ``prev`` is 0 for a first word and has the top bit of nothing else.
+
+    A hot pair is one entry of its own kind: ``w`` is the word's code, ``prev`` the predecessor's, and its rows are
+    dealt over all buckets.
+    """
+    h, row, first = texts
+    if not len(h):
         return
-    w = codes(np.concatenate(words), hot)
-    row = np.repeat(np.arange(len(words), dtype=np.uint64), size)
-    first = (np.cumsum(size) - size)[size > 0]
+    pair = np.zeros(len(h), np.uint64)
+    pair[~first] = pair_hashes(h, first)
+    w = codes(h, hot.words)
     prev = np.concatenate((w[:1], w[:-1]))
     prev[first] = 0
+    r = row.astype(np.uint64)
     with np.errstate(over="ignore"):
-        # own counts of words are a row's; those of pairs are taken where all rows of an id meet
-        _, at, n = np.unique(mix(mix(w) + row * GOLD), return_inverse=True, return_counts=True)
+        _, at, n = np.unique(mix(mix(w) + r * GOLD), return_inverse=True, return_counts=True)
         own = n[at].astype(np.uint64)
         own_prev = np.concatenate((own[:1], own[:-1]))
         own_prev[first] = 0
-        pair = mix(mix(w) * GOLD + prev)
-        _, one, tf = np.unique(mix(pair + row * GOLD), return_index=True, return_counts=True)
+        mine = np.where(first, mix(w), pair)
+        _, one, tf = np.unique(mix(mine + r * GOLD), return_index=True, return_counts=True)
         w, prev, pair, own, own_prev, row = w[one], prev[one], pair[one], own[one], own_prev[one], row[one]
-        bucket = (np.where(w >= COLD, mix(w), pair) % np.uint64(buckets)).astype(np.int64)
+        # a bucket counts its cold words itself, so only pairs of hot words may stand elsewhere
+        spread = ((places(pair, hot.pairs) > 0) | (prev == 0)) & (w < COLD)
+        key = np.where(spread, mix(mix(w) + mix(ids[row].view(np.uint64) + row.astype(np.uint64) * GOLD)), np.where(w >= COLD, mix(w), pair))
+        bucket = (key % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((w, bucket))
     bucket = bucket[order]
     w, prev, tf, own, own_prev, row = (x[order] for x in (w, prev, tf, own, own_prev, row))
-    doc = ids[row.astype(np.int64)]
+    doc = ids[row]
     cut = np.flatnonzero(np.diff(bucket, prepend=-1))
     for a, b in zip(cut, np.append(cut[1:], len(bucket))):
         yield int(bucket[a]), pack(w[a:b], prev[a:b], doc[a:b], tf[a:b], own[a:b], own_prev[a:b])
 
 
-def score_bucket(blocks: list[bytes], hot_counts: np.ndarray) -> tuple[np.ndarray, ...]:
+def hash_of(code: np.ndarray, hot: Frequent) -> np.ndarray:
+    """The word hashes that codes stand for."""
+    if not len(hot.words):
+        return code
+    return np.where(code >= COLD, code, hot.words[np.minimum(np.maximum(code, np.uint64(1)) - np.uint64(1), np.uint64(len(hot.words) - 1)).astype(np.int64)])
+
+
+def score_bucket(blocks: list[bytes], hot: Frequent) -> tuple[np.ndarray, ...]:
     """(doc, micro, tokens, backed off) by row, and (word, doc, times, own count) to divide by later."""
     w, prev, doc, tf, own, own_prev = (np.concatenate(x) for x in zip(*map(unpack, blocks)))
     tf, own, own_prev = tf.astype(np.int64), own.astype(np.int64), own_prev.astype(np.int64)
-    order = np.lexsort((doc, prev, w))
+    order = np.lexsort((prev, w))
     w, prev, doc, tf, own, own_prev = (x[order] for x in (w, prev, doc, tf, own, own_prev))
     n = len(w)
     new_word = np.append(True, w[1:] != w[:-1])
     new_pair = new_word | np.append(True, prev[1:] != prev[:-1])
     pair_at = np.cumsum(new_pair) - 1
     of_pair = np.bincount(pair_at, weights=tf).astype(np.int64)[pair_at]
-    new_doc = new_pair | np.append(True, doc[1:] != doc[:-1])
-    doc_at = np.cumsum(new_doc) - 1
-    mine = np.bincount(doc_at, weights=tf).astype(np.int64)[doc_at]
+    if len(hot.pairs):
+        # a hot pair is counted over all buckets
+        head = np.flatnonzero(new_pair)
+        with np.errstate(over="ignore"):
+            at = places(mix(mix(hash_of(w[head], hot)) * GOLD + hash_of(prev[head], hot)) >> np.uint64(1), hot.pairs)
+        at = np.where(prev[head] != 0, at, 0)[pair_at]
+        of_pair = np.where(at > 0, hot.pair_counts[np.maximum(at, 1) - 1], of_pair)
     word_at = np.cumsum(new_word) - 1
     of_word = np.bincount(word_at, weights=tf).astype(np.int64)[word_at]
     is_hot = w < COLD
     if is_hot.any():
-        of_word[is_hot] = hot_counts[w[is_hot].astype(np.int64) - 1]
-    others = of_pair - mine
+        of_word[is_hot] = hot.word_counts[w[is_hot].astype(np.int64) - 1]
+    others = of_pair - tf
     seen = (others > 0) & (prev != 0)
     micro = np.zeros(n, np.int64)
     micro[seen] = micro_log(others[seen])
     prev_hot = seen & (prev < COLD)
-    micro[prev_hot] -= micro_log(hot_counts[prev[prev_hot].astype(np.int64) - 1] - own_prev[prev_hot])
+    micro[prev_hot] -= micro_log(hot.word_counts[prev[prev_hot].astype(np.int64) - 1] - own_prev[prev_hot])
     back = ~seen
     rest = of_word - own
     micro[back] = np.where(rest[back] > 0, micro_log(rest[back]), A) + np.where(prev[back] != 0, A, 0)
@@ -190,23 +273,46 @@ def score_bucket(blocks: list[bytes], hot_counts: np.ndarray) -> tuple[np.ndarra
     return doc, micro * tf, tf, tf * back, prev[ask], doc[ask], tf[ask], own_prev[ask]
 
 
-def scores(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def table(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    found = sorted((r["h"] & (2**64 - 1), r["c"]) for r in rows)
+    return np.array([h for h, _ in found], np.uint64), np.array([c for _, c in found], np.int64)
+
+
+def frequent(docs: DataFrame, counts: DataFrame, total: int, hot: int, hot_pairs: int, least: int) -> Frequent:
+    """Words of at least ``total / hot`` occurrences; pairs that may have ``2 * total / hot_pairs``, and ``least``, counted exactly.
+
+    There are at most ``hot`` such words and ``2 * hot_pairs`` such pairs.
+    """
+    words = table(counts.where(~F.col("pair") & (F.col("c") >= F.lit(max(1, math.ceil(total / hot))))).collect())
+    cut = max(total / hot_pairs, least) / 2
+    pairs = table(counts.where(F.col("pair") & (F.col("c") >= F.lit(math.ceil(cut)))).select("h", "c").collect())[0]
+    if len(pairs):
+        pairs = table(pair_counts(docs, docs.sparkSession.sparkContext.broadcast(pairs)).collect())
+    else:
+        pairs = (pairs, np.zeros(0, np.int64))
+    return Frequent(*words, *pairs)
+
+
+def scores(docs: DataFrame, hot: int | None = None, bucket_pairs: int = BUCKET_PAIRS, least: int = HOT_PAIR) -> DataFrame:
     """doc_id, n_words, n_backoff, score_micro (1e6 times the natural logarithm), mean (of a word)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = Staged(word_counts(docs), "word-counts").df
-    total = counts.agg(F.sum("c")).first()[0] or 0
-    top = sorted((r[0] & (2**64 - 1), r[1]) for r in counts.where(F.col("c") >= F.lit(max(1, math.ceil(total / hot)))).collect())
-    held = spark.sparkContext.broadcast((np.array([h for h, _ in top], np.uint64), np.array([c for _, c in top], np.int64)))
-    buckets = max(8, math.ceil(total / BUCKET_PAIRS))
+    every = Staged(word_counts(docs, hot or HOT), "word-counts").df
+    total = every.where(~F.col("pair")).agg(F.sum("c")).first()[0] or 0
+    # as many hot words and pairs as keep a bucket's share of the others at its size, within a fixed bound
+    many = hot or min(MOST_HOT, max(HOT, total // bucket_pairs))
+    held = spark.sparkContext.broadcast(frequent(docs, every, total, many, hot or HOT, least))
+    counts = every.where(~F.col("pair")).select("h", "c")
+    buckets = max(8, math.ceil(total / bucket_pairs))
 
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, hot_hashes = WordHashes(MEMO), held.value[0]
+        memo, known = WordHashes(MEMO), held.value
         for batch in batches:
             ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts, PACK_BYTES):
-                out = list(pair_blocks(ids[a:b], [text_hashes(memo, t) for t in texts[a:b]], hot_hashes, buckets))
+            a = 0
+            for part in slices(batch.column(1), PACK_BYTES):
+                out = list(pair_blocks(ids[a : a + len(part)], doc_words(memo, part.to_pylist()), known, buckets))
+                a += len(part)
                 if out:
                     bucket, data = zip(*out)
                     yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(data, pa.binary())], names=["bucket", "data"])
@@ -214,7 +320,7 @@ def scores(docs: DataFrame, hot: int = HOT) -> DataFrame:
     names = ["doc", "micro", "n", "back", "h", "own"]
 
     def to_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_counts, now, blocks = held.value[1], None, []
+        known, now, blocks = held.value, None, []
         sums: list[np.ndarray] = []
 
         def asked(found) -> pa.RecordBatch:
@@ -237,12 +343,12 @@ def scores(docs: DataFrame, hot: int = HOT) -> DataFrame:
             for i in range(batch.num_rows):
                 bucket = batch.column(0)[i].as_py()
                 if bucket != now and blocks:
-                    yield asked(score_bucket(blocks, hot_counts))
+                    yield asked(score_bucket(blocks, known))
                     blocks = []
                 now = bucket
                 blocks.append(batch.column(1)[i].as_py())
         if blocks:
-            yield asked(score_bucket(blocks, hot_counts))
+            yield asked(score_bucket(blocks, known))
         if sums:
             fold()
             doc, micro, n, back = sums[0]
@@ -257,10 +363,14 @@ def scores(docs: DataFrame, hot: int = HOT) -> DataFrame:
     less = -F.col("n") * F.rint(1e6 * F.log(F.greatest(F.lit(1), F.col("c") - F.col("own")).cast("double"))).cast("long")
     zero = F.lit(0).cast("long")
     sums = sums.unionByName(asks.select("doc", less.alias("micro"), zero.alias("n"), zero.alias("back")))
-    sums = sums.groupBy("doc").agg(*[F.sum(c).alias(c) for c in ("micro", "n", "back")])
-    base = F.rint(1e6 * F.log(F.greatest(F.lit(1), F.lit(total) - F.col("n")).cast("double"))).cast("long")
+    return by_id(docs, sums.groupBy("doc").agg(*[F.sum(c).alias(c) for c in ("micro", "n", "back")]), total)
+
+
+def by_id(docs: DataFrame, sums: DataFrame, total: int) -> DataFrame:
+    """A row for each id of ``docs`` from sums by id, in which what backed off isn't divided by all words yet."""
+    zero, base = F.lit(0).cast("long"), round(1e6 * math.log(max(1, total)))
     every = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc")).distinct().join(sums, "doc", "left")
-    n_words, micro = F.coalesce("n", zero), F.coalesce(F.col("micro") - F.col("back") * base, zero)
+    n_words, micro = F.coalesce("n", zero), F.coalesce(F.col("micro") - F.col("back") * F.lit(base), zero)
     return every.select(
         F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"),
         n_words.alias("n_words"),
@@ -270,29 +380,67 @@ def scores(docs: DataFrame, hot: int = HOT) -> DataFrame:
     )
 
 
+def relational(docs: DataFrame, order: int = 3) -> DataFrame:
+    """The same scores for any order, with rows for n-grams instead of packed blocks: the plain form of the method.
+
+    Each row's distinct n-grams are exploded with their counts; count tables by n-gram hash are joined to them; the longest
+    context that another row has gives the score, ``alpha`` less for each order that it is short of.  A word and its
+    contexts are a row each, shuffled once an order, so it costs a multiple of ``scores`` in disk.
+    """
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
+    words = F.filter(F.split(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[ \\t-\\r]+"), lambda x: x != "")
+    rows = Staged(docs.select("doc", F.monotonically_increasing_id().alias("row"), words.alias("w")).where(F.size("w") > 0), "rows").df
+    tokens = rows.select("doc", "row", "w", F.posexplode("w").alias("i", "_"))
+    gram = lambda k, last: F.when(F.col("i") + 1 - last >= k, F.xxhash64(F.array_join(F.slice("w", F.col("i") + 2 - k - last, k), " ")))
+    grams = [gram(k, 0).alias(f"g{k}") for k in range(1, order + 1)] + [gram(k, 1).alias(f"p{k}") for k in range(1, order)]
+    tokens = Staged(tokens.select("doc", "row", *grams), "grams").df
+    own = {}
+    for k in range(1, order + 1):
+        mine = tokens.where(F.col(f"g{k}").isNotNull()).groupBy("row", F.col(f"g{k}").alias("g")).agg(F.count(F.lit(1)).alias("mine"))
+        rest = mine.groupBy("g").agg(F.sum("mine").alias("c"))
+        own[k] = Staged(mine.join(rest, "g").select("row", "g", (F.col("c") - F.col("mine")).alias("c")), f"others-{k}").df
+    found = tokens
+    for k in range(1, order + 1):
+        found = found.join(own[k].select("row", F.col("g").alias(f"g{k}"), F.col("c").alias(f"c{k}")), ["row", f"g{k}"], "left")
+        if k < order:
+            found = found.join(own[k].select("row", F.col("g").alias(f"p{k}"), F.col("c").alias(f"d{k}")), ["row", f"p{k}"], "left")
+    log = lambda c: F.rint(1e6 * F.log(F.greatest(c, F.lit(1)).cast("double"))).cast("long")
+    longest = reduce(lambda a, k: F.when(F.col(f"g{k}").isNotNull(), k).otherwise(a), range(1, order + 1), F.lit(1))
+    micro, back = F.when(F.col("c1") > 0, log(F.col("c1"))).otherwise(F.lit(A)), F.lit(1)
+    micro = micro + A * (longest - 1)
+    for k in range(2, order + 1):
+        seen = F.col(f"c{k}") > 0
+        micro = F.when(seen, log(F.col(f"c{k}")) - log(F.col(f"d{k - 1}")) + A * (longest - k)).otherwise(micro)
+        back = F.when(seen, 0).otherwise(back)
+    total = tokens.count()
+    sums = found.groupBy("doc").agg(F.sum(micro).alias("micro"), F.count(F.lit(1)).alias("n"), F.sum(back).alias("back"))
+    return by_id(docs.withColumnRenamed("doc", "doc_id"), sums, total)
+
+
 ORACLE = rf"""
 WITH d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                     '[^\x20\x09-\x0D]+') AS w FROM documents),
-t AS (SELECT doc_id, unnest(w) AS w, unnest(list_concat([NULL], w[1 : len(w) - 1])) AS p FROM d WHERE len(w) > 0),
+t AS (SELECT r, doc_id, unnest(w) AS w, unnest(list_concat([NULL], w[1 : len(w) - 1])) AS p FROM d WHERE len(w) > 0),
 dn AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
-total AS (SELECT coalesce(sum(n), 0) AS n FROM dn),
-d1 AS (SELECT doc_id, w, count(*) AS k FROM t GROUP BY doc_id, w),
+total AS (SELECT round_even(1e6 * ln(greatest(1, count(*))), 0)::BIGINT AS base FROM t),
+d1 AS (SELECT r, w, count(*) AS k FROM t GROUP BY r, w),
 c1 AS (SELECT w, sum(k) AS c FROM d1 GROUP BY w),
-d2 AS (SELECT doc_id, p, w, count(*) AS k FROM t GROUP BY doc_id, p, w),
+d2 AS (SELECT r, any_value(doc_id) AS doc_id, p, w, count(*) AS k FROM t GROUP BY r, p, w),
 c2 AS (SELECT p, w, sum(k) AS c FROM d2 WHERE p IS NOT NULL GROUP BY p, w),
 e AS (
   SELECT d2.doc_id, d2.k, d2.p IS NOT NULL AS inner_word, coalesce(c2.c - d2.k, 0) AS pair, cw.c - dw.k AS word, cp.c - dp.k AS first
-  FROM d2 JOIN c1 cw ON cw.w = d2.w JOIN d1 dw ON dw.doc_id = d2.doc_id AND dw.w = d2.w
+  FROM d2 JOIN c1 cw ON cw.w = d2.w JOIN d1 dw ON dw.r = d2.r AND dw.w = d2.w
   LEFT JOIN c2 ON c2.p = d2.p AND c2.w = d2.w
-  LEFT JOIN c1 cp ON cp.w = d2.p LEFT JOIN d1 dp ON dp.doc_id = d2.doc_id AND dp.w = d2.p),
+  LEFT JOIN c1 cp ON cp.w = d2.p LEFT JOIN d1 dp ON dp.r = d2.r AND dp.w = d2.p),
 s AS (
   SELECT doc_id, sum(CASE WHEN pair > 0 THEN 0 ELSE k END) AS back,
     sum(k * CASE WHEN pair > 0 THEN round_even(1e6 * ln(pair), 0)::BIGINT - round_even(1e6 * ln(first), 0)::BIGINT
                  ELSE (CASE WHEN word > 0 THEN round_even(1e6 * ln(greatest(word, 1)), 0)::BIGINT ELSE {A} END) + (CASE WHEN inner_word THEN {A} ELSE 0 END) END) AS micro
   FROM e GROUP BY doc_id),
 r AS (
-  SELECT d.doc_id, coalesce(dn.n, 0)::BIGINT AS n_words, coalesce(s.back, 0)::BIGINT AS n_backoff,
-    coalesce(s.micro - s.back * round_even(1e6 * ln(greatest(1, total.n - dn.n)), 0)::BIGINT, 0)::BIGINT AS score_micro
-  FROM d LEFT JOIN dn USING (doc_id) LEFT JOIN s USING (doc_id), total)
+  SELECT i.doc_id, coalesce(dn.n, 0)::BIGINT AS n_words, coalesce(s.back, 0)::BIGINT AS n_backoff,
+    coalesce(s.micro - s.back * total.base, 0)::BIGINT AS score_micro
+  FROM (SELECT DISTINCT doc_id FROM d) i LEFT JOIN dn ON dn.doc_id IS NOT DISTINCT FROM i.doc_id
+  LEFT JOIN s ON s.doc_id IS NOT DISTINCT FROM i.doc_id, total)
 SELECT doc_id, n_words, n_backoff, score_micro, CASE WHEN n_words > 0 THEN score_micro / n_words / 1e6 END AS mean FROM r"""

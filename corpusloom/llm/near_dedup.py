@@ -4,19 +4,23 @@ Two collections of ``m`` hashes, each made of ``t`` minhashes, give ``m * m`` ta
 of one hash from either collection.  Only ``2 * m * t`` minhashes are computed, about the square root of what that
 many separate tables need.  With m = 24 and t = 5, a pair at the bound of 0.8 shares no key with probability 1.4e-4.
 
-1. Sets: one scan gives each document its set's size, a 128-bit key of the set and the two collections.
-   Documents of one set form a class, which goes on as its smallest id.
+1. Sets: one scan gives each document its set's size, a 64-bit hash of the set (its node) and the two collections.
+   Documents of one set form a class and go on as one node.
 2. Candidates: hashes that a single class has are set aside (counted, not joined in pairs); the rest are paired to
-   keys, and each class is linked to the smallest class of each key: a star, linear in the rows of a key.
-   The components of these links are blocks; classes of different blocks share no key.
-3. Verification: inside a block all pairs that sizes allow are compared on full sets.  A large block is cut by size
-   class and hash into tiles, and every pair of tiles whose sizes can meet is its own piece of work, so no task holds
-   a block and no list of pairs is built; each piece returns a spanning forest of its links.
-4. Components of the verified links, by large-star and small-star rounds staged in the shared folder.
+   keys, and each class is linked to the smallest node of each key, its hub: a star, linear in the rows of a key.
+3. Verification of stars: links are confirmed on full sets by columns, first each node's link to its smallest hub, then
+   those links whose ends are still in different components.  A hub's many links are split by adaptive execution.
+4. What is left are keys of three classes or more from more than one component: there a class may be linked to another
+   than the hub.  All classes of such a key are compared, in tiles, so no task holds a key and no list of pairs is
+   built.  Keys that overlap so much that comparing their union once is less work are compared as that union.
+5. Components of the confirmed links, by large-star and small-star rounds staged in the shared folder; nodes with many
+   links have their least neighbour broadcast (a bounded number of nodes), so they are never one task's work.
 
 Sets hold 64-bit hashes of shingles.  Defined cases: null text, or text without words, is linked with nothing; so is a
 null id, whose component is null and which is kept; fewer words than a shingle are one shingle; rows that repeat an
-id are judged each by its text, and a group's rows of the smallest id all stay; an empty table gives no rows; other columns pass through ``deduplicate`` unchanged.
+id are judged each by its text: each takes part by its own set, and a component is named by the smallest id in it;
+copies and rows repeated whole are one class; a very long text costs time and memory in proportion to its distinct
+shingles; an empty table gives no rows; other columns pass through ``deduplicate`` unchanged.
 """
 
 from __future__ import annotations
@@ -34,8 +38,10 @@ from corpusloom.llm.common import LOWER, Staged, WordHashes, gram_hashes, hash_w
 M, T = 24, 5
 #: Shingles that a tile may hold (8 bytes each), and documents in it.
 TILE_SHINGLES, TILE_DOCS = 1_500_000, 512
-#: Ids that may be broadcast to pick texts (16 bytes each); beyond this the texts are joined by shuffling.
+#: Rows that may be broadcast to pick texts (24 bytes each); beyond this the texts are joined by shuffling.
 BROADCAST_IDS = 1_000_000
+#: A node is broadcast with its least neighbour if it has over 256 links and over 1 / MOST_HUBS of all.
+MOST_HUBS = 1 << 14
 
 
 def shingles(memo: WordHashes, text: str | None, n: int) -> np.ndarray:
@@ -67,64 +73,87 @@ class Collections:
 
 
 def signatures(docs: DataFrame, words: int = 4, m: int = M, t: int = T) -> DataFrame:
-    """doc_id, n_shingles, key (of the set), a and b (the collections); the latter are null for an empty set."""
+    """doc_id, text_key, n_shingles, node (hash of the set), a and b (the collections); node, a and b are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         memo, hashes = WordHashes(), Collections(m, t)
         for batch in batches:
-            n, key, a, b = [], [], [], []
-            for text in batch.column(1):
+            n, node, a, b = [], [], [], []
+            for text in batch.column(2):
                 s = shingles(memo, text.as_py(), words)
                 n.append(len(s))
                 if len(s):
                     both = hashes(s)
-                    key.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    node.append(int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True))
                     a.append(both[:m])
                     b.append(both[m:])
                 else:
-                    key.append(None), a.append(None), b.append(None)
+                    node.append(None), a.append(None), b.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(a, pa.list_(pa.int64())), pa.array(b, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "key", "a", "b"],
+                [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(a, pa.list_(pa.int64())), pa.array(b, pa.list_(pa.int64()))],
+                names=["doc_id", "text_key", "n_shingles", "node", "a", "b"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, key binary, a array<long>, b array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, node long, a array<long>, b array<long>")
 
 
 def shared_hashes(classes: DataFrame, collection: str) -> DataFrame:
-    """rep and its hashes of one collection that another class has too."""
-    each = classes.select("rep", F.posexplode(collection).alias("i", "h")).select("rep", F.xxhash64("i", "h").alias("h"))
+    """node and its hashes of one collection that another class has too."""
+    each = classes.select("node", F.posexplode(collection).alias("i", "h")).select("node", F.xxhash64("i", "h").alias("h"))
     common = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    return each.join(common, "h", "left_semi").groupBy("rep").agg(F.collect_list("h").alias(collection))
+    return each.join(common, "h", "left_semi").groupBy("node").agg(F.collect_list("h").alias(collection))
 
 
-def candidate_links(classes: DataFrame) -> DataFrame:
-    """(u, v): each class with the smallest class of each table key that they share."""
-    near = Staged(shared_hashes(classes, "a").join(shared_hashes(classes, "b"), "rep"), "near").df
-    keys = near.select("rep", F.explode("a").alias("x"), "b").select("rep", "x", F.explode("b").alias("y"))
-    keys = keys.select("rep", F.xxhash64("x", "y").alias("k"))
-    first = keys.groupBy("k").agg(F.min("rep").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "v")
-    return keys.join(first, "k").where("rep > v").select(F.col("rep").alias("u"), "v").distinct()
+def table_keys(near: DataFrame) -> DataFrame:
+    """k and the other columns of ``near``: a row for each pair of a hash of ``a`` and one of ``b``."""
+    rest = [c for c in near.columns if c not in ("a", "b")]
+    rows = near.select(*rest, F.explode("a").alias("x"), "b").select(*rest, "x", F.explode("b").alias("y"))
+    return rows.select(F.xxhash64("x", "y").alias("k"), *rest)
 
 
-def star_round(links: DataFrame) -> DataFrame:
+def candidate_links(near: DataFrame) -> DataFrame:
+    """(u, v): each class with the smallest node of each table key that they share."""
+    keys = table_keys(near)
+    first = keys.groupBy("k").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "v")
+    return keys.join(first, "k").where("node > v").select(F.col("node").alias("u"), "v").distinct()
+
+
+def with_least(rows: DataFrame, key: str, value: str, many: int) -> DataFrame:
+    """``rows`` with m, the least ``value`` of their ``key``; keys of more than ``many`` rows are broadcast and not shuffled."""
+    low = rows.groupBy(key).agg(F.min(value).alias("m"), F.count(F.lit(1)).alias("__n"))
+    hubs = F.broadcast(low.where(F.col("__n") > many).select(F.col(key).alias("__hub"), F.col("m").alias("__m")))
+    tried = rows.join(hubs, rows[key] == F.col("__hub"), "left")
+    at_hub = tried.where(F.col("__hub").isNotNull()).select(*rows.columns, F.col("__m").alias("m"))
+    rest = tried.where(F.col("__hub").isNull()).select(*rows.columns)
+    return at_hub.unionByName(rest.join(low.where(F.col("__n") <= many).select(key, "m"), key).select(*rows.columns, "m"))
+
+
+def many_of(rows: int) -> int:
+    """Rows of a key beyond which it is a hub; there are at most 2 * MOST_HUBS of them, and 32,768 below that size."""
+    return max(256, 2 * rows // MOST_HUBS)
+
+
+def star_round(links: DataFrame, many: int) -> DataFrame:
     """One large-star and one small-star over (u, v) with u > v."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-    large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    large = with_least(both, "u", "v", many).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+    small = with_least(large, "u", "v", many)
+    # every smaller neighbour but the least goes to the least, and the node itself too
+    moved = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
+    return small.select(moved.alias("u"), F.col("m").alias("v")).distinct()
 
 
 def components(links: DataFrame, what: str = "links") -> DataFrame:
     """(u, v): every node that isn't its component's smallest, with the smallest.  ``links`` has u > v."""
     held = Staged(links, what)
     while True:
-        new = Staged(star_round(held.df), what)
+        n = held.df.count()
+        if not n:
+            return held.df
+        new = Staged(star_round(held.df, many_of(2 * n)), what)
         held.drop()
         held = new
         # finished when all links are stars: no centre is itself linked to a smaller node, and no node has two centres
@@ -135,6 +164,11 @@ def components(links: DataFrame, what: str = "links") -> DataFrame:
             return e
 
 
+def with_cluster(rows: DataFrame, key: str, found: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the component of ``key``: itself unless ``found`` (u, v) says otherwise."""
+    return rows.join(found.select(F.col("u").alias(key), F.col("v").alias("__c")), key, "left").withColumn(name, F.coalesce("__c", key)).drop("__c")
+
+
 class Forest:
     def __init__(self) -> None:
         self.up: dict[int, int] = {}
@@ -193,7 +227,7 @@ def verified(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple
 
 
 def tiled(blocks: DataFrame, percent: int) -> DataFrame:
-    """doc_id, tile: the pieces of work that each class of a block takes part in.
+    """node, tile: the pieces of work that each class of a block takes part in.
 
     Classes of sizes more than ``percent`` apart can't be linked: sizes fall into bands of that ratio, and only
     equal and neighbouring bands meet.  A band with more than a tile's worth is dealt by hash into ``k`` tiles.
@@ -205,8 +239,8 @@ def tiled(blocks: DataFrame, percent: int) -> DataFrame:
     near = sizes.select("block", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.struct(F.col("band").alias("at"), "k").alias("s"))
     near = near.groupBy("block", "band").agg(F.collect_list("s").alias("s"))
     k_of = lambda d: F.coalesce(F.try_element_at(F.filter("s", lambda x: x["at"] == F.col("band") + d), F.lit(1))["k"], F.lit(0))
-    rows = rows.join(near, ["block", "band"]).select("doc_id", "block", "band", k_of(-1).alias("below"), k_of(0).alias("k"), k_of(1).alias("above"))
-    rows = rows.withColumn("t", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
+    rows = rows.join(near, ["block", "band"]).select("node", "block", "band", k_of(-1).alias("below"), k_of(0).alias("k"), k_of(1).alias("above"))
+    rows = rows.withColumn("t", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     band, t = F.col("band"), F.col("t")
     tile = lambda b1, t1, b2, t2: F.xxhash64("block", b1, t1, b2, t2)
@@ -216,40 +250,54 @@ def tiled(blocks: DataFrame, percent: int) -> DataFrame:
         F.transform(upto(F.col("above")), lambda x: tile(band, t, band + 1, x)),
         F.transform(upto(F.col("below")), lambda x: tile(band - 1, x, band, t)),
     )
-    return rows.select("doc_id", F.explode(tiles).alias("tile"))
+    return rows.select("node", F.explode(tiles).alias("tile"))
 
 
-def block_links(docs: DataFrame, blocks: DataFrame, words: int, percent: int) -> DataFrame:
-    """Verified links (u, v), u > v, between classes of one block; blocks: doc_id, block, n_shingles."""
-    work = Staged(tiled(blocks, percent), "tiles")
-    wanted = work.df.groupBy("tile").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tile")
-    pieces = work.df.join(wanted, "tile", "left_semi")
-    ids = blocks.select("doc_id")
-    if blocks.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+def set_table(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """node, set (hashes of the shingles, ascending) of the wanted nodes; wanted: node, doc_id, text_key."""
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    # rows repeated whole are one text
+    texts = texts.join(wanted, ["doc_id", "text_key"]).groupBy("node").agg(F.first("text").alias("text"))
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            sets = [shingles(memo, t.as_py(), words).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "set"])
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                sets = [shingles(memo, t.as_py(), words).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+
+    return texts.mapInArrow(to_sets, "node long, set array<long>")
+
+
+def confirmed(links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the links (u, v) with 100 * intersection >= percent * union; links have the sizes of the ends, nu and nv."""
+    links = links.where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
+    rows = links.join(sets.select(F.col("node").alias("u"), F.col("set").alias("su")), "u")
+    rows = rows.join(sets.select(F.col("node").alias("v"), F.col("set").alias("sv")), "v")
+    both = F.size(F.array_intersect("su", "sv"))
+    return rows.where(100 * both >= percent * (F.col("nu") + F.col("nv") - both)).select("u", "v")
 
-    sets = texts.mapInArrow(to_sets, "doc_id long, set binary")
-    rows = pieces.join(sets, "doc_id").select("tile", "doc_id", "set").repartition("tile").sortWithinPartitions("tile", "doc_id")
+
+def group_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (u, v), u > v, between classes of one group; groups: node, block, n_shingles."""
+    work = Staged(tiled(groups, percent), "tiles")
+    wanted = work.df.groupBy("tile").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tile")
+    pieces = work.df.join(wanted, "tile", "left_semi")
+    rows = pieces.join(sets, "node").select("tile", "node", "set").repartition("tile").sortWithinPartitions("tile", "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, sets, out = None, [], [], []
         for batch in batches:
-            tiles, docs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, (tile, doc) in enumerate(zip(tiles, docs)):
+            tiles, nodes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, (tile, node) in enumerate(zip(tiles, nodes)):
                 if tile != now:
                     out += verified(ids, sets, percent)
                     now, ids, sets = tile, [], []
-                if ids and ids[-1] == doc:
-                    continue  # a repeated row
-                ids.append(doc)
-                sets.append(np.frombuffer(batch.column(2)[i].as_py(), np.uint64))
+                ids.append(node)
+                sets.append(batch.column(2)[i].values.to_numpy().view(np.uint64).copy())
             if out:
                 yield as_links(out)
                 out = []
@@ -263,33 +311,80 @@ def block_links(docs: DataFrame, blocks: DataFrame, words: int, percent: int) ->
     return rows.mapInArrow(compare, "u long, v long")
 
 
-def clusters(docs: DataFrame, words: int = 4, percent: int = 80, m: int = M, t: int = T) -> DataFrame:
+def mixed_groups(near: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, block): what is still to be compared, as table keys, or as unions of them where that is less work."""
+    keys = table_keys(with_cluster(near, "node", found, "c"))
+    mixed = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.min("node").alias("v"))
+    mixed = mixed.where("n > 2 AND low <> high").select("k", "v", F.col("n").cast("double").alias("n"))
+    held = Staged(keys.join(mixed, "k").select("k", "v", "n", "node"), "mixed").df
+    unions = components(held.where("node > v").select(F.col("node").alias("u"), "v").distinct(), "unions")
+    rows = Staged(with_cluster(held, "node", unions, "block"), "mixed").df
+    each = rows.select("block", "k", "n").distinct().groupBy("block").agg(F.sum(F.col("n") * F.col("n")).alias("work"))
+    whole = rows.select("block", "node").distinct().groupBy("block").agg(F.count(F.lit(1)).cast("double").alias("size"))
+    less = each.join(whole, "block").where(F.col("size") * F.col("size") < F.col("work")).select("block", F.lit(True).alias("__whole"))
+    group = F.when(F.col("__whole"), F.xxhash64(F.lit("union"), "block")).otherwise(F.col("k"))
+    return rows.join(less, "block", "left").select("node", group.alias("block")).distinct()
+
+
+def links_of(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(u, v): nodes linked within their component, with its smallest node."""
+    size = classes.select("node", "n_shingles")
+    near = shared_hashes(classes, "a").join(shared_hashes(classes, "b"), "node")
+    near = Staged(near, "near").df
+    stars = Staged(candidate_links(near), "candidates").df
+    ends = stars.select(F.col("u").alias("node")).unionByName(stars.select(F.col("v").alias("node"))).distinct()
+    ends = Staged(ends.join(size, "node").join(near, "node"), "ends").df
+    wanted = ends.select("node").join(classes.select("node", "first.doc_id", "first.text_key"), "node")
+    sets = Staged(set_table(docs, wanted, words), "sets").df
+    sized = stars.join(ends.select(F.col("node").alias("u"), F.col("n_shingles").alias("nu")), "u")
+    sized = Staged(sized.join(ends.select(F.col("node").alias("v"), F.col("n_shingles").alias("nv")), "v"), "stars").df
+    # each node's smallest hub of a size that allows a link
+    able = sized.where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
+    least = able.groupBy("u", "nu").agg(F.min(F.struct("v", "nv")).alias("m")).select("u", F.col("m.v").alias("v"), "nu", F.col("m.nv").alias("nv"))
+    found = components(confirmed(least, sets, percent), "first-links")
+    # links between components, tried before or not: those that were tried fail again
+    rest = with_cluster(with_cluster(able, "u", found, "cu"), "v", found, "cv").where("cu <> cv")
+    rest = rest.join(least.select("u", "v"), ["u", "v"], "left_anti").select("u", "v", "nu", "nv")
+    more = Staged(confirmed(rest, sets, percent), "more-links").df
+    if more.take(1):
+        found = components(found.unionByName(more), "links")
+    groups = Staged(mixed_groups(ends.select("node", "a", "b"), found).join(ends.select("node", "n_shingles"), "node"), "groups").df
+    if groups.take(1):
+        found = components(found.unionByName(group_links(groups, sets, percent)), "links")
+    return found
+
+
+def clusters(docs: DataFrame, words: int = 4, percent: int = 80, m: int = M, t: int = T, text_key: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: near-duplicate components under the Jaccard bound ``percent``."""
-    sigs = Staged(signatures(docs, words, m, t), "signatures")
-    linkable = sigs.df.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
-    classes = linkable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("a").alias("a"), F.first("b").alias("b"))
+    sigs = Staged(signatures(docs, words, m, t), "signatures").df
+    linkable = sigs.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
+    classes = linkable.groupBy("node").agg(
+        F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("a").alias("a"), F.first("b").alias("b")
+    )
     classes = Staged(classes, "classes").df
-    stars = components(candidate_links(classes), "candidates")
-    nodes = stars.select(F.col("u").alias("doc_id"), F.col("v").alias("block")).unionByName(stars.select(F.col("v").alias("doc_id"), F.col("v").alias("block")).distinct())
-    blocks = nodes.join(classes.select(F.col("rep").alias("doc_id"), "n_shingles"), "doc_id")
-    blocks = Staged(blocks, "blocks").df
-    found = components(block_links(docs, blocks, words, percent), "components")
-    of_class = classes.select("key", "rep").join(found.select(F.col("u").alias("rep"), F.col("v").alias("c")), "rep", "left")
-    of_class = of_class.select("key", F.coalesce("c", "rep").alias("c"))
-    # a key that many copies share is large on the left only, where adaptive execution splits it
-    key = F.when(F.col("doc_id").isNotNull(), F.col("key"))
-    out = sigs.df.select("doc_id", "n_shingles", key.alias("key")).join(of_class, "key", "left")
+    found = links_of(docs, classes, words, percent)
+    least = classes.select("node", F.col("first.doc_id").alias("rep"))
+    # a component is named by its smallest id
+    of_root = found.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    of_root = of_root.unionByName(found.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    named = with_least(of_root.join(least, "node"), "root", "rep", many_of(found.count())).select("node", "m")
+    of_class = least.join(named, "node", "left").select("node", F.coalesce("m", "rep").alias("c"))
+    # a node that many copies share is large on the left only, where adaptive execution splits it
+    node = F.when(F.col("doc_id").isNotNull(), F.col("node"))
+    out = sigs.select("doc_id", "text_key", "n_shingles", node.alias("node")).join(of_class, "node", "left")
     component = F.coalesce("c", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    return out.select("doc_id", *(["text_key"] if text_key else []), "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, the one of the smallest id; columns unchanged.
+    """``docs`` without the rows that aren't kept; columns unchanged.  Rows of an id and text stay or go together.
 
-    Only the ids that go are joined, so the texts are shuffled only if these ids are too many to broadcast.
+    Only the ids and text hashes of the rows that go are joined, so the texts are shuffled only if these are too many to
+    broadcast.
     """
-    gone = Staged(clusters(docs, words, percent).where(~F.col("kept")).select("doc_id").distinct(), "gone").df
-    ids = gone.select(F.col("doc_id").alias("__gone"))
-    if gone.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, docs["doc_id"] == F.col("__gone"), "left_anti")
+    judged = clusters(docs, words, percent, text_key=True)
+    gone = Staged(judged.where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__text")).distinct(), "gone").df
+    ids = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    same = (docs["doc_id"].cast("long") == F.col("__gone")) & (F.xxhash64(docs["text"]) == F.col("__text"))
+    return docs.join(ids, same, "left_anti")

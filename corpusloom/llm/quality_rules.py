@@ -13,16 +13,14 @@ through unless they carry the name of an output.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import WordHashes, bounded_sample, gram_hashes, hash_words
+from corpusloom.llm.common import WordHashes, bounded_sample, gram_hashes, hash_words, of_text
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -149,28 +147,31 @@ def grow(x: np.ndarray, good: np.ndarray, trees: int, sample: int, seed: int) ->
     return Forest(feature, value, length, path_constant(sample), middle, scale)
 
 
-def statistics(docs: DataFrame, forest: Forest | None = None, keep_text: bool = False) -> DataFrame:
-    """``docs`` with the counts of COUNTS, and the forest's anomaly score if there is one; by default without its text."""
-    outputs = [T.StructField(c, T.LongType()) for c in COUNTS]
+def measured(docs: DataFrame, forest: Forest | None = None):
+    """The column function that counts a text and, if there is a forest, scores its anomaly."""
+    fields = [T.StructField(c, T.LongType()) for c in COUNTS]
     if forest is not None:
-        outputs.append(T.StructField("anomaly", T.DoubleType()))
-    new = {o.name for o in outputs}
-    kept = [f for f in docs.schema.fields if f.name not in new and (keep_text or f.name != "text")]
-    names = [f.name for f in kept]
-    read = names if keep_text else [*names, "text"]
-    text_at = read.index("text")
+        fields.append(T.StructField("anomaly", T.DoubleType()))
     held = None if forest is None else docs.sparkSession.sparkContext.broadcast(forest)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def begin():
         memo = WordHashes()
-        for batch in batches:
-            counts = np.array([count_text(memo, t.as_py()) for t in batch.column(text_at)], np.int64).reshape(batch.num_rows, len(COUNTS))
-            columns = [*batch.columns[: len(names)], *[pa.array(c, pa.int64()) for c in counts.T]]
-            if held is not None:
-                columns.append(pa.array(held.value.score(ratios(counts)), pa.float64()))
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, *[o.name for o in outputs]])
 
-    return docs.select(*read).mapInArrow(run, T.StructType([*kept, *outputs]))
+        def judge(texts: list[str | None]) -> list:
+            counts = np.array([count_text(memo, t) for t in texts], np.int64).reshape(len(texts), len(COUNTS))
+            return [*counts.T, *([] if held is None else [held.value.score(ratios(counts))])]
+
+        return judge
+
+    return of_text(T.StructType(fields), begin)
+
+
+def statistics(docs: DataFrame, forest: Forest | None = None, keep_text: bool = False) -> DataFrame:
+    """``docs`` with the counts of COUNTS, and the forest's anomaly score if there is one; by default without its text."""
+    new = [*COUNTS, *(["anomaly"] if forest is not None else [])]
+    kept = [c for c in docs.columns if c not in new and (keep_text or c != "text")]
+    found = docs.select(*kept, measured(docs, forest)("text").alias("__measured"))
+    return found.select(*kept, *[F.col("__measured")[c].alias(c) for c in new])
 
 
 @dataclass
@@ -186,7 +187,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, trees: int =
     """
     known = bounded_sample(labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality"), max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "quality", "text")
-    stats = statistics(rows).where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).limit(2 * max_rows)
+    if rows.select("doc_id").count() > 2 * max_rows:
+        # documents that share a labelled id
+        rows = bounded_sample(rows, max_rows)
+    stats = statistics(rows).where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
     found = sorted(tuple(r) for r in stats.select("doc_id", "quality", *COUNTS).collect())
     if not found:
         return Model(None, 2.0)
@@ -211,6 +215,16 @@ def judge(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < F.lit(model.cut)))
 
 
+def reject(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that are kept, with the columns they came with whatever their names."""
+    found = docs.withColumn("__measured", measured(docs, model.forest)("text"))
+    m = F.col("__measured")
+    keep = ~base_failed(m["n_words"], m["n_repeat_words"])
+    if model.forest is not None:
+        keep &= m["anomaly"] < F.lit(model.cut)
+    return found.where(keep).drop("__measured")
+
+
 def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     judged = judge(docs.select("doc_id", "text"), fit(docs, labels), keep_text=False)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")

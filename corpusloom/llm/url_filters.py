@@ -2,7 +2,8 @@
 
 The model reads character n-grams of host and path, hashed into ``dim`` weights, each an integer millionth so
 that sums are exact in any order.  It is fitted on the driver in plain Python from a small labelled URL table
-(at most ``MAX_LABELLED`` rows).  Judging is column expressions only.
+(at most ``MAX_LABELLED`` rows), which is given: a DataFrame of url and label, or ``labelled_urls()``.  Judging is column
+expressions only.  Of rules that fit, the longest wins; of equally long ones the last by name, then by action.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged by
 the model (whose bias decides).  Empty tables give no rows; other columns of the input are kept out of the
@@ -18,10 +19,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The labelled table is read to the driver; a larger one is refused.
+from corpusloom.llm.common import bounded_sample
+
+#: Rows of a labelled table that are read to the driver; of a larger one a sample by hash of the url, of half as many or more.
 MAX_LABELLED = 20_000
-#: Rules become one literal; a larger list is refused.
-MAX_RULES = 2_000
+#: Rules that become one expression; a longer list, or a table of rules, is joined.
+MAX_RULES = 200
 
 RULES = (
     ("allow", "org", "/"),
@@ -31,21 +34,42 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
-_BAD = "spam-farm cheap-pills casino-win adult-x ads-track free-bets bet-now pills-shop spam-offers win-casino track-ads xxx-adult free-pills casino-bets".split()
-_GOOD = "tionsh tionble tiontion ththth thther ththon ththan thering ththed thernd news library ththre therha docs weather history".split()
-
-
-def labelled_urls() -> list[tuple[str, int]]:
-    """A small labelled URL table: (url, 1 = block)."""
+#: The small labelled URL table: names and what they stand for, as a blocklist and a directory of sites would list them.
+LABELLED = {
+    1: (
+        "casino", "poker", "jackpot", "slots", "roulette", "betting", "bets", "bingo", "lottery", "gambling", "pills", "viagra", "cialis",
+        "pharmacy-discount", "weightloss", "botox", "replica", "porn", "xxx", "adult", "escort", "nude", "sexcam", "hookup", "malware",
+        "phishing", "spyware", "trojan", "warez", "torrent", "crack", "keygen", "spam", "clickbait", "adserver", "popup", "tracker", "ads",
+        "affiliate", "payday-loan", "bitcoin-doubler", "getrich", "fastcash", "freegift", "winprize", "cheap-deals", "linkfarm", "seo-backlinks", "spammers", "spambot", "bulkmail",
+    ),
+    0: (
+        "university", "college", "school", "library", "museum", "archive", "research", "science", "journal", "institute", "academy", "history",
+        "news", "weather", "herald", "tribune", "gazette", "city", "county", "parliament", "ministry", "court", "health", "hospital", "clinic",
+        "recipes", "garden", "travel", "railway", "music", "theatre", "orchestra", "football", "chess", "forum", "docs", "wiki", "blog",
+        "encyclopedia", "dictionary", "translation", "literature", "poetry", "physics", "biology", "mathematics", "geology", "astronomy",
+        "engineering", "software", "opensource", "community", "foundation", "charity", "church", "farm", "forest", "river", "mountain", "coast",
+    ),
+}
+#: Made-up syllables, of which plain hosts are built: a name that says nothing is allowed.
+SYLLABLES = ("ba", "den", "for", "gal", "hem", "in", "kor", "lun", "mar", "nes", "or", "pel", "ran", "sol", "ten", "ul", "ver", "wick")
+
+
+def labelled_urls(held_out: bool = False) -> list[tuple[str, int]]:
+    """The table as (url, 1 = block): each name alone and beside others of its label; ``held_out``: other combinations."""
     rows = []
-    for j, (names, label) in enumerate(((_BAD, 1), (_GOOD, 0))):
+    tops, langs = ("com", "net", "org", "info", "co.uk"), ("en", "fr", "de", "es", "it")
+    shift = 7 if held_out else 0
+    for label, names in LABELLED.items():
         for i, name in enumerate(names):
-            for k in range(4):
-                pre = ("", "www.", "blog.", "m.")[k]
-                top = ("com", "net", "org")[(i + k) % 3]
-                lang = ("en", "fr", "de", "es")[(i + k + j) % 4]
-                end = ("", "/", ".html", "")[(i * 3 + k) % 4]
-                rows.append((f"https://{pre}{name}.example.{top}/{lang}/{(i * 131 + k * 57) % 1000}{end}", label))
+            other = names[(i * 5 + 11 + shift) % len(names)]
+            hosts = (f"{other}-{name}", f"{name}{other}") if held_out else (name, f"{name}-{other}", f"{other}{name}", f"www.{name}")
+            for k, host in enumerate(hosts):
+                n = i * 7 + k * 3 + label + shift
+                path = ("", "/", f"/{langs[n % 5]}/{n * 37 % 1000}", f"/{langs[n % 5]}/{n % 9}.html")[(n // 2) % 4]
+                rows.append((f"https://{host}.{tops[n % 5]}{path}", label))
+    for i in range(len(SYLLABLES) * 4):
+        host = "".join(SYLLABLES[(i * (3 + k) + k * 7 + shift) % len(SYLLABLES)] for k in range(2 + i % 2))
+        rows.append((f"https://{('', 'www.', 'blog.')[i % 3]}{host}.{tops[i % 5]}/{langs[(i + shift) % 5]}/{i * 13 % 1000}", 0))
     return rows
 
 
@@ -76,9 +100,10 @@ def features(url: str | None, dim: int, n: int) -> list[int]:
 def fit(labelled: DataFrame | list[tuple[str, int]], dim: int = 4096, n: int = 4, epochs: int = 60, rate: float = 0.5, decay: float = 1e-4) -> UrlModel:
     """Stochastic gradient descent in a fixed order; ``labelled`` has columns url and label (1 = block)."""
     if isinstance(labelled, DataFrame):
-        labelled = [(r[0], r[1]) for r in labelled.select("url", "label").limit(MAX_LABELLED + 1).collect()]
-    if len(labelled) > MAX_LABELLED:
-        raise ValueError(f"more than {MAX_LABELLED} labelled urls")
+        labelled = labelled.select("url", "label")
+        if labelled.count() > MAX_LABELLED:
+            labelled = bounded_sample(labelled, MAX_LABELLED // 2, "url")
+        labelled = [(r[0], r[1]) for r in labelled.collect()]
     rows = sorted(((f, y) for u, y in labelled if y is not None and (f := features(u, dim, n))), key=lambda r: r[0])
     w, b = [0.0] * dim, 0.0
     for epoch in range(epochs):
@@ -122,19 +147,41 @@ def logit(host: Column, path: Column, model: UrlModel) -> Column:
     return total
 
 
-def judge(pages: DataFrame, model: UrlModel, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict and the model's logit in millionths."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    df = pages.select("page_id", "url").withColumn("host", host_of(F.col("url")))
-    df = df.withColumn("path", path_of(F.col("url"), F.col("host")))
+def rule_by_case(df: DataFrame, rules) -> DataFrame:
     host, path = F.col("host"), F.col("path")
     rule = action = F.lit(None).cast("string")
     # the longest rule that fits wins: shorter ones stand deeper in the CASE
-    for act, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1] + r[2])):
+    for act, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1] + r[2], r[0])):
         fits = ((host == h) | F.endswith(host, F.lit("." + h))) & F.startswith(path, F.lit(p))
         rule, action = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(act)).otherwise(action)
-    df = df.withColumn("rule", rule).withColumn("__action", action).withColumn("logit", logit(host, path, model))
+    return df.withColumn("rule", rule).withColumn("__action", action)
+
+
+def rule_by_join(df: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rules (action, host, path) of any number: distinct hosts are joined with their suffixes' rules, urls with their hosts' rules.
+
+    Of a host the rules are gathered in order, so a url's are searched without leaving its row.
+    """
+    hosts = df.select("host").distinct()
+    labels = F.split("host", "\\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    rules = rules.select(F.col("action").alias("__a"), F.col("host").alias("__h"), F.col("path").alias("__p"))
+    name = F.concat("__h", "__p")
+    order = F.struct(F.length(name).alias("n"), name.alias("rule"), F.col("__a").alias("action"), F.col("__p").alias("path"))
+    fitting = hosts.select("host", F.explode(suffixes).alias("__h")).join(rules, "__h").groupBy("host").agg(F.sort_array(F.collect_set(order), asc=False).alias("__rules"))
+    found = df.join(fitting, "host", "left")
+    best = F.try_element_at(F.filter("__rules", lambda r: F.startswith(F.col("path"), r["path"])), F.lit(1))
+    return found.withColumn("rule", best["rule"]).withColumn("__action", best["action"]).drop("__rules")
+
+
+def judge(pages: DataFrame, model: UrlModel, rules=RULES) -> DataFrame:
+    """page_id, host, path, rule, verdict and the model's logit in millionths; rules: (action, host, path), or a table of them."""
+    df = pages.select("page_id", "url").withColumn("host", host_of(F.col("url")))
+    df = df.withColumn("path", path_of(F.col("url"), F.col("host")))
+    if not isinstance(rules, DataFrame) and len(rules) > MAX_RULES:
+        rules = pages.sparkSession.createDataFrame(list(rules), "action string, host string, path string")
+    df = rule_by_join(df, rules) if isinstance(rules, DataFrame) else rule_by_case(df, rules)
+    df = df.withColumn("logit", logit(F.col("host"), F.col("path"), model))
     verdict = F.coalesce(F.col("__action"), F.when(F.col("logit") > 0, "block").otherwise("allow"))
     return df.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "logit")
 

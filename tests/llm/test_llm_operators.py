@@ -75,7 +75,7 @@ def test_stupid_backoff_matches_counting(spark):
                 s += log(pair) - log(one[w[k - 1]] - own1[w[k - 1]])
                 continue
             rest = one[x] - own1[x]
-            s += (log(rest) if rest else lm_scoring.A) + (lm_scoring.A if k else 0) - log(total - len(w))
+            s += (log(rest) if rest else lm_scoring.A) + (lm_scoring.A if k else 0) - log(total)
             back += 1
         expected[i] = (len(w), back, s)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
