@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import crc, scratch, slices
+from corpusloom.llm.common import crc, in_arrow, scratch, slices
 
 #: Fixed values of the framing.
 MASK, HEAD, WIDE, NULL_ID = 0xA282EAD8, struct.Struct("<QI"), 1, 2
@@ -190,8 +190,9 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int,
                 out = [frame(pack(k, np.frombuffer(c + end, "<u4"))) for k, c in zip(keys[a : a + len(part)], coded)]
                 a += len(part)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+        enc.memo.clear()
 
-    framed = rows.select("k", "t").mapInArrow(run, "value binary")
+    framed = in_arrow(rows.select("k", "t"), run, "value binary")
     framed.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", most).text(path, lineSep="\n")
 
 
@@ -220,7 +221,7 @@ def scan_records(spark: SparkSession, path: str) -> DataFrame:
     def as_batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=list(names))
 
-    return files.mapInArrow(run, "file string, offset long, length long, key long, ids binary, before long")
+    return in_arrow(files, run, "file string, offset long, length long, key long, ids binary, before long")
 
 
 def write_index(spark: SparkSession, records: str, index: str) -> None:
@@ -270,7 +271,7 @@ def read_at(index: DataFrame, wanted: DataFrame) -> DataFrame:
                     [pa.array([k for k, _ in got], pa.int64()), pa.array([x.tobytes() for _, x in got], pa.binary())], names=["key", "ids"]
                 )
 
-    return files.select("content", "at").mapInArrow(run, "key long, ids binary")
+    return in_arrow(files.select("content", "at"), run, "key long, ids binary")
 
 
 def token_records(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:

@@ -16,6 +16,7 @@ to the left.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -25,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import slices
+from corpusloom.llm.common import in_arrow, slices
 
 INF = np.int64(2**62)
 #: Padded lengths above this are merged one by one.
 SIDE_BY_SIDE = 128
 #: Units that a worker remembers; longer ones than the second figure are never kept.
-MEMO, MEMO_LEN = 350_000, 64
+MEMO, MEMO_LEN = 150_000, 64
 
 
 class PairRanks:
@@ -266,6 +267,11 @@ class Encoder:
                     del memo[u]
         return out
 
+    def forget(self) -> None:
+        """Drops the memos and keeps the tables: what the next task reads is another part of the texts."""
+        for memo in (self.bare, self.spaced, self.table.memo):
+            memo.clear()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.table.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -275,11 +281,16 @@ def encoder(ranks_path: str, pattern: str) -> Encoder:
     return Encoder(ranks_path, pattern)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None, keep_text: bool = False) -> DataFrame:
-    """Replaces ``text`` by ``ids`` (binary, little-endian 32-bit), and by its decoded bytes if ``decoded`` is given."""
-    kept = [f for f in docs.schema.fields if f.name not in (ids, decoded) and (keep_text or f.name != text)]
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None, decoded_sha256: str | None = None, keep_text: bool = False) -> DataFrame:
+    """Replaces ``text`` by ``ids`` (binary, little-endian 32-bit), and by what these decode to if ``decoded`` is given.
+
+    ``decoded_sha256`` names a column for the digest of the decoded bytes, which then needn't travel.
+    """
+    kept = [f for f in docs.schema.fields if f.name not in (ids, decoded, decoded_sha256) and (keep_text or f.name != text)]
     names = [f.name for f in kept]
     added = [T.StructField(n, T.BinaryType()) for n in (ids, decoded) if n]
+    if decoded_sha256:
+        added.append(T.StructField(decoded_sha256, T.StringType()))
     source = docs.select(*[docs[n] for n in names], docs[text].alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,9 +303,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
                 a += len(part)
                 if decoded:
                     columns.append(pa.array([enc.decode(x) for x in coded], pa.binary()))
+                if decoded_sha256:
+                    columns.append(pa.array([hashlib.sha256(enc.decode(x)).hexdigest() for x in coded], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *[f.name for f in added]])
+        enc.forget()
 
-    return source.mapInArrow(run, T.StructType([*kept, *added]))
+    return in_arrow(source, run, T.StructType([*kept, *added]))
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -308,4 +322,4 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "dec
             out = [b"".join(map(table.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column(names.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], pa.array(out, pa.binary())], names=[*names, decoded])
 
-    return df.select(*names).mapInArrow(run, T.StructType([*kept, T.StructField(decoded, T.BinaryType())]))
+    return in_arrow(df.select(*names), run, T.StructType([*kept, T.StructField(decoded, T.BinaryType())]))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
 import zlib
@@ -124,6 +126,40 @@ def slices(texts: pa.Array, most_bytes: int = 4_000_000) -> Iterator[pa.Array]:
         start = end
 
 
+#: What a batch of rows that travels to a worker may hold.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": 4_000_000, "spark.sql.execution.arrow.maxRecordsPerBatch": 2_000}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH where they are larger.
+
+    By default a batch is 10,000 rows, so long texts make batches of 64 MB, held several times over by each task on either
+    side.
+    """
+    for name, most in BATCH.items():
+        held = re.sub(r"\D", "", spark.conf.get(name))
+        if not held or not 0 < int(held) <= most:
+            spark.conf.set(name, most)
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a worker lives on while other stages need the room."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` whose workers keep nothing when a task is done."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    small_batches(df.sparkSession)
+    return df.mapInArrow(tidy, schema)
+
+
 def of_text(kind: T.StructType, begin: Callable[[], Callable[[list[str | None]], list]]) -> Callable[[Column], Column]:
     """A column of structs made from a column of texts.
 
@@ -140,7 +176,12 @@ def of_text(kind: T.StructType, begin: Callable[[], Callable[[list[str | None]],
             parts = [judge(part.to_pylist()) for part in slices(batch)]
             columns = [pa.chunked_array([pa.array(p[i], k) for p in parts], k).combine_chunks() for i, k in enumerate(kinds)]
             yield pa.StructArray.from_arrays(columns, names=names)
+            del parts, columns, batch
+        del judge
+        release()
 
+    if spark := SparkSession.getActiveSession():
+        small_batches(spark)
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, kind).asNondeterministic()
 

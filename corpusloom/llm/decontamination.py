@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import ITEM_WORDS, WordHashes, hash_words, of_text
+from corpusloom.llm.common import ITEM_WORDS, WordHashes, hash_words, in_arrow, of_text
 
 WINDOW = 13
 #: Bytes of benchmark text that one block holds, words that a shard has, and occurrences that are followed at once.
@@ -309,7 +309,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, shard_words: int = SH
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    found = texts.mapInArrow(run, "item_id string, at long, longest long, doc_id long, word long")
+    found = in_arrow(texts, run, "item_id string, at long, longest long, doc_id long, word long")
     best = found.groupBy("item_id", "at").agg(F.max(F.struct("longest", -F.col("doc_id"), -F.col("word"))).alias("m"))
     return best.select("item_id", "at", F.col("m.longest").alias("longest"), (-F.col("m.col2")).alias("doc_id"), (-F.col("m.col3")).alias("word"))
 

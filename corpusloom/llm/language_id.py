@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import bounded_sample, crc_of_id, of_text
+from corpusloom.llm.common import bounded_sample, crc_of_id, in_arrow, of_text
 
 UND = "und"
 #: ASCII letters in lower case and all other bytes of UTF-8; the rest of ASCII parts words.
@@ -33,7 +33,7 @@ LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 els
 LETTER = re.compile(r"[^\W\d_]")
 SIZES = (2, 3, 4, 5)
 #: Words that a worker remembers, and the longest of them in bytes.
-MEMO, MEMO_LEN = 500_000, 64
+MEMO, MEMO_LEN = 200_000, 64
 #: Scores are counted by the logarithm of their odds, in steps of 1 / ODDS.
 ODDS = 100
 OUT = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())]
@@ -98,7 +98,7 @@ def training_rows(docs: DataFrame, buckets: int, max_rows: int) -> list[tuple[st
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "lang", "ids", "n"])
 
     rows = rows.select(F.col("doc_id").cast("long"), "text", "lang")
-    found = rows.mapInArrow(count, "doc_id long, lang string, ids binary, n binary").collect()
+    found = in_arrow(rows, count, "doc_id long, lang string, ids binary, n binary").collect()
     found.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang, len(r.ids)))
     return [(r.lang, np.frombuffer(r.ids, "<u2"), np.frombuffer(r.n, "<u2"), r.doc_id) for r in found]
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import LOWER, Staged, WordHashes, hash_words, mix, slices
+from corpusloom.llm.common import LOWER, Staged, WordHashes, hash_words, in_arrow, mix, slices
 
 ALPHA = 0.4
 #: Hot words are at most so many, or as many as there are buckets, up to the second figure; hot pairs at most twice the first.
@@ -110,7 +110,7 @@ def word_counts(docs: DataFrame, hot: int) -> DataFrame:
         if len(h):
             yield out(h, c, False)
 
-    return docs.select("text").mapInArrow(run, "h long, c long, pair boolean").groupBy("pair", "h").agg(F.sum("c").alias("c"))
+    return in_arrow(docs.select("text"), run, "h long, c long, pair boolean").groupBy("pair", "h").agg(F.sum("c").alias("c"))
 
 
 def pair_counts(docs: DataFrame, asked) -> DataFrame:
@@ -126,7 +126,7 @@ def pair_counts(docs: DataFrame, asked) -> DataFrame:
         found = np.flatnonzero(total[1:])
         yield pa.RecordBatch.from_arrays([pa.array(wanted[found].view(np.int64)), pa.array(total[1:][found])], names=["h", "c"])
 
-    return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return in_arrow(docs.select("text"), run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -356,8 +356,8 @@ def scores(docs: DataFrame, hot: int | None = None, bucket_pairs: int = BUCKET_P
             yield pa.RecordBatch.from_arrays([*map(pa.array, (doc, micro, n, back)), empty, empty], names=names)
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(buckets / 4))
-    blocks = docs.mapInArrow(to_blocks, "bucket long, data binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    found = Staged(blocks.mapInArrow(to_scores, ", ".join(f"{n} long" for n in names)), "pair-scores").df
+    blocks = in_arrow(docs, to_blocks, "bucket long, data binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    found = Staged(in_arrow(blocks, to_scores, ", ".join(f"{n} long" for n in names)), "pair-scores").df
     sums = found.where("h IS NULL").select("doc", "micro", "n", "back")
     asks = found.where("h IS NOT NULL").groupBy("h", "doc", "own").agg(F.sum("n").alias("n")).join(counts, "h")
     less = -F.col("n") * F.rint(1e6 * F.log(F.greatest(F.lit(1), F.col("c") - F.col("own")).cast("double"))).cast("long")

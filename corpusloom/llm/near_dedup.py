@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import LOWER, Staged, WordHashes, gram_hashes, hash_words, mix
+from corpusloom.llm.common import LOWER, Staged, WordHashes, gram_hashes, hash_words, in_arrow, mix
 
 #: Hashes in each collection, and minhashes in each hash.
 M, T = 24, 5
@@ -97,7 +97,7 @@ def signatures(docs: DataFrame, words: int = 4, m: int = M, t: int = T) -> DataF
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, node long, a array<long>, b array<long>")
+    return in_arrow(rows, run, "doc_id long, text_key long, n_shingles long, node long, a array<long>, b array<long>")
 
 
 def shared_hashes(classes: DataFrame, collection: str) -> DataFrame:
@@ -269,7 +269,7 @@ def set_table(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 sets = [shingles(memo, t.as_py(), words).view(np.int64) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
-    return texts.mapInArrow(to_sets, "node long, set array<long>")
+    return in_arrow(texts, to_sets, "node long, set array<long>")
 
 
 def confirmed(links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -308,7 +308,7 @@ def group_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def as_links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([max(p) for p in pairs], pa.int64()), pa.array([min(p) for p in pairs], pa.int64())], names=["u", "v"])
 
-    return rows.mapInArrow(compare, "u long, v long")
+    return in_arrow(rows, compare, "u long, v long")
 
 
 def mixed_groups(near: DataFrame, found: DataFrame) -> DataFrame:
