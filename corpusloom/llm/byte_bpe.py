@@ -32,7 +32,7 @@ INF = np.int64(2**62)
 #: Padded lengths above this are merged one by one.
 SIDE_BY_SIDE = 128
 #: Units that a worker remembers; longer ones than the second figure are never kept.
-MEMO, MEMO_LEN = 150_000, 64
+MEMO, MEMO_LEN = 80_000, 64
 
 
 class PairRanks:
@@ -192,7 +192,7 @@ def merge_pieces(pieces: set[bytes], table: PairRanks) -> dict[bytes, bytes]:
         elif p:
             by_size.setdefault(1 << max(1, (len(p) - 1).bit_length()), []).append(p)
     for size, group in by_size.items():
-        step = max(1, 400_000 // size)
+        step = max(1, 100_000 // size)
         for i in range(0, len(group), step):
             part = group[i : i + step]
             out.update(zip(part, (x.astype("<u4").tobytes() for x in merge_together(part, table, size))))

@@ -115,7 +115,7 @@ def bounded_sample(df: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
     return df.where(h < F.lit(cut)).unionByName(df.where(h == F.lit(cut)).limit(limit))
 
 
-def slices(texts: pa.Array, most_bytes: int = 4_000_000) -> Iterator[pa.Array]:
+def slices(texts: pa.Array, most_bytes: int = 1_000_000) -> Iterator[pa.Array]:
     """Consecutive parts whose texts sum to about ``most_bytes``: bounds what a worker turns into strings at once."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
     start = 0
@@ -160,11 +160,11 @@ def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(tidy, schema)
 
 
-def of_text(kind: T.StructType, begin: Callable[[], Callable[[list[str | None]], list]]) -> Callable[[Column], Column]:
+def of_text(kind: T.StructType, begin: Callable[[], Callable[[list[str | None]], list]], most_bytes: int = 1_000_000) -> Callable[[Column], Column]:
     """A column of structs made from a column of texts.
 
     Only the texts travel to Python and only the structs come back; the other columns stay in the JVM.  ``begin`` is
-    called once a task and gives a function from texts to the struct's columns.  It is marked nondeterministic so that
+    called once a task and gives a function from texts, some ``most_bytes`` of them, to the struct's columns.  It is marked nondeterministic so that
     a filter and a projection of its result share one evaluation.
     """
     names = kind.names
@@ -173,7 +173,7 @@ def of_text(kind: T.StructType, begin: Callable[[], Callable[[list[str | None]],
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         judge = begin()
         for batch in batches:
-            parts = [judge(part.to_pylist()) for part in slices(batch)]
+            parts = [judge(part.to_pylist()) for part in slices(batch, most_bytes)]
             columns = [pa.chunked_array([pa.array(p[i], k) for p in parts], k).combine_chunks() for i, k in enumerate(kinds)]
             yield pa.StructArray.from_arrays(columns, names=names)
             del parts, columns, batch
@@ -195,7 +195,7 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
 class WordHashes(dict):
     """Memo from a word's bytes to a 64-bit hash; forgets everything when it is full."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 

@@ -261,7 +261,8 @@ def searched(benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHAR
 
         return judge
 
-    return of_text(T.StructType(OUT), begin)
+    # larger parts make fewer shards to search
+    return of_text(T.StructType(OUT), begin, most_bytes=4_000_000)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

@@ -33,7 +33,7 @@ LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 els
 LETTER = re.compile(r"[^\W\d_]")
 SIZES = (2, 3, 4, 5)
 #: Words that a worker remembers, and the longest of them in bytes.
-MEMO, MEMO_LEN = 200_000, 64
+MEMO, MEMO_LEN = 100_000, 64
 #: Scores are counted by the logarithm of their odds, in steps of 1 / ODDS.
 ODDS = 100
 OUT = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())]
@@ -173,8 +173,8 @@ class Predictor:
         out = [np.zeros((0, self.rows.shape[1]))]
         start = size = 0
         for i, w in enumerate([*words, None]):
-            # some 400,000 bytes of words at once; a longer word is a part by itself
-            if w is None or (size and size + len(w) > 400_000):
+            # some 100,000 bytes of words at once; a longer word is a part by itself
+            if w is None or (size and size + len(w) > 100_000):
                 part = words[start:i]
                 if part:
                     ids, starts = subwords(part, len(self.model.logits))
@@ -194,25 +194,23 @@ class Predictor:
         missing: set[bytes] = set()
         for w in words:
             missing.update(set(w).difference(self.place))
-        if missing:
-            new = sorted(missing, key=len)
-            n_short = sum(len(w) <= MEMO_LEN for w in new)
-            n_held = len(self.rows)
-            rows = np.concatenate((self.rows, self.sums(new)))
-            place = self.place | {w: n_held + i for i, w in enumerate(new)} if n_short < len(new) else self.place
-            self.place.update((w, n_held + i) for i, w in enumerate(new[:n_short]))
-            self.rows = rows[: n_held + n_short]
-        else:
-            rows, place = self.rows, self.place
+        new = sorted(missing, key=len)
+        n_short, n_held = sum(len(w) <= MEMO_LEN for w in new), len(self.rows)
+        rows = np.concatenate((self.rows, self.sums(new))) if new else self.rows
+        self.place.update((w, n_held + i) for i, w in enumerate(new))
+        self.rows = rows[: n_held + n_short]
         langs, scores, accepted = [], [], []
         for w in words:
             if not w:
                 langs.append(UND), scores.append(0.0), accepted.append(False)
                 continue
-            total = rows[np.fromiter(map(place.__getitem__, w), np.int64, len(w))].sum(axis=0)
+            total = rows[np.fromiter(map(self.place.__getitem__, w), np.int64, len(w))].sum(axis=0)
             p = softmax((total[:-1] / total[-1] + m.bias) / m.temperature)
             best = int(p.argmax())
             langs.append(m.langs[best]), scores.append(float(min(1.0, p[best]))), accepted.append(bool(p[best] >= m.cut))
+        # long words aren't kept
+        for w in new[n_short:]:
+            del self.place[w]
         return langs, scores, accepted
 
 
