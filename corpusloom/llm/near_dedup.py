@@ -12,7 +12,7 @@ many separate tables need.  With m = 24 and t = 5, a pair at the bound of 0.8 sh
    those links whose ends are still in different components.  A hub's many links are split by adaptive execution.
 4. What is left are keys of three classes or more from more than one component: there a class may be linked to another
    than the hub.  All classes of such a key are compared, in tiles, so no task holds a key and no list of pairs is
-   built.  Keys that overlap so much that comparing their union once is less work are compared as that union.
+   built.  Components that meet in so many keys that comparing their union once is less work are compared as that union.
 5. Components of the confirmed links, by large-star and small-star rounds staged in the shared folder; nodes with many
    links have their least neighbour broadcast (a bounded number of nodes), so they are never one task's work.
 
@@ -121,14 +121,22 @@ def candidate_links(near: DataFrame) -> DataFrame:
     return keys.join(first, "k").where("node > v").select(F.col("node").alias("u"), "v").distinct()
 
 
-def with_least(rows: DataFrame, key: str, value: str, many: int) -> DataFrame:
-    """``rows`` with m, the least ``value`` of their ``key``; keys of more than ``many`` rows are broadcast and not shuffled."""
-    low = rows.groupBy(key).agg(F.min(value).alias("m"), F.count(F.lit(1)).alias("__n"))
-    hubs = F.broadcast(low.where(F.col("__n") > many).select(F.col(key).alias("__hub"), F.col("m").alias("__m")))
+def spread(rows: DataFrame, table: DataFrame, key: str, many: int) -> DataFrame:
+    """``rows`` joined with a table of one row a key, which says in ``heavy`` how many rows the key has.
+
+    Keys of more than ``many`` rows are broadcast, so their rows stay where they are; the others are joined by shuffling.
+    """
+    more = [c for c in table.columns if c not in (key, "heavy")]
+    hubs = F.broadcast(table.where(F.col("heavy") > many).select(F.col(key).alias("__hub"), *[F.col(c).alias(f"__{c}") for c in more]))
     tried = rows.join(hubs, rows[key] == F.col("__hub"), "left")
-    at_hub = tried.where(F.col("__hub").isNotNull()).select(*rows.columns, F.col("__m").alias("m"))
+    at_hub = tried.where(F.col("__hub").isNotNull()).select(*rows.columns, *[F.col(f"__{c}").alias(c) for c in more])
     rest = tried.where(F.col("__hub").isNull()).select(*rows.columns)
-    return at_hub.unionByName(rest.join(low.where(F.col("__n") <= many).select(key, "m"), key).select(*rows.columns, "m"))
+    return at_hub.unionByName(rest.join(table.where(F.col("heavy") <= many).select(key, *more), key).select(*rows.columns, *more))
+
+
+def with_least(rows: DataFrame, key: str, value: str, many: int) -> DataFrame:
+    """``rows`` with m, the least ``value`` of their ``key``."""
+    return spread(rows, rows.groupBy(key).agg(F.min(value).alias("m"), F.count(F.lit(1)).alias("heavy")), key, many)
 
 
 def many_of(rows: int) -> int:
@@ -311,19 +319,36 @@ def group_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return in_arrow(rows, compare, "u long, v long")
 
 
-def mixed_groups(near: DataFrame, found: DataFrame) -> DataFrame:
-    """(node, block): what is still to be compared, as table keys, or as unions of them where that is less work."""
-    keys = table_keys(with_cluster(near, "node", found, "c"))
-    mixed = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.min("node").alias("v"))
-    mixed = mixed.where("n > 2 AND low <> high").select("k", "v", F.col("n").cast("double").alias("n"))
-    held = Staged(keys.join(mixed, "k").select("k", "v", "n", "node"), "mixed").df
-    unions = components(held.where("node > v").select(F.col("node").alias("u"), "v").distinct(), "unions")
-    rows = Staged(with_cluster(held, "node", unions, "block"), "mixed").df
-    each = rows.select("block", "k", "n").distinct().groupBy("block").agg(F.sum(F.col("n") * F.col("n")).alias("work"))
-    whole = rows.select("block", "node").distinct().groupBy("block").agg(F.count(F.lit(1)).cast("double").alias("size"))
-    less = each.join(whole, "block").where(F.col("size") * F.col("size") < F.col("work")).select("block", F.lit(True).alias("__whole"))
-    group = F.when(F.col("__whole"), F.xxhash64(F.lit("union"), "block")).otherwise(F.col("k"))
-    return rows.join(less, "block", "left").select("node", group.alias("block")).distinct()
+def mixed_groups(near: DataFrame, found: DataFrame) -> DataFrame | None:
+    """(node, block): what is still to be compared, as table keys, or as unions of components where that is less work.
+
+    A key of two classes has its one link tried; a key within one component has nothing to tell.  Of the others, keys and
+    components that meet in them form unions.  Comparing a union is the square of its nodes, comparing it key by key the
+    sum of the keys' squares.
+    """
+    ends = Staged(with_cluster(near, "node", found, "c"), "ends").df
+    n_ends = ends.count()
+    each = table_keys(ends).groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"))
+    mixed = each.groupBy("k").agg(F.sum("n").cast("double").alias("n"), F.count(F.lit(1)).alias("parts"), F.min("c").alias("low"))
+    mixed = Staged(mixed.where("parts > 1 AND n > 2").select("k", "low", "n"), "mixed").df
+    n_mixed = mixed.count()
+    if not n_mixed:
+        return None
+    meet = each.join(mixed.select("k", "low"), "k").where("c <> low").select(F.col("c").alias("u"), F.col("low").alias("v")).distinct()
+    unions = components(meet, "unions")
+    named = unions.select(F.col("u").alias("c"), F.col("v").alias("block")).unionByName(unions.select(F.col("v").alias("c"), F.col("v").alias("block")).distinct())
+    size = ends.groupBy("c").agg(F.count(F.lit(1)).alias("heavy"))
+    size = Staged(named.join(size, "c"), "parts").df
+    by_low = mixed.groupBy("low").agg(F.sum(F.col("n") * F.col("n")).alias("work"), F.count(F.lit(1)).alias("keys"))
+    by_low = Staged(by_low.join(named.withColumnRenamed("c", "low"), "low"), "work").df
+    work = by_low.groupBy("block").agg(F.sum("work").alias("work"))
+    total = size.groupBy("block").agg(F.sum("heavy").cast("double").alias("size"))
+    whole = Staged(total.join(work, "block").where(F.col("size") * F.col("size") < F.col("work")).select("block"), "whole").df
+    dense = spread(ends.select("node", "c"), size.join(whole, "block").select("c", "block", "heavy"), "c", many_of(n_ends))
+    dense = dense.select("node", F.xxhash64(F.lit("union"), "block").alias("block"))
+    loose = by_low.join(whole, "block", "left_anti").select("low", F.col("keys").alias("heavy"))
+    keys = spread(mixed.select("k", "low"), loose, "low", many_of(n_mixed)).select("k")
+    return dense.unionByName(table_keys(ends.drop("c")).join(keys, "k").select("node", F.col("k").alias("block")))
 
 
 def links_of(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -348,8 +373,9 @@ def links_of(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> D
     more = Staged(confirmed(rest, sets, percent), "more-links").df
     if more.take(1):
         found = components(found.unionByName(more), "links")
-    groups = Staged(mixed_groups(ends.select("node", "a", "b"), found).join(ends.select("node", "n_shingles"), "node"), "groups").df
-    if groups.take(1):
+    groups = mixed_groups(ends.select("node", "a", "b"), found)
+    if groups is not None:
+        groups = Staged(groups.join(ends.select("node", "n_shingles"), "node"), "groups").df
         found = components(found.unionByName(group_links(groups, sets, percent)), "links")
     return found
 
