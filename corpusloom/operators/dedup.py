@@ -44,17 +44,10 @@ def word_bucket(df: DataFrame, words: Column, top: int = 32, of_first: int = 200
     Counted within each row by sorting its words, so nothing is exploded or shuffled.
     """
     ws = F.array_sort(F.slice(words, 1, of_first))
-    start = F.struct(F.array().cast("array<struct<n:int,w:string>>").alias("done"), F.lit(None).cast("string").alias("w"), F.lit(0).alias("n"))
-
-    def push(acc: Column) -> Column:
-        return F.when(acc["n"] > 0, F.concat(acc["done"], F.array(F.struct((-acc["n"]).alias("n"), acc["w"].alias("w"))))).otherwise(acc["done"])
-
-    def step(acc: Column, x: Column) -> Column:
-        same = acc["w"] == x
-        return F.struct(
-            F.when(same, acc["done"]).otherwise(push(acc)).alias("done"), x.alias("w"), F.when(same, acc["n"] + 1).otherwise(F.lit(1)).alias("n")
-        )
-
-    counted = F.aggregate(ws, start, step, push)
+    df = df.select("doc_id", ws.alias("ws"))
+    # a run of equal words begins where a word differs from the one before; its length is the way to the next beginning
+    starts = F.filter(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: (i == 0) | (F.get("ws", i) != F.get("ws", i - 1)))
+    df = df.select("doc_id", "ws", F.when(F.size("ws") > 0, starts).otherwise(F.array().cast("array<int>")).alias("at"))
+    counted = F.transform("at", lambda i, k: F.struct((i - F.coalesce(F.get("at", k + 1), F.size("ws"))).alias("n"), F.get("ws", i).alias("w")))
     best = F.transform(F.slice(F.array_sort(counted), 1, top), lambda s: s["w"])
     return df.select("doc_id", F.substring(F.sha1(F.array_join(best, " ")), 1, 8).alias("bucket"))

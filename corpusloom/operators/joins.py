@@ -12,20 +12,26 @@ SPAN_ROWS = 100_000
 
 
 def span_lookup(df: DataFrame, point: str, spans: DataFrame, width: int = 1_000_000) -> DataFrame:
-    """Adds the name of the span [lo, hi] that holds ``point``, else 'unknown'.
+    """Adds the name of the span [lo, hi] that holds ``point``, else 'unknown'; of several the greatest name.
 
-    A span table of a checked size is broadcast; a larger one is cut into cells of ``width`` and joined by cell.
+    A span table of a checked size is broadcast; a larger one is cut into cells of ``width`` and joined by cell.  Only
+    where spans may overlap are a row's matches brought together, by a number that the row gets.
     """
-    n = spans.limit(SPAN_ROWS + 1).count()
-    if n <= SPAN_ROWS:
-        held = F.broadcast(spans)
-        joined = df.join(held, F.col(point).between(F.col("lo"), F.col("hi")), "left")
+    inside = F.col(point).between(F.col("lo"), F.col("hi"))
+    few = spans.limit(SPAN_ROWS + 1).count() <= SPAN_ROWS
+    if few:
+        before = F.max("hi").over(Window.orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1))
+        apart = not spans.withColumn("__before", before).where(F.col("lo") <= F.col("__before")).take(1)
+        if apart:
+            return df.join(F.broadcast(spans), inside, "left").select(*df.columns, F.coalesce("name", F.lit("unknown")).alias("name"))
+    rows = df.withColumn("__row", F.monotonically_increasing_id())
+    if few:
+        joined = rows.join(F.broadcast(spans), inside, "left")
     else:
         cells = spans.withColumn("__cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
-        joined = df.withColumn("__cell", F.floor(F.col(point) / width)).join(cells, ["__cell"], "left")
-        inside = F.col(point).between(F.col("lo"), F.col("hi"))
-        joined = joined.groupBy(*df.columns).agg(F.max(F.when(inside, F.col("name"))).alias("name"))
-    return joined.select(*df.columns, F.coalesce("name", F.lit("unknown")).alias("name"))
+        joined = rows.withColumn("__cell", F.floor(F.col(point) / width)).join(cells, ["__cell"], "left")
+    found = joined.groupBy("__row", *df.columns).agg(F.max(F.when(inside, F.col("name"))).alias("name"))
+    return found.select(*df.columns, F.coalesce("name", F.lit("unknown")).alias("name"))
 
 
 def normalised(c: Column) -> Column:
@@ -44,11 +50,15 @@ def containment(docs: DataFrame, items: DataFrame, least: int = 20) -> DataFrame
     i = items.select("item_id", normalised(F.col("text")).alias("i")).where(F.length(F.trim("i")) >= least)
     longest = F.array_max(F.transform(F.split(F.trim("i"), " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     i = i.withColumn("anchor", longest)
-    words = d.select("doc_id", "d", F.explode(F.array_distinct(F.split(F.trim("d"), " "))).alias("anchor"))
-    # only anchors can match: the words of the documents are cut down before their texts travel with them
     known = i.select("anchor").distinct()
-    pairs = words.join(F.broadcast(known), "anchor", "left_semi") if known.limit(SPAN_ROWS + 1).count() <= SPAN_ROWS else words
-    return pairs.join(i, "anchor").where(F.contains("d", F.col("i"))).select("doc_id", "item_id")
+    if known.limit(SPAN_ROWS + 1).count() <= SPAN_ROWS:
+        # few anchors: texts are cut down before they travel
+        words = d.select("doc_id", "d", F.explode(F.array_distinct(F.split(F.trim("d"), " "))).alias("anchor"))
+        return words.join(F.broadcast(known), "anchor", "left_semi").join(i, "anchor").where(F.contains("d", F.col("i"))).select("doc_id", "item_id")
+    # only ids travel with the words; a text is met again by the pairs of its id
+    words = d.select("doc_id", F.explode(F.array_distinct(F.split(F.trim("d"), " "))).alias("anchor"))
+    pairs = words.join(i.select("item_id", "anchor"), "anchor").select("doc_id", "item_id").distinct()
+    return pairs.join(d, "doc_id").join(i.select("item_id", "i"), "item_id").where(F.contains("d", F.col("i"))).select("doc_id", "item_id")
 
 
 def containment_loop(docs: DataFrame, items: DataFrame, least: int = 20) -> DataFrame:

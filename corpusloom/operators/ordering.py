@@ -13,12 +13,36 @@ def row_bytes(text: str = "text") -> Column:
     return (F.octet_length(X.text_or_empty(F.col(text))) + 1).cast("long")
 
 
-def running(df: DataFrame, group: list[str], order: list[str], size: Column) -> DataFrame:
-    """Adds size, rn and cum: the place and the running size within a group."""
-    w = Window.partitionBy(*group).orderBy(*order)
+#: Ids that one task of a running sum goes through.
+WIDTH = 1_000_000
+
+
+def running(df: DataFrame, group: list[str], order: list[str], size: Column, width: int = WIDTH) -> DataFrame:
+    """Adds size, rn and cum: the place and the running size within a group.
+
+    By a single whole-number column the sums run in two levels, over ranges of ``width`` of it and within a range, so a
+    large group is many tasks' work and only a row a range meets in one.
+    """
     df = df.withColumn("size", size)
+    if len(order) > 1 or dict(df.dtypes)[order[0]] not in ("int", "bigint"):
+        w = Window.partitionBy(*group).orderBy(*order)
+        rows = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn("rn", F.row_number().over(w)).withColumn("cum", F.sum("size").over(rows))
+    df = df.withColumn("__range", F.floor(F.col(order[0]) / width))
+    sums = df.groupBy(*group, "__range").agg(F.count(F.lit(1)).alias("__n"), F.sum("size").alias("__s"))
+    before = Window.partitionBy(*group).orderBy(F.col("__range").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("__n", "__s")]
+    keys = [*group, "__range"]
+    sums = sums.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *so_far)
+    same = None
+    for i, k in enumerate(keys):
+        one = df[k].eqNullSafe(F.col(f"__k{i}"))
+        same = one if same is None else same & one
+    w = Window.partitionBy(*keys).orderBy(F.col(order[0]))
     rows = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("rn", F.row_number().over(w)).withColumn("cum", F.sum("size").over(rows))
+    df = df.join(sums, same).drop(*[f"__k{i}" for i in range(len(keys))])
+    df = df.withColumn("rn", (F.col("__n_before") + F.row_number().over(w)).cast("int")).withColumn("cum", F.col("__s_before") + F.sum("size").over(rows))
+    return df.drop("__range", "__n_before", "__s_before")
 
 
 def budget_prefix(df: DataFrame, group: list[str], order: list[str], size: Column, budget: int) -> DataFrame:

@@ -83,9 +83,10 @@ def reject_samples(df: DataFrame, n: int, reason: str = "reason", order: str = "
     return df.where(F.col(reason).isNotNull()).withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def light_gate(df: DataFrame) -> DataFrame:
-    """doc_id, reason of the light quality gate; bounds of length by language."""
-    df = df.select("doc_id", "lang", X.one_line(F.col("text")).alias("t")).withColumn("tok", F.filter(F.split("t", " "), lambda x: x != ""))
+def light_gate(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, reason of the light quality gate, beside the columns of ``keep``; bounds of length by language."""
+    df = df.select("doc_id", *keep, "lang", X.one_line(F.col("text")).alias("t"))
+    df = df.withColumn("tok", F.filter(F.split("t", " "), lambda x: x != "")).withColumn("low", F.lower("t"))
     t, tok, n = F.col("t"), F.col("tok"), F.length("t")
     bound = lambda i: F.when(F.col("lang") == "de", LIGHT_BOUNDS["de"][i]).otherwise(LIGHT_BOUNDS["en"][i])
     protected = F.lit(False)
@@ -97,13 +98,13 @@ def light_gate(df: DataFrame) -> DataFrame:
         ("", protected),
         ("too_short", n < bound(0)),
         ("too_long", n > bound(1)),
-        ("boilerplate", contains_any(F.lower(t), BOILERPLATE)),
+        ("boilerplate", contains_any(F.col("low"), BOILERPLATE)),
         ("url_dense", X.ratio(urls, F.size(tok)) > 0.20),
         ("symbol_dense", X.ratio(X.symbol_count(t), n) > 0.35),
         ("repetitive", X.distinct_share_lost(tok) > 0.60),
         ("mojibake", contains_any(t, LIGHT_MOJIBAKE)),
     ]
-    return df.select("doc_id", F.nullif(first_reason(rules), F.lit("")).alias("reason"))
+    return df.select("doc_id", *keep, F.nullif(first_reason(rules), F.lit("")).alias("reason"))
 
 
 def profiles(spark) -> DataFrame:
@@ -127,11 +128,26 @@ def language_ok(low: Column, ws: Column, language: Column) -> Column:
     return F.when(F.size(ws) < 30, False).when(language == "de", german).when(language == "en", english).otherwise(True)
 
 
-def strict_gate(df: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """doc_id, profile, reason.  The structure reason is found once and reported early or late by its kind."""
-    profile = F.when(F.col("source").isin("src3", "src7"), "code").when(F.col("source") == "src5", "math").otherwise("prose")
-    base = df.select("doc_id", "lang", profile.alias("profile"), X.strict_normalise(F.col("text")).alias("t"))
-    base = base.join(F.broadcast(thresholds), "profile")
+#: Rows of a table of sources or profiles that is broadcast without being counted.
+FEW = 10_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast if it has few rows, else left to the optimiser."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
+def strict_gate(df: DataFrame, thresholds: DataFrame, profile_of: DataFrame | None = None) -> DataFrame:
+    """doc_id, profile, reason.  The structure reason is found once and reported early or late by its kind.
+
+    ``profile_of`` (source, profile) names the sources' profiles; a source that it doesn't name is prose.
+    """
+    base = df.select("doc_id", "lang", "source", X.strict_normalise(F.col("text")).alias("t"))
+    if profile_of is not None:
+        base = base.join(small(profile_of), "source", "left")
+    else:
+        base = base.withColumn("profile", F.lit(None).cast("string"))
+    base = base.withColumn("profile", F.coalesce("profile", F.lit("prose"))).drop("source").join(small(thresholds), "profile")
     base = base.withColumn("low", F.lower("t")).withColumn("ws", X.words(X.ascii_fold(F.col("t"))))
     t, low, ws, n = F.col("t"), F.col("low"), F.col("ws"), F.length("t")
     prose, booster = F.col("profile") == "prose", F.col("profile") == "booster"

@@ -69,18 +69,39 @@ def throughput_collapse(df: DataFrame, series: str, order: list[str], value: str
     return breaches(df, series, order, F.col("__low"), k).drop("__low")
 
 
-def ema(df: DataFrame, series: str, order: list[str], value: str, alpha: float) -> DataFrame:
-    """Adds ema: a recursive average, folded over the ordered values of each series."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, value)))
-    grouped = df.groupBy(series).agg(rows.alias("s"))
-    start = F.array().cast("array<double>")
-    fold = F.aggregate(
-        "s",
-        start,
-        lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x[value]).otherwise(F.lit(alpha) * x[value] + F.lit(1 - alpha) * F.try_element_at(acc, F.lit(-1))))),
-    )
-    zipped = grouped.select(series, F.explode(F.arrays_zip(F.col("s"), fold.alias("e"))).alias("z"))
-    return zipped.select(series, *[F.col(f"z.s.{o}").alias(o) for o in order], F.col(f"z.s.{value}").alias(value), F.col("z.e").alias("ema"))
+def ema(df: DataFrame, series: str, order: list[str], value: str, alpha: float, block: int = 100_000) -> DataFrame:
+    """Adds ema: a recursive average that begins with a series' first value.
+
+    Blocks of a series are averaged side by side from nothing; what a block begins with fades by (1 - alpha) a row, so its
+    rows are mended when the ends of the blocks before, a row each, are known.  A null makes the rest of its series null.
+    """
+    import pandas as pd
+
+    n = F.row_number().over(Window.partitionBy(series).orderBy(*order)) - 1
+    rows = df.select(series, *order, F.col(value).cast("double").alias(value)).withColumn("__n", n).withColumn("__b", F.floor(F.col("__n") / block))
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in rows.columns)
+
+    def local(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("__n")
+        held, out, first = 0.0, [], part["__n"].iloc[0] == 0
+        for i, x in enumerate(part[value]):
+            held = x if first and i == 0 else alpha * x + (1 - alpha) * held
+            out.append(held)
+        return part.assign(__e=out, __d=[0.0 if first else (1 - alpha) ** (k + 1) for k in range(len(out))])
+
+    def carry(ends: pd.DataFrame) -> pd.DataFrame:
+        ends = ends.sort_values("__b")
+        held, out = 0.0, []
+        for e, d in zip(ends["__e"], ends["__d"]):
+            out.append(held)
+            held = e + d * held
+        return ends.assign(__c=out)[[series, "__b", "__c"]]
+
+    made = rows.groupBy(series, "__b").applyInPandas(local, f"{schema}, __e double, __d double")
+    ends = made.groupBy(series, "__b").agg(F.max_by("__e", "__n").alias("__e"), F.max_by("__d", "__n").alias("__d"))
+    begun = ends.groupBy(series).applyInPandas(carry, f"`{series}` {kinds[series]}, __b bigint, __c double")
+    return made.join(begun, [series, "__b"]).select(series, *order, value, (F.col("__e") + F.col("__d") * F.col("__c")).alias("ema"))
 
 
 def carried_forward(df: DataFrame, series: str, order: list[str], value: str, every: int) -> DataFrame:

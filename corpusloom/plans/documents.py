@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import textfn as X
 from corpusloom.operators import dedup, ordering, rules
 from corpusloom.plans.registry import query
+from corpusloom.sources.text_sources import spread_out
 
 # -- pieces of the SQL twins -----------------------------------------------------------------------------------------
 S = r"[ \t\n\x0B\f\r]+"
@@ -61,7 +62,7 @@ MOJIBAKE = "(" + " + ".join([*(literal("t", h) for h in X.MOJIBAKE_HINTS), "3 *
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread_out(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 #: The column by name: a Column would need a session when the module is imported.
@@ -292,7 +293,8 @@ SELECT doc_id, profile, coalesce(CASE WHEN n < min_chars THEN 'too_short' WHEN n
 
 @query(STRICT)
 def strict_gate_reason(spark, sf_dir):
-    return rules.strict_gate(docs(spark, sf_dir), rules.profiles(spark))
+    named = spark.createDataFrame([("src3", "code"), ("src7", "code"), ("src5", "math")], "source string, profile string")
+    return rules.strict_gate(docs(spark, sf_dir), rules.profiles(spark), named)
 
 
 AUDIT = f"""
@@ -592,8 +594,7 @@ def span_join(spark, sf_dir):
         FROM (SELECT doc_id, source, {LINE_BYTES} AS b FROM documents) JOIN ({LIGHT}) USING (doc_id) GROUP BY source"""
 )
 def keep_rates(spark, sf_dir):
-    df = docs(spark, sf_dir)
-    both = sized(spark, sf_dir).join(rules.light_gate(df), "doc_id")
+    both = rules.light_gate(docs(spark, sf_dir).withColumn("b", ordering.row_bytes()), ("source", "b"))
     kept = F.col("reason").isNull()
     return both.groupBy("source").agg(
         F.count(F.lit(1)).alias("n"),

@@ -15,33 +15,6 @@ T_ = "SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents"
 
 
 # -- gates -----------------------------------------------------------------------------------------------------------
-CODE_RULES = {
-    "too_short": "length(t) < 80",
-    "too_long": "length(t) > 30000",
-    "generated": "contains(lower(t), 'auto-generated') OR contains(lower(t), 'do not edit')",
-    "notebook": "contains(t, '\"cell_type\"')",
-    "minified": "length(t) > 2000 AND nl * 500 < length(t)",
-    "long_lines": "long_lines * 10 > nl",
-    "log_like": "log_rows >= 5",
-    "license_only": "contains(lower(t), 'licensed under') AND length(t) < 600",
-    "repeated_lines": "nl >= 10 AND distinct_lines * 2 < nl",
-}
-
-
-@query(
-    f"""SELECT doc_id, array_to_string(list_filter([{", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in CODE_RULES.items())}], lambda x: x IS NOT NULL), ',') AS reasons
-        FROM (SELECT doc_id, t, len(l) AS nl, len(list_distinct(l)) AS distinct_lines, len(list_filter(l, lambda x: length(x) > 240)) AS long_lines,
-              len(list_filter(l, lambda x: regexp_matches(x, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'))) AS log_rows FROM (SELECT doc_id, t, string_split(t, chr(10)) AS l FROM ({T_})))"""
-)
-def code_gate(spark, sf_dir):
-    """All reasons at once, as the code gate reports them."""
-    df = docs(spark, sf_dir).select("doc_id", X.text_or_empty(TEXT).alias("t")).withColumn("l", X.lines(F.col("t")))
-    rows = F.size(F.filter("l", lambda x: F.regexp_like(x, F.lit("^[0-9]{4}-[0-9]{2}-[0-9]{2}"))))
-    df = df.select("doc_id", "t", F.size("l").alias("nl"), F.size(F.array_distinct("l")).alias("distinct_lines"), F.size(F.filter("l", lambda x: F.length(x) > 240)).alias("long_lines"), rows.alias("log_rows"))
-    reasons = rules.all_reasons([(n, F.expr(c)) for n, c in CODE_RULES.items()])
-    return df.select("doc_id", F.array_join(reasons, ",").alias("reasons"))
-
-
 LANGUAGES = (
     ("python", r"(^|\n)(def|class|import|from) [A-Za-z_]"), ("c", r"(^|\n)#include"), ("java", "public (static|class)"),
     ("javascript", r"(function|const|let|var) [A-Za-z_$]"), ("sql", r"(^|\n)(SELECT|INSERT|CREATE) "), ("markup", "</[a-z]+>"),
@@ -92,22 +65,6 @@ def curator_signals(spark, sf_dir):
     )
 
 
-@query(
-    f"""SELECT doc_id, CASE WHEN n < 300 THEN 'too_short' WHEN caps * 5 > nw THEN 'all_caps' WHEN lists * 3 > nl THEN 'list_like' WHEN digits * 5 > n THEN 'digit_dense' WHEN sentences < 3 THEN 'no_sentences' END AS reason
-        FROM (SELECT doc_id, length(t) AS n, len(w) AS nw, len(list_filter(w, lambda x: length(x) > 1 AND upper(x) = x)) AS caps, len(string_split(t, chr(10))) AS nl,
-              len(list_filter(string_split(t, chr(10)), lambda x: length(x) < 40)) AS lists, {n_of("t", "[0-9]")} AS digits, {n_of("t", "[.!?]")} AS sentences FROM (SELECT doc_id, t, {WORDS.replace("coalesce(text, '')", "t")} AS w FROM ({T_})))"""
-)
-def book_gate(spark, sf_dir):
-    t = X.text_or_empty(TEXT)
-    df = docs(spark, sf_dir).select("doc_id", t.alias("t"), X.words(t).alias("w"), X.lines(t).alias("l"))
-    df = df.select(
-        "doc_id", F.length("t").alias("n"), F.size("w").alias("nw"), F.size(F.filter("w", lambda x: (F.length(x) > 1) & (F.upper(x) == x))).alias("caps"), F.size("l").alias("nl"),
-        F.size(F.filter("l", lambda x: F.length(x) < 40)).alias("lists"), X.count_of(F.col("t"), "[0-9]").alias("digits"), X.count_of(F.col("t"), "[.!?]").alias("sentences"),
-    )
-    named = [("too_short", "n < 300"), ("all_caps", "caps * 5 > nw"), ("list_like", "lists * 3 > nl"), ("digit_dense", "digits * 5 > n"), ("no_sentences", "sentences < 3")]
-    return df.select("doc_id", rules.first_reason([(n, F.expr(c)) for n, c in named]).alias("reason"))
-
-
 @query(
     r"""SELECT license, CASE WHEN regexp_matches(license, '(^|-)nd(-|$)') THEN 'denied' WHEN regexp_matches(license, '(^|-)nc(-|$)') THEN 'non_commercial' WHEN regexp_matches(license, '(^|-)sa(-|$)') THEN 'share_alike' ELSE 'open' END AS class, count(*) AS n
         FROM (SELECT regexp_replace(lower(trim(regexp_extract(text, 'Licensed under ([A-Za-z0-9 .-]+)', 1))), '[ .]+', '-', 'g') AS license FROM documents) WHERE license <> '' GROUP BY ALL"""
@@ -148,9 +105,12 @@ def bucket_flags(spark, sf_dir):
     return dedup.ranked(df, [F.col("lang"), F.col("b")], [F.col("doc_id")]).where("rank = 5").select("doc_id")
 
 
-@query("SELECT user_id, max(value) AS value, count(*) AS n FROM events GROUP BY user_id")
+@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events WHERE value IS NOT NULL) WHERE r = 1")
 def best_of_each(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("user_id").agg(F.max("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    """The best row of each, the earliest of equals: an aggregate of structs, so a row a task and key is shuffled."""
+    best = F.max(F.struct("value", (-F.col("event_id")).alias("e")))
+    df = events(spark, sf_dir).where("value IS NOT NULL").groupBy("user_id").agg(best.alias("b"))
+    return df.select("user_id", (-F.col("b.e")).alias("event_id"), F.col("b.value").alias("value"))
 
 
 @query("SELECT user_id, string_agg(event_type, '>' ORDER BY ts, event_id) AS path FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r <= 3 GROUP BY user_id")
@@ -161,13 +121,13 @@ def first_few_joined(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('c|' || doc_id)) AS r FROM documents), (SELECT greatest(30, floor(1.15 * count(*))) AS cap FROM documents WHERE lang = 'de')
+    """SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('c|' || doc_id)) AS r FROM documents), (SELECT greatest(180, floor(1.15 * count(*))) AS cap FROM documents WHERE lang = 'de')
        WHERE lang <> 'en' OR r <= cap"""
 )
 def category_cap(spark, sf_dir):
     """One category at most 1.15 times another's size: a count of one row, met by every row's rank."""
     df = docs(spark, sf_dir).select("doc_id", "lang")
-    cap = df.where("lang = 'de'").agg(F.greatest(F.lit(30), F.floor(1.15 * F.count(F.lit(1)))).alias("cap"))
+    cap = df.where("lang = 'de'").agg(F.greatest(F.lit(180), F.floor(1.15 * F.count(F.lit(1)))).alias("cap"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(X.shuffle_key("c", F.col("doc_id").cast("string"))))
     return df.withColumn("r", rank).crossJoin(F.broadcast(cap)).where("lang <> 'en' OR r <= cap").select("doc_id", "lang")
 
@@ -232,10 +192,18 @@ def answer_score(spark, sf_dir):
     return joins.replies(table(spark, sf_dir, "conversations")).select("conv_id", "turn", score.cast("double").alias("score"))
 
 
-@query("SELECT conv_id, turn, coalesce(try_cast(regexp_extract(text, '([1-5])', 1) AS INT), 0) AS score, len(regexp_extract_all(text, '[0-9]+'))::INT AS numbers FROM conversations")
+@query(
+    r"""SELECT conv_id, turn, coalesce(try_cast(coalesce(nullif(list_extract(regexp_extract_all(t, 'Bewertung:[ \t\n]*([0-5])', 1), -1), ''), list_extract(regexp_extract_all(' ' || t || ' ', '[^\p{L}\p{N}_]([0-5])[^\p{L}\p{N}_]', 1), -1)) AS INT), -1) AS last,
+        coalesce(try_cast(regexp_extract(t, '([1-5])', 1) AS INT), 0) AS first, coalesce(try_cast(regexp_extract(t, '([1-5])', 1) AS INT), 0) >= 3 AS kept FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)"""
+)
 def parsed_scores(spark, sf_dir):
-    found = F.nullif(F.regexp_extract("text", "([1-5])", 1), F.lit("")).try_cast("int")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(found, F.lit(0)).alias("score"), X.count_of(TEXT, "[0-9]+").alias("numbers"))
+    """A judge's score: the last tagged digit, else the last digit by itself (-1: none); or the first of 1 to 5 and whether it keeps."""
+    t = X.text_or_empty(TEXT)
+    tagged = F.try_element_at(F.regexp_extract_all(t, F.lit("Bewertung:[ \\t\\n]*([0-5])"), F.lit(1)), F.lit(-1))
+    bare = F.try_element_at(F.regexp_extract_all(F.concat(F.lit(" "), t, F.lit(" ")), F.lit("[^\\p{L}\\p{N}_]([0-5])[^\\p{L}\\p{N}_]"), F.lit(1)), F.lit(-1))
+    first = F.coalesce(F.nullif(F.regexp_extract(t, "([1-5])", 1), F.lit("")).try_cast("int"), F.lit(0))
+    last = F.coalesce(F.coalesce(tagged, bare).try_cast("int"), F.lit(-1))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", last.alias("last"), first.alias("first"), (first >= 3).alias("kept"))
 
 
 @query("SELECT event_type, count(*) AS n, sum((value > 10)::INT)::BIGINT AS passed, bool_and(value > 0) AS clean, CASE WHEN bool_and(value > 0) THEN 'promote' ELSE 'hold' END AS verdict FROM events GROUP BY event_type")
@@ -317,10 +285,13 @@ def chat_parse(spark, sf_dir):
     return df.select("conv_id", F.size(roles).alias("turns"), F.coalesce(F.get(roles, F.lit(0)), F.lit("")).alias("first_role"))
 
 
-@query("SELECT doc_id, CASE WHEN length(f) <= 60 THEN f ELSE substr(f, 1, 60) || '…' END AS preview FROM (SELECT doc_id, " + FLAT + " AS f FROM documents)")
+CLIPPED = "substr(f, 1, 60)"
+BACK = f"strpos(reverse({CLIPPED}), ' ')"
+
+
+@query(f"SELECT doc_id, CASE WHEN length(f) <= 60 THEN f ELSE rtrim(CASE WHEN {BACK} BETWEEN 1 AND 80 THEN substr(f, 1, 60 - {BACK}) ELSE {CLIPPED} END) || ' …' END AS preview FROM (SELECT doc_id, " + FLAT + " AS f FROM documents)")
 def preview(spark, sf_dir):
-    flat = X.collapse(TEXT)
-    return docs(spark, sf_dir).select("doc_id", F.when(F.length(flat) <= 60, flat).otherwise(F.concat(F.substring(flat, 1, 60), F.lit("…"))).alias("preview"))
+    return docs(spark, sf_dir).select("doc_id", X.excerpt(F.col("text"), 60).alias("preview"))
 
 
 @query(f"SELECT conv_id, turn, 'Question: ' || trim(prompt) || chr(10) || 'Answer: ' || trim(answer) AS text FROM ({QA})")
@@ -357,5 +328,5 @@ def stopword_coverage(spark, sf_dir):
 def set_difference(spark, sf_dir):
     d = docs(spark, sf_dir).select("doc_id", "source", "lang")
     good = d.join(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi").select("doc_id", "source")
-    return good.exceptAll(d.where("lang = 'en'").select("doc_id", "source"))
+    return good.subtract(d.where("lang = 'en'").select("doc_id", "source"))
 

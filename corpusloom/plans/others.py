@@ -219,14 +219,6 @@ def main_content(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", main_text("html").alias("text"))
 
 
-@query()
-def structure_clean(spark, sf_dir):
-    from corpusloom.functions.pyfn import clean_page
-
-    pages = table(spark, sf_dir, "pages").select("page_id", clean_page("html").alias("c"))
-    return pages.select("page_id", "c.text", "c.paragraphs", "c.reason")
-
-
 # -- events as metric series -----------------------------------------------------------------------------------------
 W = "WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
 KEY = ["ts", "event_id"]

@@ -35,4 +35,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from corpusloom.plans import documents, more, others  # noqa: F401
+    from corpusloom.plans import documents, evaluation, gates, more, others  # noqa: F401

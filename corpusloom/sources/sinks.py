@@ -32,6 +32,38 @@ def write_lines(docs: DataFrame, path: str, text: str = "text") -> None:
     docs.select(flat.alias("value")).where("value <> ''").write.mode("overwrite").text(path)
 
 
+def write_both(docs: DataFrame, path: str, text: str = "text") -> None:
+    """The rows as JSON lines and their texts as lines; each is committed whole, so a failed run leaves neither half written."""
+    docs.write.mode("overwrite").json(f"{path}/records")
+    write_lines(docs, f"{path}/text", text)
+
+
+def write_tokens(docs: DataFrame, path: str, encode, text: str = "text", key: str = "doc_id") -> bool:
+    """Token ids of each text by key as Parquet (ids, start); skipped, and False, if the output is complete already.
+
+    ``encode`` makes an array of ids from a text column.
+    """
+    from corpusloom.operators import ordering
+
+    spark = docs.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return False
+    rows = docs.select(key, encode(F.col(text)).alias("ids")).withColumn("n", F.size("ids").cast("long"))
+    ordering.offsets(rows, key, "n", 1_000_000).write.mode("overwrite").parquet(path)
+    return True
+
+
+def append_reviews(batch: DataFrame, path: str) -> None:
+    """Appends reviewed rows to the log that ``unreviewed`` reads; the sink of a stream's foreachBatch."""
+    batch.write.mode("append").json(path)
+
+
+def unreviewed(docs: DataFrame, path: str, schema: str, key: str = "doc_id") -> DataFrame:
+    """What the log holds no review of."""
+    return docs.join(docs.sparkSession.read.schema(schema).json(path).select(key).distinct(), key, "left_anti")
+
+
 def write_routes(df: DataFrame, path: str, route: str) -> None:
     """All routes in one pass, a folder each."""
     df.write.mode("overwrite").partitionBy(route).parquet(path)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from statistics import median
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,59 +38,143 @@ class Limits:
     collapse_k: int = 10
     spike: float = 3.0
     spike_window: int = 20
+    rate_share: float = 0.3
+    rate_warmup: int = 5
+    rate_k: int = 3
+    val_k: int = 5
+    bits_increase: float = 0.20
+    bits_k: int = 2
+    bits_lookback: int = 4
+    bits_warmup: int = 2
+    memory_warn: float = 0.95
+    memory_stop: float = 0.98
+    write_factor: float = 3.0
+    write_window: int = 5
+    backup_k: int = 3
 
 
 HEALTH_OUT = "run string, step long, alert string"
-HEALTH_STATE = "explosions int, collapses int, losses array<double>, stopped boolean"
+#: JSON: counters, peaks and bounded windows of a run.
+HEALTH_STATE = "state string"
 
 
-def health_step(state: tuple, row, limits: Limits) -> tuple[tuple, list[str]]:
-    """One row's alerts and the state after it.  A stop is final: later rows are still counted and never clear it."""
-    explosions, collapses, losses, stopped = state
+def fresh() -> dict:
+    return {"explosions": 0, "collapses": 0, "losses": [], "rate_peak": 0.0, "slow": 0, "val_rises": 0, "val_last": None, "bits": {}, "writes": [], "backups": 0, "stopped": False}
+
+
+def given(row, name: str):
+    """A column's value, None where there is no such column or value."""
+    x = getattr(row, name, None)
+    return None if x is None or (isinstance(x, float) and x != x) else x
+
+
+def health_step(state: dict, row, limits: Limits) -> list[str]:
+    """One row's alerts; the state is brought forward.  A stop is final: later rows are still counted and never clear it.
+
+    Guards look at the columns that are there: grad_norm, loss, rate (tokens a second), val_loss, bits (a byte, by
+    language), memory (share of all), write_seconds, backup_ok.
+    """
     alerts = []
-    if row.grad_norm is not None and row.grad_norm == row.grad_norm:
-        explosions = explosions + 1 if row.grad_norm > limits.explosion else 0
-        collapses = collapses + 1 if row.grad_norm < limits.collapse else 0
-        if explosions >= limits.explosion_k:
-            alerts.append("stop: gradient explosion")
-            stopped = True
-        if collapses >= limits.collapse_k:
+
+    def stop(what: str) -> None:
+        alerts.append(f"stop: {what}")
+        state["stopped"] = True
+
+    if (x := given(row, "grad_norm")) is not None:
+        state["explosions"] = state["explosions"] + 1 if x > limits.explosion else 0
+        state["collapses"] = state["collapses"] + 1 if x < limits.collapse else 0
+        if state["explosions"] >= limits.explosion_k:
+            stop("gradient explosion")
+        if state["collapses"] >= limits.collapse_k:
             alerts.append("warn: gradient collapse")
-    if row.loss is not None and row.loss == row.loss:
-        if len(losses) >= 4 and (mean := sum(losses) / len(losses)) > 0 and row.loss > mean * limits.spike:
+    losses = state["losses"]
+    if (x := given(row, "loss")) is not None:
+        if len(losses) >= 4 and (mean := sum(losses) / len(losses)) > 0 and x > mean * limits.spike:
             alerts.append("warn: loss spike")
-        losses = [*losses, float(row.loss)][-max(8, limits.spike_window) :]
-    return (explosions, collapses, losses, stopped), alerts
+        losses = state["losses"] = [*losses, float(x)][-max(8, limits.spike_window) :]
+    if (x := given(row, "rate")) is not None:
+        state["rate_peak"] = max(state["rate_peak"], float(x))
+        if len(losses) >= limits.rate_warmup:
+            state["slow"] = state["slow"] + 1 if x < state["rate_peak"] * limits.rate_share else 0
+            if state["slow"] >= limits.rate_k:
+                alerts.append("warn: throughput collapse")
+    if (x := given(row, "val_loss")) is not None:
+        state["val_rises"] = state["val_rises"] + 1 if state["val_last"] is not None and x > state["val_last"] else 0
+        state["val_last"] = float(x)
+        if state["val_rises"] >= limits.val_k:
+            stop("validation loss rises")
+    for lang, x in sorted((given(row, "bits") or {}).items()):
+        held = state["bits"].setdefault(lang, {"seen": 0, "last": [], "worse": 0})
+        worse = held["seen"] >= limits.bits_warmup and bool(held["last"]) and x - min(held["last"]) >= limits.bits_increase
+        held["worse"] = held["worse"] + 1 if worse else 0
+        held["seen"] += 1
+        held["last"] = [*held["last"], float(x)][-limits.bits_lookback :]
+        if held["worse"] >= limits.bits_k:
+            stop(f"bits a byte of {lang} rise")
+    if (x := given(row, "memory")) is not None:
+        if x >= limits.memory_stop:
+            stop("memory full")
+        elif x >= limits.memory_warn:
+            alerts.append("warn: memory nearly full")
+    if (x := given(row, "write_seconds")) is not None:
+        writes = state["writes"]
+        if len(writes) >= 3 and (middle := median(writes)) > 0 and x > limits.write_factor * middle:
+            alerts.append("warn: slow checkpoint")
+        state["writes"] = [*writes, float(x)][-max(3, limits.write_window) :]
+    if (x := given(row, "backup_ok")) is not None:
+        state["backups"] = 0 if x else state["backups"] + 1
+        if state["backups"] >= limits.backup_k:
+            stop("backups fail")
+    return alerts
 
 
 def health(metrics: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """run, step, alert from a stream of (run, step, loss, grad_norm), one bounded state a run."""
+    """run, step, alert from a stream of (run, step, metrics ...), one bounded state a run."""
 
     def observe(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = held.get if held.exists else (0, 0, [], False)
-        state = (state[0], state[1], list(state[2]), state[3])
+        state = json.loads(held.get[0]) if held.exists else fresh()
         out = []
         for rows in batches:
             for row in rows.sort_values("step").itertuples():
-                state, alerts = health_step(state, row, limits)
-                out += [(key[0], row.step, a) for a in alerts]
-        held.update(state)
+                out += [(key[0], row.step, a) for a in health_step(state, row, limits)]
+        held.update((json.dumps(state),))
         yield pd.DataFrame(out, columns=["run", "step", "alert"])
 
     return metrics.groupBy("run").applyInPandasWithState(observe, HEALTH_OUT, HEALTH_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def health_batch(metrics: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The same alerts of a finished series."""
+    """The same alerts of finished series: rows are sorted by Spark and read one after the other, so no run is held whole."""
+
+    def observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, state = None, fresh()
+        for rows in batches:
+            out = []
+            for row in rows.itertuples():
+                if row.run != run:
+                    run, state = row.run, fresh()
+                out += [(row.run, row.step, a) for a in health_step(state, row, limits)]
+            yield pd.DataFrame(out, columns=["run", "step", "alert"])
+
+    return metrics.repartition("run").sortWithinPartitions("run", "step").mapInPandas(observe, HEALTH_OUT)
 
-    def observe(rows: pd.DataFrame) -> pd.DataFrame:
-        state, out = (0, 0, [], False), []
-        for row in rows.sort_values("step").itertuples():
-            state, alerts = health_step(state, row, limits)
-            out += [(row.run, row.step, a) for a in alerts]
-        return pd.DataFrame(out, columns=["run", "step", "alert"])
 
-    return metrics.groupBy("run").applyInPandas(observe, HEALTH_OUT)
+def bits_per_byte(metrics: DataFrame, loss: str, tokens_per_byte: str) -> DataFrame:
+    """Adds bits: a loss in nats a token as bits a byte, recomputed from what the log says and not taken from it."""
+    return metrics.withColumn("bits", F.col(loss) * F.col(tokens_per_byte) / F.log(F.lit(2.0)))
+
+
+def counted_gate(docs: DataFrame, judge, name: str = "gate") -> DataFrame:
+    """A stateless gate with running counters: rows in, kept and bytes kept are observed metrics of each batch or micro-batch.
+
+    ``judge`` adds ``reason``; progress listeners read the counters under ``name``.
+    """
+    judged = judge(docs)
+    kept = F.col("reason").isNull()
+    size = F.octet_length(F.coalesce(F.col("text"), F.lit("")))
+    return judged.observe(
+        name, F.count(F.lit(1)).alias("rows_in"), F.sum(kept.cast("long")).alias("rows_kept"), F.sum(F.when(kept, size).otherwise(F.lit(0))).alias("bytes_kept")
+    )
 
 
 @dataclass(frozen=True)

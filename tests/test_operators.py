@@ -112,22 +112,9 @@ def test_series(spark):
 
 
 def test_python_functions():
-    assert pyfn.repair("fÃ¼r schÃ¶n") == "für schön" and pyfn.repair("für") == "für"
     assert pyfn.fold("Ünï-Çode 1²") == "uni code 12"
     page = '<html><head><script>var t="</p>";x()</script></head><body><nav>Home</nav><p>One &amp; two.<br>Three</p></body></html>'
     assert pyfn.visible(page) == "One & two.\nThree"
-    assert pyfn.without_trail("You are here: Home > Shop > Real text here") == "Real text here"
-    assert pyfn.without_trail("Home | A | Real text") == "Real text"
-    assert pyfn.pack(["a" * 30, "b" * 30, "c" * 30], 50, 70) == ["a" * 30 + " " + "b" * 30, "c" * 30]
-    assert [len(c) for c in pyfn.chunks("x. " * 400 + "\n\n" + "tail", 50, 200, 300)][-1] >= 50
-
-
-def test_clean_page(spark):
-    body = "".join(f"<p>This is a fairly long sentence number {i} about something. And here is another one of it.</p>" for i in range(5))
-    rows = [(0, f"<nav>Menu</nav>{body}<p>Impressum</p>"), (1, ""), (2, "<p>Hi</p>"), (3, None)]
-    got = {r.id: r.c for r in spark.createDataFrame(rows, "id long, html string").select("id", pyfn.clean_page("html").alias("c")).collect()}
-    assert got[0].reason is None and "Menu" not in got[0].text and "Impressum" not in got[0].text
-    assert got[1].reason == got[3].reason == "empty" and got[2].reason == "too_few_sentences"
 
 
 def test_sources(spark, tmp_path):
