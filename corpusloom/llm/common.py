@@ -27,7 +27,15 @@ ITEM_WORDS = bytes(
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table; texts that would be scanned by fewer tasks than there are cores are dealt to as many.
+
+    A large table has tasks enough and stays as it is.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    if table not in ("documents", "pages"):
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
