@@ -2,6 +2,8 @@
 
 import hashlib
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from corpusloom.llm import decontamination, language_id, near_dedup, quality_rules
 
@@ -42,3 +44,21 @@ def test_stages_in_order(spark):
 def test_run(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.count() > 50 and "n_tokens" in got.columns
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls, repeated rows, extra columns with the outputs' names, and a table without rows."""
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    clash = {"n_words": "a", "score": "b", "kept": "c", "accepted": "d", "items": "e", "component_id": "f", "node": "g"}
+    for name, value in clash.items():
+        docs = docs.withColumn(name, F.lit(value))
+    odd = docs.unionByName(docs.limit(5)).unionByName(docs.limit(3).withColumn("text", F.lit(None).cast("string"))).unionByName(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, odd, sf)
+        assert made.columns == odd.columns
+        rows = made.collect()
+        assert rows and all(r[c] == v for r in rows for c, v in clash.items())
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.where("false"), sf).collect() == []
