@@ -7,8 +7,8 @@ to millionths, ``L(x) = round(1e6 ln x)``, so that a document's score is a sum o
 
 1. Word counts: partial counts of each task, summed by hash and staged.  Words with at least ``N / hot`` occurrences
    are hot; there can be no more than ``hot`` of them, so their counts are broadcast.  Each task also reports pairs that
-   are frequent in it; those that may have ``2 N / 2^17`` occurrences or more are counted exactly by another scan and
-   broadcast too (at most ``2^18``).
+   are frequent in it; those that may have ``2 N / 2^17`` occurrences or more, and half of what a bucket should hold, are counted exactly by
+   another scan and broadcast too (at most ``2^18``); without such pairs there is no other scan.
 2. Pairs: each task packs its rows' pairs (previous word, word, id, times, own counts) by bucket, a hash of the
    pair for hot words and of the word for others; hot pairs, whose counts are known, are dealt over all buckets.  A
    bucket holds all rows of its other pairs, so it counts and scores them at once, and no key can fill it.
@@ -40,12 +40,12 @@ from corpusloom.llm.common import LOWER, Staged, WordHashes, hash_words, in_arro
 ALPHA = 0.4
 #: Hot words are at most so many, or as many as there are buckets, up to the second figure; hot pairs at most twice the first.
 HOT, MOST_HOT = 1 << 17, 1 << 20
-#: A pair with fewer occurrences needn't be spread.
-HOT_PAIR = 20_000
 #: Words that a worker remembers, bytes of text that it packs at once, and document sums that it holds.
 MEMO, PACK_BYTES, SUMS = 400_000, 4_000_000, 1_000_000
 #: Pairs that a bucket should hold.
 BUCKET_PAIRS = 500_000
+#: A pair with fewer occurrences fills less than half a bucket and needn't be spread.
+HOT_PAIR = BUCKET_PAIRS // 2
 COLD = np.uint64(1 << 63)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 NO_ID = -(2**63)
@@ -355,7 +355,7 @@ def scores(docs: DataFrame, hot: int | None = None, bucket_pairs: int = BUCKET_P
             empty = pa.nulls(len(doc), pa.int64())
             yield pa.RecordBatch.from_arrays([*map(pa.array, (doc, micro, n, back)), empty, empty], names=names)
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(buckets / 4))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(buckets / 2))
     blocks = in_arrow(docs, to_blocks, "bucket long, data binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
     found = Staged(in_arrow(blocks, to_scores, ", ".join(f"{n} long" for n in names)), "pair-scores").df
     sums = found.where("h IS NULL").select("doc", "micro", "n", "back")
