@@ -18,8 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Maps bytes to themselves, A-Z to a-z.
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Turns ASCII white space into blanks and leaves the rest.
+PLAIN = bytes(32 if c == 32 or 9 <= c <= 13 else c for c in range(256))
+#: The same, with A-Z in lower case.
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in PLAIN)
 #: Lower-cases A-Z and turns every ASCII byte that is neither digit nor letter into a space.
 ITEM_WORDS = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
@@ -200,24 +202,61 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-class WordHashes(dict):
-    """Memo from a word's bytes to a 64-bit hash; forgets everything when it is full."""
+#: Bytes that are hashed at once; a longer word is a block by itself.
+BLOCK = 1 << 18
+_ODD = 0x9E3779B97F4A7C13
+_VALUES = np.random.default_rng(97).integers(0, 2**64, 256, dtype=np.uint64)
+_powers: list[np.ndarray] = []
 
-    def __init__(self, most: int = 150_000):
-        super().__init__()
-        self.most = most
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of an odd number and of its inverse, modulo 2^64; at most BLOCK of each are kept."""
+    if _powers and len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    size = max(4096, 1 << (n - 1).bit_length())
+    made = []
+    for base in (_ODD, pow(_ODD, -1, 2**64)):
+        x = np.full(size, base, np.uint64)
+        x[0] = 1
+        made.append(np.multiply.accumulate(x))
+    if size <= BLOCK:
+        _powers[:] = made
+    return made[0], made[1]
 
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
 
+def word_hashes(data: bytes, table: bytes, most: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of ``data``, and where each begins; ``table`` maps bytes, and those between words to a blank.
 
-def hash_words(memo: WordHashes, words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    All words are hashed side by side: a word's hash is the sum of its bytes' random values times powers of an odd number
+    by place, a difference of running sums, brought to a common beginning and mixed.
+    """
+    found, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    data = data.translate(table)
+    while at < len(data):
+        end = len(data)
+        if end - at > most:
+            end = data.rfind(b" ", at, at + most) + 1
+            if end <= at:
+                end = data.find(b" ", at + most) + 1 or len(data)
+        raw = np.frombuffer(data, np.uint8, end - at, at)
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], raw == 32, [True])).view(np.int8)))
+        first, last = edge[::2], edge[1::2]
+        if len(first):
+            up, down = powers(end - at)
+            with np.errstate(over="ignore"):
+                sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_VALUES[raw] * up[: len(raw)], dtype=np.uint64)))
+                found.append(mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)))
+            starts.append(first + at)
+        at = end
+    return np.concatenate(found), np.concatenate(starts)
+
+
+def words_of_texts(texts: list[str | None], table: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' words in a row, and how many each text has."""
+    coded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    begin = np.cumsum([0, *[len(c) + 1 for c in coded]])
+    h, starts = word_hashes(b"\n".join(coded), table)
+    return h, np.diff(np.searchsorted(starts, begin))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -239,19 +278,6 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def chunks(texts: list, most_bytes: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose texts sum to about ``most_bytes``: bounds what a worker holds at once."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
-        if size and size + n > most_bytes:
-            yield start, i
-            start, size = i, 0
-        size += n
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def crc(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import ITEM_WORDS, WordHashes, hash_words, in_arrow, of_text
+from corpusloom.llm.common import ITEM_WORDS, in_arrow, of_text, words_of_texts
 
 WINDOW = 13
 #: Bytes of benchmark text that one block holds, words that a shard has, and occurrences that are followed at once.
@@ -43,21 +43,17 @@ OUT = [
 ]
 
 
-def item_words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(ITEM_WORDS).split()
-
-
-def word_codes(memo: WordHashes, text: str | None) -> np.ndarray:
-    """Hashes of the words; 0 is kept for the ends of documents."""
-    return np.maximum(hash_words(memo, item_words(text)), np.uint64(1))
+def word_codes(texts: list[str | None]) -> list[np.ndarray]:
+    """Hashes of each text's words; 0 is kept for the ends of documents."""
+    h, sizes = words_of_texts(texts, ITEM_WORDS)
+    return np.split(np.maximum(h, np.uint64(1)), np.cumsum(sizes)[:-1]) if len(sizes) else []
 
 
 class Items:
     """A block of benchmark items as word hashes; only these, the items' sizes and their names travel."""
 
     def __init__(self, items: list[tuple[str, str | None]]):
-        memo = WordHashes(100_000)
-        codes = [word_codes(memo, text) for _, text in items]
+        codes = word_codes([text for _, text in items])
         self.names = [name for name, _ in items]
         self.sizes = np.array([len(c) for c in codes], np.int64)
         self.words = np.concatenate([np.zeros(0, np.uint64), *codes])
@@ -226,12 +222,12 @@ class Benchmark:
                 b.__dict__.pop("_value", None)
 
 
-def shards(texts: list[str | None], memo: WordHashes, shard_words: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+def shards(texts: list[str | None], shard_words: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(first row, word codes of consecutive rows) of about ``shard_words`` words."""
     start, docs, size = 0, [], 0
-    for i, text in enumerate(texts):
-        docs.append(word_codes(memo, text))
-        size += len(docs[-1]) + 1
+    for i, codes in enumerate(word_codes(texts)):
+        docs.append(codes)
+        size += len(codes) + 1
         if size >= shard_words:
             yield start, docs
             start, docs, size = i + 1, [], 0
@@ -244,11 +240,9 @@ def searched(benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHAR
     asked = Benchmark(benchmark, block_bytes)
 
     def begin():
-        memo = WordHashes()
-
         def judge(texts: list[str | None]) -> list:
             out = [[], [], [], [], []]
-            for _, docs in shards(texts, memo, shard_words):
+            for _, docs in shards(texts, shard_words):
                 shard = Shard(docs, max(window, asked.depth))
                 hit, found, longest = np.zeros(shard.n, bool), [set() for _ in docs], np.zeros(len(docs), np.int64)
                 for part in asked:
@@ -294,10 +288,9 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, shard_words: int = SH
     names = ["item_id", "at", "longest", "doc_id", "word"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for start, docs in shards(batch.column(1).to_pylist(), memo, shard_words):
+            for start, docs in shards(batch.column(1).to_pylist(), shard_words):
                 shard = Shard(docs, max(1, asked.depth))
                 for part in asked:
                     best, where = shard.longest(part)

@@ -35,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import LOWER, Staged, WordHashes, hash_words, in_arrow, mix, slices
+from corpusloom.llm.common import LOWER, Staged, in_arrow, mix, slices, words_of_texts
 
 ALPHA = 0.4
 #: Hot words are at most so many, or as many as there are buckets, up to the second figure; hot pairs at most twice the first.
 HOT, MOST_HOT = 1 << 17, 1 << 20
-#: Words that a worker remembers, bytes of text that it packs at once, and document sums that it holds.
-MEMO, PACK_BYTES, SUMS = 400_000, 4_000_000, 1_000_000
+#: Bytes of text that a worker packs at once, and document sums that it holds.
+PACK_BYTES, SUMS = 4_000_000, 1_000_000
 #: Pairs that a bucket should hold.
 BUCKET_PAIRS = 500_000
 #: A pair with fewer occurrences fills less than half a bucket and needn't be spread.
@@ -58,19 +58,12 @@ def micro_log(x: np.ndarray) -> np.ndarray:
 A = round(1e6 * math.log(ALPHA))
 
 
-def text_hashes(memo: WordHashes, text: str | None) -> np.ndarray:
-    """63-bit word hashes, the top bit set."""
-    return hash_words(memo, (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()) | COLD
-
-
-def doc_words(memo: WordHashes, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of all texts in a row, the row of each, and whether it is its text's first."""
-    words = [text_hashes(memo, t) for t in texts]
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    w = np.concatenate([np.zeros(0, np.uint64), *words])
-    first = np.zeros(len(w), bool)
+def doc_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes (63 bits, the top bit set) of all texts' words in a row, the row of each, and whether it is its text's first."""
+    h, size = words_of_texts(texts, LOWER)
+    first = np.zeros(len(h), bool)
     first[(np.cumsum(size) - size)[size > 0]] = True
-    return w, np.repeat(np.arange(len(words)), size), first
+    return h | COLD, np.repeat(np.arange(len(size)), size), first
 
 
 def pair_hashes(w: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -88,14 +81,14 @@ def word_counts(docs: DataFrame, hot: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, h, c = WordHashes(MEMO), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        h, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
         def out(h: np.ndarray, c: np.ndarray, pair: bool) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c), pa.array(np.full(len(h), pair))], names=["h", "c", "pair"])
 
         for batch in batches:
             for part in slices(batch.column(0), PACK_BYTES):
-                new, _, first = doc_words(memo, part.to_pylist())
+                new, _, first = doc_words(part.to_pylist())
                 every, at, n = np.unique(np.concatenate((h, new)), return_inverse=True, return_counts=True)
                 held = np.bincount(at[: len(h)], weights=c, minlength=len(every)).astype(np.int64)
                 c = held + n - np.bincount(at[: len(h)], minlength=len(every))
@@ -117,11 +110,11 @@ def pair_counts(docs: DataFrame, asked) -> DataFrame:
     """h, c: the counts of the pairs whose hashes are broadcast, in ascending order, as ``asked``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, wanted = WordHashes(MEMO), asked.value
+        wanted = asked.value
         total = np.zeros(len(wanted) + 1, np.int64)
         for batch in batches:
             for part in slices(batch.column(0), PACK_BYTES):
-                w, _, first = doc_words(memo, part.to_pylist())
+                w, _, first = doc_words(part.to_pylist())
                 total += np.bincount(places(pair_hashes(w, first), wanted), minlength=len(total))
         found = np.flatnonzero(total[1:])
         yield pa.RecordBatch.from_arrays([pa.array(wanted[found].view(np.int64)), pa.array(total[1:][found])], names=["h", "c"])
@@ -306,12 +299,12 @@ def scores(docs: DataFrame, hot: int | None = None, bucket_pairs: int = BUCKET_P
     buckets = max(8, math.ceil(total / bucket_pairs))
 
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, known = WordHashes(MEMO), held.value
+        known = held.value
         for batch in batches:
             ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             a = 0
             for part in slices(batch.column(1), PACK_BYTES):
-                out = list(pair_blocks(ids[a : a + len(part)], doc_words(memo, part.to_pylist()), known, buckets))
+                out = list(pair_blocks(ids[a : a + len(part)], doc_words(part.to_pylist()), known, buckets))
                 a += len(part)
                 if out:
                     bucket, data = zip(*out)

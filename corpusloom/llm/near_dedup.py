@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import LOWER, Staged, WordHashes, gram_hashes, hash_words, in_arrow, mix
+from corpusloom.llm.common import LOWER, Staged, gram_hashes, in_arrow, mix, word_hashes
 
 #: Hashes in each collection, and minhashes in each hash.
 M, T = 24, 5
@@ -44,9 +44,9 @@ BROADCAST_IDS = 1_000_000
 MOST_HUBS = 1 << 14
 
 
-def shingles(memo: WordHashes, text: str | None, n: int) -> np.ndarray:
+def shingles(text: str | None, n: int) -> np.ndarray:
     """The sorted set of hashes of a text's word shingles."""
-    h = hash_words(memo, (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split())
+    h = word_hashes((text or "").encode("utf-8", "surrogatepass"), LOWER)[0]
     return np.unique(gram_hashes(h, min(n, len(h)))) if len(h) else h
 
 
@@ -78,11 +78,11 @@ def signatures(docs: DataFrame, words: int = 4, m: int = M, t: int = T) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        memo, hashes = WordHashes(), Collections(m, t)
+        hashes = Collections(m, t)
         for batch in batches:
             n, node, a, b = [], [], [], []
             for text in batch.column(2):
-                s = shingles(memo, text.as_py(), words)
+                s = shingles(text.as_py(), words)
                 n.append(len(s))
                 if len(s):
                     both = hashes(s)
@@ -270,11 +270,10 @@ def set_table(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     texts = texts.join(wanted, ["doc_id", "text_key"]).groupBy("node").agg(F.first("text").alias("text"))
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                sets = [shingles(memo, t.as_py(), words).view(np.int64) for t in part.column(1)]
+                sets = [shingles(t.as_py(), words).view(np.int64) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
     return in_arrow(texts, to_sets, "node long, set array<long>")

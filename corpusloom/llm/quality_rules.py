@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import WordHashes, bounded_sample, gram_hashes, hash_words, of_text
+from corpusloom.llm.common import PLAIN, bounded_sample, gram_hashes, of_text, word_hashes
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -39,16 +39,16 @@ RATIOS = {
 }
 
 
-def count_text(memo: WordHashes, text: str | None) -> tuple[int, ...]:
+def count_text(text: str | None) -> tuple[int, ...]:
     """The counts named by COUNTS."""
     text = text or ""
     data = text.encode("utf-8", "surrogatepass")
-    words = data.split()
+    words = word_hashes(data, PLAIN)[0]
     n = len(words)
     lines = [x for x in text.split("\n") if x.strip(SPACES)] if "\n" in text else [1] if n else []
     repeated = 0
     if n > 3:
-        grams = gram_hashes(hash_words(memo, words), 3)
+        grams = gram_hashes(words, 3)
         ordered = np.sort(grams)
         if (ordered[1:] == ordered[:-1]).any():
             _, at, times = np.unique(grams, return_inverse=True, return_counts=True)
@@ -155,10 +155,8 @@ def measured(docs: DataFrame, forest: Forest | None = None):
     held = None if forest is None else docs.sparkSession.sparkContext.broadcast(forest)
 
     def begin():
-        memo = WordHashes()
-
         def judge(texts: list[str | None]) -> list:
-            counts = np.array([count_text(memo, t) for t in texts], np.int64).reshape(len(texts), len(COUNTS))
+            counts = np.array([count_text(t) for t in texts], np.int64).reshape(len(texts), len(COUNTS))
             return [*counts.T, *([] if held is None else [held.value.score(ratios(counts))])]
 
         return judge

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import binary_records, decontamination, language_id, lm_scoring, near_dedup, quality_rules, sharding, toxicity, url_filters
-from corpusloom.llm.common import WordHashes, bounded_sample, gram_hashes, hash_words
+from corpusloom.llm.common import ITEM_WORDS, LOWER, PLAIN, bounded_sample, word_hashes, words_of_texts
 from corpusloom.llm.queries import tokenizer_file
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa la mu nu xi pi rho sigma tau".split()
@@ -20,6 +20,25 @@ def prose(rng, n):
     return " ".join(rng.choice(WORDS) for _ in range(n))
 
 
+# -- words -----------------------------------------------------------------------------------------------------------
+def test_words_are_hashed_as_they_are_split():
+    rng = random.Random(0)
+    texts = [None, "", " \t", "a", "Ab aB  ab\nAB", "ü Ü ß 漢字 🙂", "x" * 3000 + " y " + "x" * 3000, "12-34 a.b"]
+    texts += ["".join(rng.choice("abcABC \n\t.ü") for _ in range(rng.randint(0, 60))) for _ in range(500)]
+    for table in (PLAIN, LOWER, ITEM_WORDS):
+        words = [(t or "").encode().translate(table).split() for t in texts]
+        h, sizes = words_of_texts(texts, table)
+        assert sizes.tolist() == list(map(len, words))
+        flat = [w for ws in words for w in ws]
+        by_word, by_hash = dict(zip(flat, h.tolist())), dict(zip(h.tolist(), flat))
+        assert [by_word[w] for w in flat] == h.tolist() and len(by_word) == len(by_hash)
+        data = " ".join(t or "" for t in texts).encode()
+        whole, starts = word_hashes(data, table)
+        for most in (1, 7, 100, 5000):
+            part, at = word_hashes(data, table, most)
+            assert (part == whole).all() and (at == starts).all()
+
+
 # -- 1 ---------------------------------------------------------------------------------------------------------------
 def test_scores_of_repeated_ids_equal_the_twin(spark):
     rng = random.Random(4)
@@ -44,9 +63,7 @@ def test_third_order(spark):
 def test_hot_pairs_are_spread():
     rng = np.random.default_rng(1)
     hot = lm_scoring.Frequent(*(np.zeros(0, np.uint64), np.zeros(0, np.int64)) * 2)
-    memo = WordHashes()
-    texts = ["of the"] * 400
-    w, row, first = lm_scoring.doc_words(memo, texts)
+    w, row, first = lm_scoring.doc_words(["of the"] * 400)
     h = np.unique(w)
     pair = np.unique(lm_scoring.pair_hashes(w, first))
     hot = lm_scoring.Frequent(h, np.full(len(h), 400), pair, np.full(len(pair), 400))
@@ -184,11 +201,10 @@ def test_blocks_say_the_same(spark):
 
 # -- 10 --------------------------------------------------------------------------------------------------------------
 def sets_of(rows, n):
-    memo = WordHashes()
     out = []
     for text in rows:
-        h = hash_words(memo, (text or "").encode().translate(near_dedup.LOWER).split())
-        out.append(frozenset(gram_hashes(h, min(n, len(h))).tolist()) if len(h) else frozenset())
+        w = (text or "").encode().translate(near_dedup.LOWER).split()
+        out.append(frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset())
     return out
 
 
