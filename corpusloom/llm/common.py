@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -202,7 +203,7 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-#: Bytes that are hashed at once; a longer word is a block by itself.
+#: Bytes that are hashed at once; words of as many bytes or more are hashed one by one.
 BLOCK = 1 << 18
 _ODD = 0x9E3779B97F4A7C13
 _VALUES = np.random.default_rng(97).integers(0, 2**64, 256, dtype=np.uint64)
@@ -210,7 +211,7 @@ _powers: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first powers of an odd number and of its inverse, modulo 2^64; at most BLOCK of each are kept."""
+    """The first powers of an odd number and of its inverse, modulo 2^64; they are kept."""
     if _powers and len(_powers[0]) >= n:
         return _powers[0], _powers[1]
     size = max(4096, 1 << (n - 1).bit_length())
@@ -219,8 +220,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         x = np.full(size, base, np.uint64)
         x[0] = 1
         made.append(np.multiply.accumulate(x))
-    if size <= BLOCK:
-        _powers[:] = made
+    _powers[:] = made
     return made[0], made[1]
 
 
@@ -234,10 +234,15 @@ def word_hashes(data: bytes, table: bytes, most: int = BLOCK) -> tuple[np.ndarra
     data = data.translate(table)
     while at < len(data):
         end = len(data)
-        if end - at > most:
+        if end - at >= most:
             end = data.rfind(b" ", at, at + most) + 1
-            if end <= at:
-                end = data.find(b" ", at + most) + 1 or len(data)
+            if not end:
+                end = data.find(b" ", at + most)
+                end = len(data) if end < 0 else end
+                found.append(np.array([xxhash.xxh64_intdigest(data[at:end])], np.uint64))
+                starts.append(np.array([at]))
+                at = end
+                continue
         raw = np.frombuffer(data, np.uint8, end - at, at)
         edge = np.flatnonzero(np.diff(np.concatenate(([True], raw == 32, [True])).view(np.int8)))
         first, last = edge[::2], edge[1::2]
