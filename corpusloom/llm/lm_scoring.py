@@ -199,17 +199,21 @@ def pair_blocks(ids: np.ndarray, texts: tuple[np.ndarray, np.ndarray, np.ndarray
     pair = np.zeros(len(h), np.uint64)
     pair[~first] = pair_hashes(h, first)
     w = codes(h, hot.words)
+    del h, texts
     prev = np.concatenate((w[:1], w[:-1]))
     prev[first] = 0
     r = row.astype(np.uint64)
     with np.errstate(over="ignore"):
         _, at, n = np.unique(mix(mix(w) + r * GOLD), return_inverse=True, return_counts=True)
         own = n[at].astype(np.uint64)
+        del at, n
         own_prev = np.concatenate((own[:1], own[:-1]))
         own_prev[first] = 0
         mine = np.where(first, mix(w), pair)
         _, one, tf = np.unique(mix(mine + r * GOLD), return_index=True, return_counts=True)
+        del mine, r
         w, prev, pair, own, own_prev, row = w[one], prev[one], pair[one], own[one], own_prev[one], row[one]
+        del one
         # a bucket counts its cold words itself, so only pairs of hot words may stand elsewhere
         spread = ((places(pair, hot.pairs) > 0) | (prev == 0)) & (w < COLD)
         key = np.where(spread, mix(mix(w) + mix(ids[row].view(np.uint64) + row.astype(np.uint64) * GOLD)), np.where(w >= COLD, mix(w), pair))
@@ -233,6 +237,7 @@ def hash_of(code: np.ndarray, hot: Frequent) -> np.ndarray:
 def score_bucket(blocks: list[bytes], hot: Frequent) -> tuple[np.ndarray, ...]:
     """(doc, micro, tokens, backed off) by row, and (word, doc, times, own count) to divide by later."""
     w, prev, doc, tf, own, own_prev = (np.concatenate(x) for x in zip(*map(unpack, blocks)))
+    blocks.clear()
     tf, own, own_prev = tf.astype(np.int64), own.astype(np.int64), own_prev.astype(np.int64)
     order = np.lexsort((prev, w))
     w, prev, doc, tf, own, own_prev = (x[order] for x in (w, prev, doc, tf, own, own_prev))
