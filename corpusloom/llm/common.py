@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -154,7 +155,8 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def release() -> None:
-    """Gives freed memory back to the system: a worker lives on while other stages need the room."""
+    """Gives freed memory back to the system: workers and the driver live on while other stages need the room."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)

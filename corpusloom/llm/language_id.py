@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import bounded_sample, crc_of_id, in_arrow, of_text
+from corpusloom.llm.common import bounded_sample, crc_of_id, in_arrow, of_text, release
 
 UND = "und"
 #: ASCII letters in lower case and all other bytes of UTF-8; the rest of ASCII parts words.
@@ -157,7 +157,10 @@ def fit(docs: DataFrame, max_rows: int = 3000, buckets: int = 1 << 15, dim: int
     loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
     t = float(grid[int(np.argmin(loss))])
     model = Model(langs, logits.astype(np.float32), bias.astype(np.float64), t)
-    model.cut = rejection_cut(docs, model, {r[3] for r in used} if aside is not rows else set(), reject)
+    taught = {r[3] for r in used} if aside is not rows else set()
+    del rows, used, aside, emb, logits, z
+    release()
+    model.cut = rejection_cut(docs, model, taught, reject)
     return model
 
 

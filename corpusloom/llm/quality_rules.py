@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import PLAIN, bounded_sample, gram_hashes, of_text, word_hashes
+from corpusloom.llm.common import PLAIN, bounded_sample, gram_hashes, of_text, release, word_hashes
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -194,6 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, trees: int =
         return Model(None, 2.0)
     table = np.array([r[2:] for r in found], np.int64)
     good = np.array([r[1] for r in found]) > 0
+    del found
+    release()
     forest = grow(ratios(table), good, trees, sample, seed)
     score = forest.score(ratios(table))
     if good.all() or not good.any():
