@@ -190,7 +190,6 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int,
                 out = [frame(pack(k, np.frombuffer(c + end, "<u4"))) for k, c in zip(keys[a : a + len(part)], coded)]
                 a += len(part)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
-        enc.memo.clear()
 
     framed = in_arrow(rows.select("k", "t"), run, "value binary")
     framed.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", most).text(path, lineSep="\n")
