@@ -191,7 +191,8 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int,
                 a += len(part)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    framed = in_arrow(rows.select("k", "t"), run, "value binary")
+    # the tokenizer is asked for a batch's new words at once, so batches are left as large as the session has them
+    framed = rows.select("k", "t").mapInArrow(run, "value binary")
     framed.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", most).text(path, lineSep="\n")
 
 
