@@ -2,13 +2,15 @@
 
 Restoring: a suspicious token (digits or signs among letters, letters between separators, repeated letters, or a
 run of single characters apart) opens a lattice of characters; Viterbi finds its likeliest path under the channel's
-costs and a language model: words of the sample by their counts, other words by character trigrams.  In a run of
+costs and a language model: words by their counts, other words by character trigrams.  In a run of
 single characters a word may end after each of them, and a sign that may be dropped may part two words as well.
 Tokens of any length are read.  A token that isn't suspicious has one path only and is kept.
 
 Scoring: words and word beginnings whose document counts by label say "toxic" beyond chance carry log-likelihood
 ratios; a text's strongest ratio and the logarithm of their sum enter a logistic regression.  Counts come from one part
-of the labelled rows, the regression from the other.  Both read a bounded sample (``max_rows``) of them.
+of the labelled rows, the regression from the other; together they are all labelled rows, none is left out.  Words,
+trigrams and features are counted on executors; the driver gets trigrams, words of at least LEAST_SHARE of all words
+(rarer ones are spelled by trigrams, which they were counted for) and the features that are chosen.
 
 Defined cases: null and empty texts, and any text when there is nothing to learn from, get the score of no
 evidence; empty tables give no rows; repeated rows are scored alike; whole texts are read; other columns pass
@@ -21,7 +23,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import bounded_sample, crc_of_id, in_arrow, of_text, release
+from corpusloom.llm.common import Staged, crc_of_id, in_arrow, of_text, release
 
 #: What a sign may stand for.
 LEET = {
@@ -56,6 +58,12 @@ RUN = re.compile(r"(.)\1+", re.S)
 THRICE = re.compile(r"(.)\1\1", re.S)
 #: Tokens that a worker remembers, and the longest of them.
 MEMO, MEMO_LEN = 400_000, 48
+#: Counts that a worker holds before it hands them on.
+HELD = 300_000
+#: The share of all words from which a word is in the language model's list, which so has at most two million words.
+LEAST_SHARE = 1 / 2_000_000
+#: Labels that are broadcast; more are joined by shuffle.
+FEW_LABELS = 2_000_000
 #: Ways through the lattice that a worker remembers.
 LED = 100_000
 OUT = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
@@ -80,7 +88,7 @@ class CharModel:
         return {**self.__dict__, "known": {}, "led": {}}
 
     def begins(self, prefix: str) -> bool:
-        """Some word of the sample begins so."""
+        """Some word of the list begins so."""
         i = bisect_left(self.ordered, prefix)
         return i < len(self.ordered) and self.ordered[i].startswith(prefix)
 
@@ -95,21 +103,31 @@ class CharModel:
         return p
 
 
-def char_model(words: Counter) -> CharModel:
-    three, two, one = Counter(), Counter(), Counter()
-    for w, n in words.items():
+def grams_of(words: Iterable[tuple[str, int]]) -> Counter:
+    """Counts of the runs of one, two and three characters of words, by their length apart."""
+    found: Counter = Counter()
+    for w, n in words:
         s = "^^" + w + "$"
         for i in range(2, len(s)):
-            three[s[i - 2 : i + 1]] += n
-            two[s[i - 1 : i + 1]] += n
-            one[s[i]] += n
-        two["^^"] += n
-        one["^"] += n
+            found[s[i - 2 : i + 1]] += n
+            found[s[i - 1 : i + 1]] += n
+            found[s[i]] += n
+        found["^^"] += n
+        found["^"] += n
+    return found
+
+
+def model_of(grams: dict[str, int], words: dict[str, int], total: int, rest: int) -> CharModel:
+    """From counts of runs and of listed words; ``rest`` of ``total`` words count as unseen ones."""
+    three, two, one = ({g: n for g, n in grams.items() if len(g) == k} for k in (3, 2, 1))
+    unseen = (rest + 1) / (total + 2)
+    shares = {w: math.log(k / total * (1 - unseen)) for w, k in words.items()}
+    return CharModel(three, two, one, sum(one.values()), shares, sorted(shares), math.log(unseen))
+
+
+def char_model(words: Counter) -> CharModel:
     # unseen words get the share of the words seen once (Good and Turing)
-    n, once = sum(words.values()), sum(k == 1 for k in words.values())
-    unseen = (once + 1) / (n + 2)
-    shares = {w: math.log(k / n * (1 - unseen)) for w, k in words.items()}
-    return CharModel(dict(three), dict(two), dict(one), sum(one.values()), shares, sorted(shares), math.log(unseen))
+    return model_of(grams_of(words.items()), words, sum(words.values()), sum(k == 1 for k in words.values()))
 
 
 def suspicious(token: str) -> bool:
@@ -124,7 +142,7 @@ def follow(lm: CharModel, state: str, out: str) -> list[tuple[str, float]]:
     """Where writing ``out`` leads from a state, and the logarithm of its chance; remembered, as far as there is room.
 
     States are "" between words, ``^`` and the last two characters in an unseen word, and the beginning written so far
-    in a word of the sample, behind ``=``.  A blank by itself ends a word.
+    in a word of the list, behind ``=``.  A blank by itself ends a word.
     """
     key = f"{state} {out}"
     found = lm.led.get(key)
@@ -204,27 +222,31 @@ def steps_of(token: str, cut: re.Pattern) -> list[list[tuple[str, float]]]:
     return steps
 
 
+def veiled(token: str) -> bool:
+    """Is read through a lattice; any other token is kept as it is."""
+    return suspicious(token) and all(c.isalpha() or c in LEET or c in WILD or c in GAPS for c in token)
+
+
 def restore_token(token: str, lm: CharModel) -> str:
     """The likeliest reading of one token: a word, or words parted by blanks."""
-    if not suspicious(token):
-        return token
-    letters = [c.isalpha() or c in LEET or c in WILD for c in token]
-    if not all(x or c in GAPS for x, c in zip(letters, token)):
-        return token
-    return likeliest(steps_of(token, PIECE), lm)
+    return likeliest(steps_of(token, PIECE), lm) if veiled(token) else token
 
 
 def restore_run(chars: str, lm: CharModel) -> str:
     """The likeliest words, parted by blanks, of characters that stood apart: a word may end after each of them."""
     if not any(c.isalpha() for c in chars):
         return chars
+    return likeliest(steps_of_run(chars), lm)
+
+
+def steps_of_run(chars: str) -> list[list[tuple[str, float]]]:
     steps = []
     for ways in steps_of(chars, EQUAL):
         # a sign that stands for no letter is dropped
         ways = ways or [("", GAP)]
         ways = ways + [(f"{w[0]} {w[1]}", p) for w, p in ways if len(w) == 2]
         steps += [ways, [("", 0.0), (" ", 0.0)]]
-    return likeliest(steps, lm)
+    return steps
 
 
 def tokens_of(text: str) -> tuple[list[str], list[str]]:
@@ -233,6 +255,13 @@ def tokens_of(text: str) -> tuple[list[str], list[str]]:
     return text.split(), [APART + "".join(m[0].split()) for m in SPACED.finditer(text)]
 
 
+def stripped(token: str) -> str:
+    bare = token.strip(EDGE)
+    if "(" in token and (suspicious(bare) or not bare.isalpha()):
+        return token.strip(EDGE.replace("(", ""))
+    return bare
+
+
 class Restorer:
     def __init__(self, lm: CharModel):
         self.lm = lm
@@ -241,10 +270,9 @@ class Restorer:
         """The word that a token stands for; words parted by blanks for a run of single characters."""
         if token[0] == APART:
             return restore_run(token[1:], self.lm)
-        bare = token.strip(EDGE)
+        bare = stripped(token)
         if bare.isalpha() and not suspicious(bare):
             return bare
-        bare = token.strip(EDGE.replace("(", "")) if "(" in token else bare
         got = restore_token(bare, self.lm)
         if bare[-1:] == "!":
             # an exclamation mark that closes a word, unless reading it as a letter is likelier
@@ -304,97 +332,155 @@ def evidence(found: np.ndarray, beyond: float = 0.0) -> list[float]:
     return [float(found.max()), math.log1p(total)] if len(found) and total > 0 else [0.0, 0.0]
 
 
-def labelled_words(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[list[str], list[tuple[int, int, np.ndarray, np.ndarray]]]:
-    """The words of a bounded sample of labelled rows, and by row (part, toxic, words' places, counts); counted where the texts lie."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
-    known = bounded_sample(known, max_rows).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(2)).cast("int"))
-    # the sampled labels are at most max_rows, so they are broadcast and no text is shuffled
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id")
-    if rows.select("doc_id").count() > 2 * max_rows:
-        # documents that share a labelled id
-        rows = bounded_sample(rows, max_rows)
-    rows = rows.select("part", F.col("toxic").cast("int").alias("toxic"), "text")
+def labelled_rows(docs: DataFrame, labels: DataFrame) -> Staged:
+    """part, toxic and text of every labelled row, staged since they are read several times."""
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    if known.limit(FEW_LABELS + 1).count() <= FEW_LABELS:
+        # counted, so they are broadcast and no text is shuffled
+        known = F.broadcast(known)
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(known, "doc_id")
+    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(2)).cast("int")
+    return Staged(rows.select(part.alias("part"), "toxic", "text"), "labelled")
+
+
+def handed_on(counts: list[Counter], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """What was counted by key, a column a counter, and forgets it."""
+    for k, c in enumerate(counts):
+        keys, n = list(c), list(c.values())
+        for i in range(0, len(keys), 50_000):
+            values = [pa.array(n[i : i + 50_000] if j == k else [0] * len(keys[i : i + 50_000]), pa.int64()) for j in range(len(counts))]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 50_000], pa.string()), *values], names=names)
+        c.clear()
+
+
+def language_model(rows: DataFrame) -> tuple[CharModel, int]:
+    """The words of all rows counted on executors, and how many they are."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
         for batch in batches:
-            out = []
-            for text in batch.column(2).to_pylist():
+            for text in batch.column(0).to_pylist():
                 plain, spaced = tokens_of(text)
-                c = Counter(plain + spaced)
-                out.append(" ".join(f"{w} {n}" for w, n in c.items()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["part", "toxic", "words"])
-
-    found = in_arrow(rows, count, "part int, toxic int, words string").collect()
-    place: dict[str, int] = {}
-    out = []
-    for r in sorted(found):
-        w = r.words.split(" ") if r.words else []
-        at = np.fromiter((place.setdefault(x, len(place)) for x in w[::2]), np.int32, len(w) // 2)
-        out.append((r.part, int(r.toxic > 0), at, np.array(w[1::2], np.int32)))
-    return list(place), out
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, least_gain: float = 11.0) -> Model:
-    vocabulary, rows = labelled_words(docs, labels, max_rows)
-    total = np.zeros(len(vocabulary), np.int64)
-    for _, _, at, n in rows:
-        total[at] += n
-    plain: Counter = Counter()
-    for t, n in zip(vocabulary, total.tolist()):
-        if (w := t.strip(EDGE)).isalpha() and not THRICE.search(w):
-            plain[w] += n
-    model = Model(char_model(plain), {}, np.array([-3.0, 2.0, 0.0]), np.zeros(2), np.ones(2))
-    reader = Restorer(model.lm)
-    read = [reader.read(t) for t in vocabulary]
-    apart = len(rows) >= 400
-    counted = [r for r in rows if r[0] == 0 or not apart]
-    size = [sum(r[1] == y for r in counted) for y in (0, 1)]
-    if not (size[0] and size[1]):
-        return model
-    # documents by feature and label; only features of toxic documents can be chosen, so only these are held
-    bad: Counter = Counter()
-    for _, y, at, _ in counted:
-        if y:
-            bad.update({f for i in at.tolist() for f in marks(read[i]) if read[i]})
-    seen = [[f for f in marks(w) if f in bad] if w else [] for w in read]
-    good: Counter = Counter()
-    for _, y, at, _ in counted:
-        if not y:
-            good.update({f for i in at.tolist() for f in seen[i]})
+                held.update(plain + spaced if spaced else plain)
+            if len(held) > HELD:
+                yield from plain_words(held)
+        yield from plain_words(held)
+
+    def plain_words(held: Counter) -> Iterator[pa.RecordBatch]:
+        plain: Counter = Counter()
+        for t, n in held.items():
+            if (w := t.strip(EDGE)).isalpha() and not THRICE.search(w):
+                plain[w] += n
+        held.clear()
+        return handed_on([plain], ["w", "n"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        for batch in batches:
+            held.update(grams_of(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())))
+            if len(held) > HELD:
+                yield from handed_on([held], ["g", "n"])
+        yield from handed_on([held], ["g", "n"])
+
+    words = Staged(in_arrow(rows.select("text"), count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
+    found = words.df.agg(F.sum("n"), F.sum((F.col("n") == 1).cast("long"))).first()
+    total, once = found[0] or 0, found[1] or 0
+    least = total * LEAST_SHARE
+    listed = {r.w: r.n for r in words.df.where(F.col("n") >= F.lit(least)).collect()}
+    grams = {r.g: r.n for r in in_arrow(words.df, cut, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    words.drop()
+    # the share of unseen words is that of words seen once (Good and Turing), or of all words that aren't listed
+    return model_of(grams, listed, total, max(once, total - sum(listed.values()))), total
+
+
+def chosen_features(rows: DataFrame, lm: CharModel, size: list[int], least_gain: float) -> list:
+    """(feature, toxic documents, other documents) of the features that say "toxic" beyond chance; all are counted."""
+    held = rows.sparkSession.sparkContext.broadcast(lm)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, memo = Restorer(held.value), {}
+        by: list[Counter] = [Counter(), Counter()]
+        for batch in batches:
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                plain, spaced = tokens_of(text)
+                every = set(plain + spaced)
+                for t in every.difference(memo):
+                    memo[t] = marks(w) if (w := reader.read(t)) else ()
+                by[y].update(set().union(*map(memo.__getitem__, every)))
+                if len(memo) > MEMO // 2:
+                    memo.clear()
+            if len(by[0]) + len(by[1]) > HELD:
+                yield from handed_on(by, ["f", "n", "t"])
+        yield from handed_on(by, ["f", "n", "t"])
+
+    found = in_arrow(rows.select("toxic", "text"), count, "f string, n long, t long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     base = size[1] / sum(size)
-    for f, t in bad.items():
-        n = good.get(f, 0)
-        rate = t / (t + n)
-        # log-likelihood gained by giving the feature a rate of its own; chance alone reaches this for few features
-        gain = t * math.log(rate / base) + (n * math.log((1 - rate) / (1 - base)) if n else 0.0)
-        if rate >= 0.7 and gain >= least_gain:
-            model.weights[f] = math.log((t + 0.2) / (size[1] + 0.4) / ((n + 0.2) / (size[0] + 0.4)))
-            if not f.endswith("~") and f not in model.lm.words and f.isalpha():
-                # a weighed word that is only read out of disguises is a word too
-                model.lm.words[f] = math.log((t + n) / (plain.total() + t + n))
-    model.lm.ordered = sorted(model.lm.words)
-    model.lm.led.clear()
-    del bad, good, seen
-    used = [r for r in rows if r[0] == 1] if apart else rows
-    if not used or not model.weights:
-        return model
-    weight = np.array([model.of_word(w) for w in read])
-    beyond = np.array([model.beyond(w) for w in read])
-    x = np.array([evidence(np.repeat(weight[at], n), float(beyond[at] @ n)) if len(at) else [0.0, 0.0] for _, _, at, n in used])
-    y = np.array([r[1] for r in used], float)
-    model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    z = np.column_stack((np.ones(len(x)), (x - model.mean) / model.scale))
+    rate = F.col("t") / (F.col("t") + F.col("n"))
+    # log-likelihood gained by giving the feature a rate of its own; chance alone reaches this for few features
+    gain = F.col("t") * F.log(rate / base) + F.when(F.col("n") > 0, F.col("n") * F.log((1 - rate) / (1 - base))).otherwise(0.0)
+    return sorted(tuple(r) for r in found.where("t > 0").where((rate >= 0.7) & (gain >= least_gain)).select("f", "t", "n").collect())
+
+
+def regress(rows: DataFrame, model: Model) -> None:
+    """Fits the logistic regression on all rows given: Newton's steps, whose sums are taken on executors."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
+
+    def begin():
+        scorer = Scorer(held.value)
+        return lambda texts: list(scorer.evidence(texts).T)
+
+    found = rows.select("toxic", of_text(T.StructType([T.StructField(c, T.DoubleType()) for c in "ab"]), begin)("text").alias("e"))
+    # equal rows become one with a count
+    table = Staged(found.groupBy("toxic", "e.a", "e.b").agg(F.count(F.lit(1)).alias("n")), "evidence")
+    n = F.col("n")
+    count, *sums = table.df.agg(F.sum("n"), *[F.sum(n * F.col(c)) for c in "ab"]).first()
+    if not count:
+        table.drop()
+        return
+    mean = np.array(sums) / count
+    spread = table.df.agg(*[F.sum(n * F.pow(F.col(c) - F.lit(float(m)), 2)) for c, m in zip("ab", mean)]).first()
+    model.mean, model.scale = mean, np.sqrt(np.array(list(spread)) / count) + 1e-6
+    z = [F.lit(1.0), *[(F.col(c) - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip("ab", model.mean, model.scale)]]
     theta = np.zeros(3)
-    for _ in range(400):
-        p = 1 / (1 + np.exp(-np.clip(z @ theta, -30, 30)))
-        grad = z.T @ (p - y) / len(y) + 1e-3 * np.append(0.0, theta[1:])
-        curve = (z * (p * (1 - p))[:, None]).T @ z / len(y) + 1e-3 * np.eye(3)
+    upper = [(i, j) for i in range(3) for j in range(i, 3)]
+    for _ in range(100):
+        line = sum(x * F.lit(float(t)) for x, t in zip(z, theta))
+        p = 1 / (1 + F.exp(-F.least(F.greatest(line, F.lit(-30.0)), F.lit(30.0))))
+        got = table.df.agg(
+            *[F.sum(n * (p - F.col("toxic")) * x) for x in z], *[F.sum(n * p * (1 - p) * z[i] * z[j]) for i, j in upper]
+        ).first()
+        grad = np.array(got[:3]) / count + 1e-3 * np.append(0.0, theta[1:])
+        curve = 1e-3 * np.eye(3)
+        for (i, j), v in zip(upper, got[3:]):
+            curve[i, j] += v / count
+            if i != j:
+                curve[j, i] += v / count
         move = np.linalg.solve(curve, grad)
         theta -= move
         if np.abs(move).max() < 1e-8:
             break
     model.theta = theta
-    del rows, counted, used, read, x, z, weight, beyond, total, vocabulary, plain
+    table.drop()
+
+
+def fit(docs: DataFrame, labels: DataFrame, least_gain: float = 11.0) -> Model:
+    """Reads every labelled row."""
+    rows = labelled_rows(docs, labels)
+    lm, total = language_model(rows.df)
+    model = Model(lm, {}, np.array([-3.0, 2.0, 0.0]), np.zeros(2), np.ones(2))
+    sizes = {(r.part, r.toxic): r.n for r in rows.df.groupBy("part", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    apart = sum(sizes.values()) >= 400
+    size = [sum(n for (part, y), n in sizes.items() if y == k and (part == 0 or not apart)) for k in (0, 1)]
+    if size[0] and size[1]:
+        for f, t, n in chosen_features(rows.df.where("part = 0") if apart else rows.df, lm, size, least_gain):
+            model.weights[f] = math.log((t + 0.2) / (size[1] + 0.4) / ((n + 0.2) / (size[0] + 0.4)))
+            if not f.endswith("~") and f not in lm.words and f.isalpha():
+                # a weighed word that isn't listed, or only read out of disguises, is a word too
+                lm.words[f] = math.log((t + n) / (total + t + n))
+        lm.ordered = sorted(lm.words)
+        if model.weights:
+            regress(rows.df.where("part = 1") if apart else rows.df, model)
+    rows.drop()
     release()
     return model
 
@@ -405,8 +491,43 @@ class Scorer:
         #: A token's strongest weight, and what its words weigh besides.
         self.memo: dict[str, float] = {}
         self.more: dict[str, float] = {}
+        #: All beginnings of weighed features.
+        self.begun = {f[:k] for f in model.weights for k in range(len(f) + 1)}
+
+    def reaches(self, steps: list[list[tuple[str, float]]]) -> bool:
+        """Some path through the lattice writes a weighed feature, as a word or as a word's beginning."""
+        begun, weights = self.begun, self.model.weights
+        states = {""}
+        for ways in steps:
+            after = set()
+            for out, _ in ways:
+                for state in states:
+                    # None: in a word that begins like no feature
+                    for c in out:
+                        if c == " ":
+                            if state in weights:
+                                return True
+                            state = ""
+                        elif state is not None:
+                            state += c
+                            if state + "~" in weights:
+                                return True
+                            if state not in begun:
+                                state = None
+                    after.add(state)
+            states = after
+        return any(state in weights for state in states)
+
+    def worth(self, token: str) -> bool:
+        """False where no reading of a token weighs anything, which is found without looking for the likeliest one."""
+        if token[0] == APART:
+            return not any(c.isalpha() for c in token) or self.reaches(steps_of_run(token[1:]))
+        bare = stripped(token)
+        if not veiled(bare) or (bare[-1:] == "!" and not veiled(bare.rstrip("!"))):
+            return True
+        return self.reaches(steps_of(bare, PIECE)) or (bare[-1:] == "!" and self.reaches(steps_of(bare.rstrip("!"), PIECE)))
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
+    def evidence(self, texts: list[str | None]) -> np.ndarray:
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
@@ -417,6 +538,9 @@ class Scorer:
             every = plain + spaced if spaced else plain
             missing = set(every).difference(memo)
             for w in missing:
+                if not self.worth(w):
+                    memo[w] = 0.0
+                    continue
                 reading = self.reader.read(w)
                 memo[w] = self.model.of_word(reading)
                 if more := self.model.beyond(reading):
@@ -427,7 +551,10 @@ class Scorer:
                 if len(w) > MEMO_LEN:
                     del memo[w]
                     self.more.pop(w, None)
-        return self.model.score(np.array(rows)) if rows else np.zeros(0)
+        return np.array(rows).reshape(len(texts), 2)
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        return self.model.score(self.evidence(texts))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

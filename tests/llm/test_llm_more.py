@@ -1,7 +1,9 @@
 """More of the ten operators: repeated ids, hot keys, blocks, bounds, recall on a table, brute force where SQL has no say."""
 
 import itertools
+import math
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -184,6 +186,32 @@ def test_viterbi_finds_the_best_path():
         assert toxicity.likeliest(steps, lm) == "".join(w[k][0] for w, k in zip(steps, best)).strip()
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    rows = [(i, f"alpha w{'abcdefghij'[i % 10]}x" + (" zorble" if i % 50 == 0 else ""), int(i % 25 == 0)) for i in range(17_000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    model = toxicity.fit(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    part = {r.doc_id for r in table.where(F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(2)) == 0).select("doc_id").collect()}
+    size = [sum(i in part and y == k for i, _, y in rows) for k in (0, 1)]
+    t = sum(i in part and "zorble" in x for i, x, _ in rows)
+    assert abs(model.weights["zorble"] - math.log((t + 0.2) / (size[1] + 0.4) / (0.2 / (size[0] + 0.4)))) < 1e-12
+    whole = toxicity.char_model(Counter(w for _, x, _ in rows for w in x.split()))
+    assert (model.lm.three, model.lm.two, model.lm.one, model.lm.words) == (whole.three, whole.two, whole.one, whole.words)
+    # the regression's mean is that of every row of the other part
+    found = [toxicity.Scorer(model).evidence([x])[0] for i, x, _ in rows if i not in part]
+    assert np.allclose(model.mean, np.mean(found, axis=0)) and np.allclose(model.scale, np.std(found, axis=0) + 1e-6)
+
+
+def test_only_tokens_that_can_weigh_are_read():
+    rng = random.Random(31)
+    lm = toxicity.char_model(Counter({"blorgon": 3, "snarfel": 3, "beta": 9, "alpha": 9, "seen": 4}))
+    model = toxicity.Model(lm, {"blorgon": 2.0, "snarf~": 1.5, "i10": 1.0, "12": 0.5}, np.array([-3.0, 2.0, 0.0]), np.zeros(2), np.ones(2))
+    scorer = toxicity.Scorer(model)
+    tokens = ["bl0rg0n!", "sna.rf", "s.n.a.r.f.x", "blorgon!!", "(bl0rgon)", "i10", toxicity.APART + "12", toxicity.APART + "blorgonbeta", "be.ta", "beta!"]
+    tokens += ["".join(rng.choice("bl0rgon.snarfe!l112*(") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    weighed = [t for t in tokens if model.of_word(scorer.reader.read(t))]
+    assert len(weighed) > 5 and all(map(scorer.worth, weighed)) and not scorer.worth("be.ta")
+
+
 # -- 9 ---------------------------------------------------------------------------------------------------------------
 def test_blocks_say_the_same(spark):
     rng = random.Random(6)
