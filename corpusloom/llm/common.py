@@ -127,6 +127,71 @@ def bounded_sample(df: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
     return df.where(h < F.lit(cut)).unionByName(df.where(h == F.lit(cut)).limit(limit))
 
 
+#: Rows of a side that is broadcast; more are joined by shuffle.
+FEW_ROWS = 2_000_000
+
+
+def broadcast_if_few(df: DataFrame) -> DataFrame:
+    """Counts a side and marks it for a broadcast if it is small enough; then the other side isn't shuffled."""
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df
+
+
+#: Bits of a value that one pass over a table settles, and values that are looked at one by one.
+STEP, FEW_VALUES = 12, 50_000
+
+
+def order_statistics(df: DataFrame, ranks: dict[str, list[int]]) -> dict[str, list]:
+    """By column, the values at these places (from 0) of its ascending order: exact, and no row is sorted or moved.
+
+    Columns are doubles or longs that are neither null nor negative, so their bits are ordered like the values.  A pass
+    counts the next bits of the values that may still be looked for, until these are few.
+    """
+    names, size = list(ranks), df.count()
+    kinds = [df.schema[c].dataType for c in names]
+    # by column and rank: the bits known and the rank among values with these bits
+    at = {(i, k): (0, k) for i, c in enumerate(names) for k in ranks[c]}
+    left, sizes = 64, {(i, 0): size for i in range(len(names))}
+    df = df.select(*names)
+
+    def bits(batch: pa.RecordBatch, i: int) -> np.ndarray:
+        return batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64)
+
+    def matching(b: np.ndarray, wanted: list[int], left: int) -> np.ndarray:
+        return b if left == 64 else b[np.isin(b >> np.uint64(left), np.array(wanted, np.uint64))]
+
+    def pass_over(wanted: dict[int, list[int]], left: int, shift: int) -> list:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[tuple[int, int], int] = {}
+            for batch in batches:
+                for i, prefixes in wanted.items():
+                    for b, n in zip(*map(np.ndarray.tolist, np.unique(matching(bits(batch, i), prefixes, left) >> np.uint64(shift), return_counts=True))):
+                        found[i, b] = found.get((i, b), 0) + n
+            columns = [[i for i, _ in found], [b for _, b in found], list(found.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["i", "b", "n"])
+
+        return in_arrow(df, run, "i long, b long, n long").groupBy("i", "b").agg(F.sum("n").alias("n")).collect()
+
+    while left:
+        wanted: dict[int, list[int]] = {}
+        for (i, _), (b, _) in at.items():
+            wanted.setdefault(i, []).append(b)
+        few = sum(sizes[i, b] for i, prefixes in wanted.items() for b in set(prefixes)) <= FEW_VALUES
+        shift = 0 if few else max(0, left - STEP)
+        counts: dict[tuple[int, int], list] = {}
+        for r in sorted(tuple(r) for r in pass_over(wanted, left, shift)):
+            sizes[r[0], r[1]] = r[2]
+            counts.setdefault((r[0], r[1] >> (left - shift) if left < 64 else 0), []).append(r[1:])
+        for (i, k), (b, rank) in at.items():
+            for deeper, n in counts[i, b]:
+                if rank < n:
+                    break
+                rank -= n
+            at[i, k] = (deeper, rank)
+        left = shift
+    value = lambda i, b: np.array([b], np.uint64).view(np.float64 if isinstance(kinds[i], T.DoubleType) else np.int64)[0].item()
+    return {c: [value(i, at[i, k][0]) for k in ranks[c]] for i, c in enumerate(names)}
+
+
 def slices(texts: pa.Array, most_bytes: int = 1_000_000) -> Iterator[pa.Array]:
     """Consecutive parts whose texts sum to about ``most_bytes``: bounds what a worker turns into strings at once."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)

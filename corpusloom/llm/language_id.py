@@ -1,11 +1,12 @@
 """Language identification: averaged hashed subword embeddings below a linear softmax, with calibrated rejection.
 
 A text is the mean of the embeddings of its words' subwords (runs of 2 to 5 UTF-8 bytes of ``<word>``, hashed
-into ``buckets``).  Embeddings and softmax are fitted together by stochastic gradient descent in numpy, on a
-bounded sample (``max_rows``) of the rows given for fitting; every fourth of these is set aside to fit the
-temperature.  The rejection cut is the score below which ``reject`` of the rightly recognised rows lie, of all rows
-with a language that taught nothing; their scores are counted where the texts lie.  Fewer than 1 / ``reject`` such
-rows can't tell that share: the cut is then the lowest of their scores.
+into ``buckets``).  Embeddings and softmax are fitted together by stochastic gradient descent in numpy, on all rows
+given for fitting but a fourth.  Rows are dealt to runs by a hash; each run takes ``max_rows`` rows or up to twice as
+many, where it lies, and the model is the mean of the runs' logits (parallel gradient descent by averaging).  The
+fourth that is set aside, by hash too, fits the temperature and the rejection cut, the score below which ``reject`` of
+its rightly recognised rows lie; losses and scores are counted where the texts lie.  Fewer than 1 / ``reject`` such
+rows can't tell that share: the cut is then the lowest of their scores.  No row is left out.
 As embedding and softmax are linear, a word's share of the logits is a row that each worker remembers.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0 and rejected; with nothing to learn
@@ -16,8 +17,10 @@ long; other columns pass through unless they carry the name of an output; equal
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import bounded_sample, crc_of_id, in_arrow, of_text, release
+from corpusloom.llm.common import crc_of_id, in_arrow, of_text, release, slices
 
 UND = "und"
 #: ASCII letters in lower case and all other bytes of UTF-8; the rest of ASCII parts words.
@@ -36,6 +39,14 @@ SIZES = (2, 3, 4, 5)
 MEMO, MEMO_LEN = 100_000, 64
 #: Scores are counted by the logarithm of their odds, in steps of 1 / ODDS.
 ODDS = 100
+#: Cells by hash that rows to learn from are dealt into; a run takes neighbouring cells.
+CELLS = 4096
+#: Runs' logits are summed as integers, so their order makes no difference; by blocks of as many buckets.
+FIXED, BLOCK = 1 << 20, 1024
+#: Temperatures that are tried.
+GRID = np.geomspace(0.05, 5, 41)
+#: Has a word, as words_of finds it.
+WORDED = r"[A-Za-z\x{80}-\x{10FFFF}]"
 OUT = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())]
 
 
@@ -80,65 +91,20 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def training_rows(docs: DataFrame, buckets: int, max_rows: int) -> list[tuple[str, np.ndarray, np.ndarray, int | None]]:
-    """(language, buckets, counts, id) of a bounded sample; the texts are counted where they lie."""
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    rows = bounded_sample(rows, max_rows)
+def learn(rows: Iterable[tuple[str, np.ndarray, np.ndarray]], n_rows: int, langs: list[str], buckets: int, dim: int, steps: int, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """One run of gradient descent over ``n_rows`` rows of (language, buckets, counts): logits by bucket, and bias.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for key, text, lang in zip(batch.column(0), batch.column(1), batch.column(2)):
-                words = words_of(text.as_py())
-                if words:
-                    ids, n = np.unique(subwords(words, buckets)[0], return_counts=True)
-                    out.append((key.as_py(), lang.as_py(), ids.astype("<u2").tobytes(), np.minimum(n, 65535).astype("<u2").tobytes()))
-            columns = list(zip(*out)) or [[], [], [], []]
-            kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "lang", "ids", "n"])
-
-    rows = rows.select(F.col("doc_id").cast("long"), "text", "lang")
-    found = in_arrow(rows, count, "doc_id long, lang string, ids binary, n binary").collect()
-    found.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang, len(r.ids)))
-    return [(r.lang, np.frombuffer(r.ids, "<u2"), np.frombuffer(r.n, "<u2"), r.doc_id) for r in found]
-
-
-def rejection_cut(docs: DataFrame, model: Model, taught: set[int | None], reject: float) -> float:
-    """The score below which ``reject`` of the rightly recognised rows lie; rows whose ids ``taught`` are left out."""
-    spark = docs.sparkSession
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    # at most twice max_rows ids
-    ids = F.broadcast(spark.createDataFrame([(i,) for i in taught], "id long"))
-    rows = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
-    right = identify(rows.select("text", "lang"), model).where(F.col("lang_pred") == F.col("lang"))
-    odds = F.log(F.col("score") / F.greatest(1 - F.col("score"), F.lit(1e-15)))
-    steps = sorted((r[0], r[1]) for r in right.groupBy(F.floor(odds * ODDS).alias("b")).count().collect())
-    left = int(sum(n for _, n in steps) * reject)
-    for b, n in steps:
-        if n > left:
-            return float(1 / (1 + np.exp(-b / ODDS)))
-        left -= n
-    return 0.0
-
-
-def fit(docs: DataFrame, max_rows: int = 3000, buckets: int = 1 << 15, dim: int = 8, steps: int = 15_000, rate: float = 0.5, reject: float = 0.001, seed: int = 7) -> Model:
-    """``docs`` has text and lang; rows with either null teach nothing.  ``buckets`` are at most 65,536."""
-    rows = training_rows(docs, buckets, max_rows)
-    langs = sorted({r[0] for r in rows})
-    if not langs:
-        return Model([], np.zeros((buckets, 0), np.float32), np.zeros(0))
+    Rows are held only where they are too few for ``steps`` and are gone through several times.
+    """
     rng = np.random.default_rng(seed)
-    rng.shuffle(rows)
-    aside = rows[::4] if len(rows) >= 40 else rows
-    used = [r for i, r in enumerate(rows) if i % 4] if len(rows) >= 40 else rows
     number = {x: i for i, x in enumerate(langs)}
     emb = rng.normal(0, 0.1, (buckets, dim)).astype(np.float32)
     top, bias = np.zeros((dim, len(langs)), np.float32), np.zeros(len(langs), np.float32)
-    epochs = min(100, -(-steps // len(used)))
-    step, steps = 0, epochs * len(used)
+    epochs = min(100, max(1, round(steps / n_rows)))
+    held = list(rows) if epochs > 1 else rows
+    step, steps = 0, epochs * n_rows
     for _ in range(epochs):
-        for i in rng.permutation(len(used)):
-            lang, ids, n, _ = used[i]
+        for lang, ids, n in (held[i] for i in rng.permutation(len(held))) if epochs > 1 else held:
             share = (n / n.sum()).astype(np.float32)
             x = share @ emb[ids]
             g = softmax(x @ top + bias)
@@ -150,17 +116,109 @@ def fit(docs: DataFrame, max_rows: int = 3000, buckets: int = 1 << 15, dim: int
             # a subword's share of a text is small: its step is scaled up so that embeddings move at the pace of the softmax
             emb[ids] -= (lr * 20 * share)[:, None] * back
             step += 1
-    logits = emb @ top
-    z = np.array([(n / n.sum()) @ logits[ids] + bias for _, ids, n, _ in aside])
-    y = np.array([number[r[0]] for r in aside])
-    grid = np.geomspace(0.05, 5, 41)
-    loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
-    t = float(grid[int(np.argmin(loss))])
-    model = Model(langs, logits.astype(np.float32), bias.astype(np.float64), t)
-    taught = {r[3] for r in used} if aside is not rows else set()
-    del rows, used, aside, emb, logits, z
+    return emb @ top, bias
+
+
+def averaged_runs(used: DataFrame, sizes: dict[int, int], langs: list[str], buckets: int, dim: int, steps: int, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The mean of the logits and biases of all runs; ``used`` has run, h (the order in a run), lang and text."""
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((buckets + 1, len(langs)), np.int64)
+
+        def rows() -> Iterator[tuple[int, tuple[str, np.ndarray, np.ndarray]]]:
+            for batch in batches:
+                at = 0
+                for part in slices(batch.column(2)):
+                    for run, lang, text in zip(batch.column(0).slice(at).to_pylist(), batch.column(1).slice(at).to_pylist(), part.to_pylist()):
+                        yield run, (lang, *np.unique(subwords(words_of(text), buckets)[0], return_counts=True))
+                    at += len(part)
+
+        any_run = False
+        for run, own in groupby(rows(), key=lambda r: r[0]):
+            logits, bias = learn((r for _, r in own), sizes[run], langs, buckets, dim, steps, rate, seed)
+            total += np.rint(np.vstack((logits, bias)).astype(np.float64) * FIXED).astype(np.int64)
+            any_run = True
+        if any_run:
+            for i in range(0, len(total), BLOCK):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total[i : i + BLOCK].tobytes()], pa.binary())], names=["block", "total"])
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(np.frombuffer(x.as_py(), np.int64) for batch in batches for x in batch.column(1))
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "total"])
+
+    dealt = used.repartition(len(sizes), "run").sortWithinPartitions("run", "h").select("run", "lang", "text")
+    found = in_arrow(dealt, train, "block int, total binary").groupBy("block").applyInArrow(add, "block int, total binary").collect()
+    total = np.concatenate([np.frombuffer(r.total, np.int64).reshape(-1, len(langs)) for r in sorted(found)]) / (FIXED * len(sizes))
+    return total[:-1], total[-1]
+
+
+def calibrate(aside: DataFrame, model: Model, reject: float) -> None:
+    """Sets the temperature of the least loss on ``aside``, and the score below which ``reject`` of its rightly recognised rows lie.
+
+    Losses are summed as integers; scores are counted for all temperatures at once, so the texts are read once.
+    """
+    held, number = aside.sparkSession.sparkContext.broadcast(model), {x: i for i, x in enumerate(model.langs)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predictor, losses, counts = Predictor(held.value), np.zeros(len(GRID), np.int64), Counter()
+        for batch in batches:
+            at = 0
+            for part in slices(batch.column(1)):
+                langs = batch.column(0).slice(at, len(part)).to_pylist()
+                at += len(part)
+                found = [(z, number[lang]) for z, lang in zip(predictor.logits(part.to_pylist()), langs) if z is not None]
+                if not found:
+                    continue
+                z, y = np.array([z for z, _ in found]), np.array([y for _, y in found])
+                right = z.argmax(axis=1) == y
+                for i, t in enumerate(GRID):
+                    p = softmax(z / t)
+                    losses[i] += np.rint(-np.log(np.maximum(p[np.arange(len(y)), y], 1e-12)) * FIXED).astype(np.int64).sum()
+                    best = np.minimum(1.0, p[right].max(axis=1))
+                    odds = np.log(best / np.maximum(1 - best, 1e-15))
+                    counts.update((i, b) for b in np.floor(odds * ODDS).astype(int).tolist())
+        rows = [(i, None, n) for i, n in enumerate(losses.tolist())] + [(i, b, n) for (i, b), n in counts.items()]
+        columns = zip(*rows)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["t", "b", "n"])
+
+    found = in_arrow(aside.select("lang", "text"), run, "t long, b long, n long").groupBy("t", "b").agg(F.sum("n").alias("n")).collect()
+    losses = {r.t: r.n for r in found if r.b is None}
+    if not losses:
+        return
+    best = min(losses, key=lambda t: (losses[t], t))
+    model.temperature = float(GRID[best])
+    scores = sorted((r.b, r.n) for r in found if r.t == best and r.b is not None)
+    left = int(sum(n for _, n in scores) * reject)
+    for b, n in scores:
+        if n > left:
+            model.cut = float(1 / (1 + np.exp(-b / ODDS)))
+            break
+        left -= n
+
+
+def fit(docs: DataFrame, max_rows: int = 15_000, buckets: int = 1 << 15, dim: int = 8, steps: int = 15_000, rate: float = 0.5, reject: float = 0.001, seed: int = 7) -> Model:
+    """``docs`` has text and lang; rows with either null, or without a word, teach nothing, all others do."""
+    h = F.xxhash64("doc_id", "text")
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(WORDED)).select(h.alias("h"), "lang", "text")
+    cell, fourth = F.pmod(F.shiftright("h", 2), F.lit(CELLS)), F.pmod("h", F.lit(4))
+    counted = rows.groupBy("lang", cell.alias("cell"), fourth.alias("fourth")).agg(F.count(F.lit(1)).alias("n")).collect()
+    langs = sorted({r.lang for r in counted})
+    if not langs:
+        return Model([], np.zeros((buckets, 0), np.float32), np.zeros(0))
+    apart = sum(r.n for r in counted) >= 40 and len({r.fourth == 0 for r in counted}) == 2
+    n_used = sum(r.n for r in counted if not apart or r.fourth)
+    runs = min(CELLS, max(1, n_used // max_rows))
+    sizes: dict[int, int] = {}
+    for r in counted:
+        if not apart or r.fourth:
+            k = r.cell * runs // CELLS
+            sizes[k] = sizes.get(k, 0) + r.n
+    used = rows.where(fourth > 0) if apart else rows
+    used = used.select(F.floor(cell * runs / CELLS).cast("int").alias("run"), "h", "lang", "text")
+    logits, bias = averaged_runs(used, sizes, langs, buckets, dim, steps, rate, seed)
+    model = Model(langs, logits.astype(np.float32), bias)
+    calibrate(rows.where(fourth == 0) if apart else rows, model, reject)
     release()
-    model.cut = rejection_cut(docs, model, taught, reject)
     return model
 
 
@@ -187,10 +245,8 @@ class Predictor:
             size += len(w or b"")
         return np.concatenate(out)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
-        m = self.model
-        if not m.langs:
-            return [UND] * len(texts), [0.0] * len(texts), [False] * len(texts)
+    def logits(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """A text's logits before the temperature; None without a letter."""
         if len(self.place) > MEMO:
             self.place, self.rows = {}, self.rows[:0].copy()
         words = [words_of(t) if t and LETTER.search(t) else [] for t in texts]
@@ -202,18 +258,30 @@ class Predictor:
         rows = np.concatenate((self.rows, self.sums(new))) if new else self.rows
         self.place.update((w, n_held + i) for i, w in enumerate(new))
         self.rows = rows[: n_held + n_short]
-        langs, scores, accepted = [], [], []
+        found: list[np.ndarray | None] = []
         for w in words:
             if not w:
-                langs.append(UND), scores.append(0.0), accepted.append(False)
+                found.append(None)
                 continue
             total = rows[np.fromiter(map(self.place.__getitem__, w), np.int64, len(w))].sum(axis=0)
-            p = softmax((total[:-1] / total[-1] + m.bias) / m.temperature)
-            best = int(p.argmax())
-            langs.append(m.langs[best]), scores.append(float(min(1.0, p[best]))), accepted.append(bool(p[best] >= m.cut))
+            found.append(total[:-1] / total[-1] + self.model.bias)
         # long words aren't kept
         for w in new[n_short:]:
             del self.place[w]
+        return found
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        m = self.model
+        if not m.langs:
+            return [UND] * len(texts), [0.0] * len(texts), [False] * len(texts)
+        langs, scores, accepted = [], [], []
+        for z in self.logits(texts):
+            if z is None:
+                langs.append(UND), scores.append(0.0), accepted.append(False)
+                continue
+            p = softmax(z / m.temperature)
+            best = int(p.argmax())
+            langs.append(m.langs[best]), scores.append(float(min(1.0, p[best]))), accepted.append(bool(p[best] >= m.cut))
         return langs, scores, accepted
 
 

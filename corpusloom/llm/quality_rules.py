@@ -1,8 +1,9 @@
 """Quality rules: rule statistics of a text, then an isolation forest on them.
 
-Each tree of the forest splits a bounded subsample at random values of random statistics; texts that few splits
-set apart have short paths and are anomalous.  The cut on the anomaly score is calibrated on labelled rows: at most
-``false_rejects`` of the rows labelled good may be rejected, and within that as many labelled bad as can be.
+Each tree of the forest splits rows of its own, drawn from all labelled good rows, at random values of random
+statistics; texts that few splits set apart have short paths and are anomalous.  Ranges, spreads and the cut on the
+anomaly score are those of all labelled rows: at most ``false_rejects`` of the rows labelled good may be rejected, and
+within that as many labelled bad as can be.
 
 Defined cases: null text has no words, so the base rule rejects it, as it does empty text; with no labelled rows, or
 none of either label, the forest rejects nothing; rows with a null label teach nothing; labels that disagree for an
@@ -13,14 +14,16 @@ through unless they carry the name of an output.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import PLAIN, bounded_sample, gram_hashes, of_text, release, word_hashes
+from corpusloom.llm.common import PLAIN, Staged, broadcast_if_few, gram_hashes, in_arrow, of_text, order_statistics, release, word_hashes
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -37,6 +40,8 @@ RATIOS = {
     "digits": ("n_digits", "word_chars"),
     "marks": ("n_marks", "n_words"),
 }
+#: The quantiles whose distance is a statistic's spread, and between them its middle.
+SPREAD = (0.005, 0.5, 0.995)
 
 
 def count_text(text: str | None) -> tuple[int, ...]:
@@ -119,18 +124,23 @@ def grow(x: np.ndarray, good: np.ndarray, trees: int, sample: int, seed: int) ->
     So a region that only bad rows reach is empty and its paths are short.  Statistics are measured in spreads of
     the good rows, on a scale that is logarithmic far out.
     """
-    rng = np.random.default_rng(seed)
     own = x[good] if good.any() else x
-    middle = np.median(own, axis=0)
-    low, high = np.quantile(own, [0.005, 0.995], axis=0)
+    return isolate(own, *np.quantile(own, SPREAD, axis=0), x.min(axis=0), x.max(axis=0), trees, sample, seed)
+
+
+def isolate(own: np.ndarray, low: np.ndarray, middle: np.ndarray, high: np.ndarray, least: np.ndarray, most: np.ndarray, trees: int, sample: int, seed: int) -> Forest:
+    """Grows trees among ``own``: each takes ``sample`` rows of its own where there are as many, else chooses among all."""
+    rng = np.random.default_rng(seed)
     scale = np.maximum(high - low, 0.01) / 2
-    x, own = np.arcsinh((x - middle) / scale), np.arcsinh((own - middle) / scale)
+    own, least, most = (np.arcsinh((v - middle) / scale) for v in (own, least, most))
+    dealt = len(own) >= trees * sample
     sample = min(sample, len(own))
     depth = max(1, math.ceil(math.log2(max(2, sample))))
     size = 2 ** (depth + 1) - 1
     feature, value, length = np.full((trees, size), -1), np.zeros((trees, size)), np.zeros((trees, size))
     for t in range(trees):
-        work = [(0, 0, own[rng.choice(len(own), sample, replace=False)], x.min(axis=0), x.max(axis=0))]
+        rows = own[t * sample : (t + 1) * sample] if dealt else own[rng.choice(len(own), sample, replace=False)]
+        work = [(0, 0, rows, least, most)]
         while work:
             node, level, rows, low, high = work.pop()
             wide = np.flatnonzero(high > low)
@@ -178,32 +188,68 @@ class Model:
     cut: float
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, trees: int = 100, sample: int = 512, false_rejects: float = 0.004, seed: int = 3) -> Model:
-    """Grows the forest on, and calibrates the cut by, a bounded sample of labelled rows.
+def quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...], n: int) -> np.ndarray:
+    """Exact quantiles of columns of ``n`` rows, by share and column; between two values on the line that joins them."""
+    places = [q * (n - 1) for q in shares]
+    ranks = sorted({int(f(p)) for p in places for f in (math.floor, math.ceil)})
+    found = order_statistics(df, {c: ranks for c in columns})
+    return np.array([[np.interp(p, ranks, found[c]) for c in columns] for p in places])
+
+
+def pool(own: DataFrame, n: int, most: int) -> np.ndarray:
+    """The statistics of ``most`` of ``n`` rows, those of the least hashes; all rows are in the draw."""
+    h = F.shiftrightunsigned(F.xxhash64("doc_id", *RATIOS), 1)
+    own = own.select(h.alias("h"), *RATIOS)
+    if n > most:
+        cut = F.lit(order_statistics(own, {"h": [most - 1]})["h"][0])
+        # rows of the last hash are equal
+        own = own.where(F.col("h") < cut).unionByName(own.where(F.col("h") == cut).limit(most))
+    return np.array(sorted(tuple(r) for r in own.collect())[:most], float)[:, 1:]
+
+
+def fit(docs: DataFrame, labels: DataFrame, trees: int = 100, sample: int = 512, false_rejects: float = 0.004, seed: int = 3) -> Model:
+    """Grows the forest on, and calibrates the cut by, all labelled rows.
 
-    The sampled labels (at most ``max_rows``) are broadcast, so no text is shuffled.
+    Ranges, spreads and the cut are exact over all of them.  A tree isolates ``sample`` rows, as the method has it: those
+    of all trees are drawn from all good rows by hash.
     """
-    known = bounded_sample(labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality"), max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "quality", "text")
-    if rows.select("doc_id").count() > 2 * max_rows:
-        # documents that share a labelled id
-        rows = bounded_sample(rows, max_rows)
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col("quality") > 0).alias("good"))
+    rows = docs.select("doc_id", "text").join(broadcast_if_few(known), "doc_id").select("doc_id", "good", "text")
     stats = statistics(rows).where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    found = sorted(tuple(r) for r in stats.select("doc_id", "quality", *COUNTS).collect())
-    if not found:
-        return Model(None, 2.0)
-    table = np.array([r[2:] for r in found], np.int64)
-    good = np.array([r[1] for r in found]) > 0
-    del found
-    release()
-    forest = grow(ratios(table), good, trees, sample, seed)
-    score = forest.score(ratios(table))
-    if good.all() or not good.any():
-        return Model(forest, 2.0)
-    bound = np.sort(score[good])[::-1][int(good.sum() * false_rejects)]
-    bad = np.sort(score[~good & (score > bound)])
+    shares = [(F.col(a) / F.greatest(F.lit(1), F.col(b))).alias(name) for name, (a, b) in RATIOS.items()]
+    table = Staged(stats.select("doc_id", "good", *shares), "statistics")
+    try:
+        sizes = {r.good: r.n for r in table.df.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if not sizes:
+            return Model(None, 2.0)
+        n = sizes.get(True) or sizes[False]
+        own = table.df.where("good") if True in sizes else table.df
+        ends = table.df.agg(*[F.min(c) for c in RATIOS], *[F.max(c) for c in RATIOS]).first()
+        least, most = np.array(ends[: len(RATIOS)]), np.array(ends[len(RATIOS) :])
+        forest = isolate(pool(own, n, trees * sample), *quantiles(own, list(RATIOS), SPREAD, n), least, most, trees, sample, seed)
+        return Model(forest, 2.0 if len(sizes) < 2 else calibrated(table.df, forest, n, false_rejects))
+    finally:
+        table.drop()
+        release()
+
+
+def calibrated(table: DataFrame, forest: Forest, n_good: int, false_rejects: float) -> float:
+    """The cut: a bound that ``false_rejects`` of all good rows exceed, moved up to the bad rows beyond it."""
+    held = table.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held.value.score(x), pa.float64())], names=["good", "anomaly"])
+
+    scored = Staged(in_arrow(table.select("good", *RATIOS), run, "good boolean, anomaly double"), "anomalies")
+    bound = order_statistics(scored.df.where("good").select("anomaly"), {"anomaly": [n_good - 1 - int(n_good * false_rejects)]})["anomaly"][0]
+    bad = scored.df.where(~F.col("good") & (F.col("anomaly") > F.lit(bound))).select("anomaly")
+    n = bad.count()
     # what the bound rejects of the bad, but for a two-hundredth, is rejected with as few good rows as can be
-    return Model(forest, float(bad[len(bad) // 200]) if len(bad) else 2.0)
+    cut = order_statistics(bad, {"anomaly": [n // 200]})["anomaly"][0] if n else 2.0
+    scored.drop()
+    return cut
 
 
 def judge(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:

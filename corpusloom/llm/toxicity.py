@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import Staged, crc_of_id, in_arrow, of_text, release
+from corpusloom.llm.common import Staged, broadcast_if_few, crc_of_id, in_arrow, of_text, release
 
 #: What a sign may stand for.
 LEET = {
@@ -62,8 +62,6 @@ MEMO, MEMO_LEN = 400_000, 48
 HELD = 300_000
 #: The share of all words from which a word is in the language model's list, which so has at most two million words.
 LEAST_SHARE = 1 / 2_000_000
-#: Labels that are broadcast; more are joined by shuffle.
-FEW_LABELS = 2_000_000
 #: Ways through the lattice that a worker remembers.
 LED = 100_000
 OUT = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
@@ -335,10 +333,7 @@ def evidence(found: np.ndarray, beyond: float = 0.0) -> list[float]:
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> Staged:
     """part, toxic and text of every labelled row, staged since they are read several times."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    if known.limit(FEW_LABELS + 1).count() <= FEW_LABELS:
-        # counted, so they are broadcast and no text is shuffled
-        known = F.broadcast(known)
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(known, "doc_id")
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(broadcast_if_few(known), "doc_id")
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(2)).cast("int")
     return Staged(rows.select(part.alias("part"), "toxic", "text"), "labelled")
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import binary_records, decontamination, language_id, lm_scoring, near_dedup, quality_rules, sharding, toxicity, url_filters
+from corpusloom.llm import binary_records, common, decontamination, language_id, lm_scoring, near_dedup, quality_rules, sharding, toxicity, url_filters
 from corpusloom.llm.common import ITEM_WORDS, LOWER, PLAIN, bounded_sample, word_hashes, words_of_texts
 from corpusloom.llm.queries import tokenizer_file
 
@@ -296,3 +296,60 @@ def test_recall_on_a_table(spark):
                     linked += 1
                     missed += got[i][1] != got[j][1]
     assert linked > 5 and missed == 0
+
+
+# -- models of all rows ----------------------------------------------------------------------------------------------
+def test_order_statistics(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.concatenate((np.zeros(40), rng.exponential(3, 300), np.full(60, 0.25), [1e-300, 1e300]))
+    df = spark.createDataFrame([(float(v), int(k)) for v, k in zip(x, rng.integers(0, 2**62, len(x)))], "x double, k long").repartition(3)
+    k = sorted(r.k for r in df.collect())
+    ranks = [0, 39, 40, 100, 250, 400, 401]
+    for few in (1, 50, 10_000):
+        monkeypatch.setattr(common, "FEW_VALUES", few)
+        assert common.order_statistics(df, {"x": ranks, "k": [0, 7, 401]}) == {"x": np.sort(x)[ranks].tolist(), "k": [k[0], k[7], k[401]]}
+
+
+def test_quality_rules_are_calibrated_on_every_labelled_row(spark, monkeypatch):
+    monkeypatch.setattr(common, "FEW_VALUES", 100)
+    rng = random.Random(6)
+    texts = [prose(rng, 60) + " !" * rng.randint(0, 9) + " #" * (i % 9 == 0) * rng.randint(0, 60) for i in range(900)]
+    rows = [(i, texts[i % 900], int(i % 9 > 0)) for i in range(45_000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(4)
+    model = quality_rules.fit(table.select("doc_id", "text"), table.select("doc_id", "quality"), trees=5, sample=64)
+    counts = np.array([quality_rules.count_text(t) for t in texts])
+    held = ~quality_rules.base_failed(counts[:, 0], counts[:, 4])
+    x = quality_rules.ratios(counts)
+    good = np.array([i % 9 > 0 for i in range(900)]) & held
+    assert np.allclose(model.forest.middle, np.median(np.repeat(x[good], 50, axis=0), axis=0))
+    score = model.forest.score(x)
+    own = np.sort(np.repeat(score[good], 50))[::-1]
+    bad = np.repeat(score[~good & held], 50)
+    bad = np.sort(bad[bad > own[int(len(own) * 0.004)]])
+    assert model.cut == (bad[len(bad) // 200] if len(bad) else 2.0)
+    # as many trees' rows as there are, each row in one tree
+    own = table.where("quality > 0").select("doc_id", *[F.col("doc_id").cast("double").alias(c) for c in quality_rules.RATIOS])
+    drawn = quality_rules.pool(own, own.count(), 320)
+    assert drawn.shape == (320, len(quality_rules.RATIOS)) and len(set(drawn[:, 0])) == 320
+
+
+def test_languages_are_learned_from_every_row(spark):
+    # a language of few rows, which a sample by hash would hold one of at most
+    rows = [(i, ("kla mor tin sel " if i % 2 else "schü keit ung zer ") * 3 + str(i), "ab"[i % 2]) for i in range(9000)]
+    rows += [(9000 + i, f"моло дца рек лес {i}", "c") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, two = (language_id.fit(docs.repartition(n), max_rows=2000, steps=2000) for n in (1, 5))
+    assert one.langs == ["a", "b", "c"] and (one.logits == two.logits).all() and (one.temperature, one.cut) == (two.temperature, two.cut)
+    right = language_id.identify(docs, one).where("lang_pred = lang").groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in right if r.lang != "c"} == {"a": 4500, "b": 4500}
+    # every row but a fourth takes a step in one run; the runs' sizes are those that were counted
+    seen = []
+    counted = language_id.averaged_runs
+    try:
+        language_id.averaged_runs = lambda used, sizes, *more: (seen.append((used, sizes)), counted(used, sizes, *more))[1]
+        language_id.fit(docs, max_rows=2000, steps=2000)
+    finally:
+        language_id.averaged_runs = counted
+    used, sizes = seen[0]
+    assert {r.run: r["count"] for r in used.groupBy("run").count().collect()} == sizes and len(sizes) == 3
+    assert sum(sizes.values()) + docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(4)) == 0).count() == 9004
