@@ -87,12 +87,31 @@ def discard_since(spark: SparkSession, before: set[str], but: str) -> None:
         discard(spark, path)
 
 
+#: Whether the shuffle files of a query go when it ends; else they stay until the driver happens to collect its garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query's shuffle files are removed as soon as it ends."""
+    held = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SHUFFLES_GO) if held is None else spark.conf.set(SHUFFLES_GO, held)
+
+
 class Staged:
-    """A DataFrame written once as Parquet into the shared folder, so lost executors cost no recomputation."""
+    """A DataFrame written once as Parquet into the shared folder, so lost executors cost no recomputation.
+
+    What was shuffled on its way is removed, as nothing reads it again.
+    """
 
-    def __init__(self, df: DataFrame, what: str):
+    def __init__(self, df: DataFrame, what: str, codec: str = "snappy"):
         self.spark, self.path = df.sparkSession, scratch(df.sparkSession, what)
-        df.write.parquet(self.path)
+        with shuffles_go(self.spark):
+            df.write.parquet(self.path, compression=codec)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -227,6 +246,25 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def release_driver(spark: SparkSession) -> str | None:
+    """The same for the driver's JVM: collects its garbage, and with it broadcasts, and trims its native heap.
+
+    Hundreds of small queries leave it several hundred MB that it has freed but not given back.  Returns the JVM's
+    report; one without that diagnostic command only collects.
+    """
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    jvm.System.gc()
+    with contextlib.suppress(Exception):
+        # the server's own class isn't open to reflection, so it is called by its interface
+        named, kinds, args = jvm.java.lang.Class.forName, gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+        for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = named(kind)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke = named("javax.management.MBeanServerConnection").getMethod("invoke", kinds)
+        return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    return None
+
+
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` whose workers keep nothing when a task is done."""
 

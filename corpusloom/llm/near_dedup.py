@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import LOWER, Staged, gram_hashes, in_arrow, mix, word_hashes
+from corpusloom.llm.common import LOWER, Staged, gram_hashes, in_arrow, mix, release_driver, word_hashes
 
 #: Hashes in each collection, and minhashes in each hash.
 M, T = 24, 5
@@ -155,9 +155,13 @@ def star_round(links: DataFrame, many: int) -> DataFrame:
 
 
 def components(links: DataFrame, what: str = "links") -> DataFrame:
-    """(u, v): every node that isn't its component's smallest, with the smallest.  ``links`` has u > v."""
+    """(u, v): every node that isn't its component's smallest, with the smallest.  ``links`` has u > v.
+
+    A round is some ten small queries, so the driver's memory is given back after each.
+    """
     held = Staged(links, what)
     while True:
+        release_driver(held.spark)
         n = held.df.count()
         if not n:
             return held.df

@@ -353,3 +353,26 @@ def test_languages_are_learned_from_every_row(spark):
     used, sizes = seen[0]
     assert {r.run: r["count"] for r in used.groupBy("run").count().collect()} == sizes and len(sizes) == 3
     assert sum(sizes.values()) + docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(4)) == 0).count() == 9004
+
+
+# -- what is left on disk and in memory ------------------------------------------------------------------------------
+def test_driver_gives_memory_back_in_every_round(spark, monkeypatch):
+    assert "native heap" in common.release_driver(spark)
+    calls = []
+    monkeypatch.setattr(near_dedup, "release_driver", lambda s: calls.append(common.release_driver(s)))
+    links = spark.createDataFrame([(i + 1, i) for i in range(20)], "u long, v long")
+    found = near_dedup.components(links)
+    assert sorted(map(tuple, found.collect())) == [(i + 1, 0) for i in range(20)]
+    assert len(calls) > 1
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before, rows = shuffles(), spark.range(5000)
+    held = common.Staged(rows.repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "tidy")
+    assert not shuffles() - before and spark.conf.get(common.SHUFFLES_GO, "false") == "false"
+    assert sorted(map(tuple, held.df.collect())) == [(k, 715 if k < 2 else 714) for k in range(7)]
+    held.drop()
