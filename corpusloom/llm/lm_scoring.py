@@ -145,14 +145,16 @@ PACKED = 6
 
 
 def pack(w, prev, doc, tf, own_w, own_prev) -> bytes:
-    """Rows sorted by word; words and ids as differences."""
+    """Rows sorted by word; words and ids as differences; zstd, as planes of few values are short by it, behind the size without it."""
     base = doc.min()
     step = np.diff(w, prepend=np.uint64(0))
     columns = (step, prev, (doc - base).view(np.uint64), tf, own_w, own_prev)
-    return len(w).to_bytes(8, "little") + int(base).to_bytes(8, "little", signed=True) + b"".join(map(planes, columns))
+    data = len(w).to_bytes(8, "little") + int(base).to_bytes(8, "little", signed=True) + b"".join(map(planes, columns))
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
+    data = pa.decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
     n, base, at, out = int.from_bytes(data[:8], "little"), int.from_bytes(data[8:16], "little", signed=True), 16, []
     for _ in range(PACKED):
         x, at = unplanes(data, at, n)
@@ -295,7 +297,7 @@ def scores(docs: DataFrame, hot: int | None = None, bucket_pairs: int = BUCKET_P
     """doc_id, n_words, n_backoff, score_micro (1e6 times the natural logarithm), mean (of a word)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = Staged(word_counts(docs, hot or HOT), "word-counts").df
+    every = Staged(word_counts(docs, hot or HOT), "word-counts", "zstd").df
     total = every.where(~F.col("pair")).agg(F.sum("c")).first()[0] or 0
     # as many hot words and pairs as keep a bucket's share of the others at its size, within a fixed bound
     many = hot or min(MOST_HOT, max(HOT, total // bucket_pairs))
@@ -355,7 +357,7 @@ def scores(docs: DataFrame, hot: int | None = None, bucket_pairs: int = BUCKET_P
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(buckets / 4))
     blocks = in_arrow(docs, to_blocks, "bucket long, data binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    found = Staged(in_arrow(blocks, to_scores, ", ".join(f"{n} long" for n in names)), "pair-scores").df
+    found = Staged(in_arrow(blocks, to_scores, ", ".join(f"{n} long" for n in names)), "pair-scores", "zstd").df
     sums = found.where("h IS NULL").select("doc", "micro", "n", "back")
     asks = found.where("h IS NOT NULL").groupBy("h", "doc", "own").agg(F.sum("n").alias("n")).join(counts, "h")
     less = -F.col("n") * F.rint(1e6 * F.log(F.greatest(F.lit(1), F.col("c") - F.col("own")).cast("double"))).cast("long")

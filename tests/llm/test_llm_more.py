@@ -376,3 +376,13 @@ def test_staging_leaves_no_shuffle_files(spark):
     assert not shuffles() - before and spark.conf.get(common.SHUFFLES_GO, "false") == "false"
     assert sorted(map(tuple, held.df.collect())) == [(k, 715 if k < 2 else 714) for k in range(7)]
     held.drop()
+
+
+def test_packed_pairs_of_few_values_are_short():
+    rng = np.random.default_rng(5)
+    w = np.sort(rng.zipf(1.3, 5000).astype(np.uint64))
+    cols = [rng.zipf(1.3, 5000).astype(np.uint64), np.arange(5000), *[np.minimum(rng.zipf(2, 5000), 200).astype(np.uint64) for _ in range(3)]]
+    data = lm_scoring.pack(w, *cols)
+    plain = sum(len(lm_scoring.planes(x)) for x in (np.diff(w, prepend=np.uint64(0)), cols[0], cols[1].view(np.uint64), *cols[2:]))
+    assert len(data) < 0.75 * plain
+    assert all((a == b).all() for a, b in zip([w, *cols], lm_scoring.unpack(data)))
